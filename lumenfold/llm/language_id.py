@@ -112,16 +112,17 @@ class CrossParser:
         return out
 
 
-def training_samples(docs: DataFrame, is_training: Column, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_chars: int = 30_000, max_rows: int = 48) -> dict[str, str]:
+def training_samples(docs: DataFrame, is_training: Column, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_chars: int = 30_000, max_rows: int = 48, max_labels: int = 1000) -> dict[str, str]:
     """The bounded sample: for each label, up to ``max_rows`` training texts by a hash order, up to ``max_chars`` signs.
 
-    Rows are first thinned by that hash to a few times the bound (from a count over all rows), so what is ranked for one
-    label stays small however many rows it has."""
+    Rows are first thinned by that hash to a few times the bound (from a count over all rows), so what is moved and ranked
+    for one label stays small however many rows it has. Labels beyond the ``max_labels`` most frequent aren't learned."""
     marked = docs.filter(F.coalesce(is_training, F.lit(False)) & F.col(label_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
     rows = marked.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)).alias("h"))
-    share = rows.groupBy("label").agg(F.count("*").alias("n"))
+    share = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels)
     near = F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(6.0 * max_rows) / F.col("n")) * 2 - F.lit(2.0**63)
-    thin = rows.join(share, "label").filter(F.col("h").cast("double") <= near)
+    thin = rows.join(F.broadcast(share), "label")  # max_labels rows at most
+    thin = thin.filter(F.col("h").cast("double") <= near)
     first = thin.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).filter(F.col("rn") <= max_rows)
     out: dict[str, str] = {}
     for r in first.select("label", "rn", F.substring("text", 1, max_chars).alias("text")).orderBy("label", "rn").toLocalIterator():

@@ -6,6 +6,7 @@ bigram counts its own allow: with a smaller set of a and a larger of b bigrams t
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,12 +46,49 @@ TEMPLATES: dict[str, list[str]] = {
     "Proprietary": ["All rights reserved."],
 }
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+def plain_words(text: str) -> list[str]:
+    """``words_of`` for a template on the driver."""
+    return "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()
+
+
+def plain_bigrams(text: str) -> set[tuple[str, str]]:
+    words = plain_words(text)
+    return set(zip(words, words[1:], strict=False))
+
+
+def telling_signs(templates: dict[str, list[str]], threshold: float, least: int = 5) -> tuple[list[str], list[tuple[str, str]]]:
+    """Words and bigrams of which every text that reaches the threshold with some template holds one at least.
+
+    A coefficient t takes s >= t * n / (2 - t) of a template's n bigrams. So any n - s + 1 of them hold a common one: words
+    of ``least`` letters or more, the longest first, are chosen until that many bigrams contain one; where they don't
+    suffice, bigrams without such a word are added."""
+    words: set[str] = set()
+    pairs: set[tuple[str, str]] = set()
+    for text in (t for texts in templates.values() for t in texts):
+        grams = plain_bigrams(text)
+        may_lack = len(grams) - math.ceil(threshold * len(grams) / (2 - threshold) - 1e-9)
+        held = lambda: {g for g in grams if g in pairs or any(w in words for w in g)}
+        for word in sorted({w for w in plain_words(text) if len(w) >= least}, key=lambda w: (w not in words, -len(w), w)):
+            if len(held()) > may_lack:
+                break
+            words.add(word)
+        for g in sorted(grams - held(), key=lambda g: (-len(g[0] + g[1]), g))[: max(0, may_lack + 1 - len(held()))]:
+            pairs.add(g)
+    return sorted(words), sorted(pairs)
+
+
+def _may_match(text: Column, templates: dict[str, list[str]], threshold: float) -> Column:
+    words, pairs = telling_signs(templates, threshold)
+    tests = [F.contains(F.lower(text), F.lit(w)) for w in words if not any(v != w and v in w for v in words)]
+    if pairs:
+        tests.append(text.rlike("(?i)(?:" + "|".join(f"{a}[^a-z0-9]+{b}" for a, b in pairs) + ")"))
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
 def words_of(text: Column) -> Column:
     """Lower-case ASCII words; every other sign parts words."""
-    plain = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "))
+    plain = F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
@@ -81,12 +119,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
         raise ValueError(f"more than {max_templates} templates")
     spark = docs.sparkSession
     table = template_table(spark, templates)
-    sizes = [len(set(zip(w, w[1:], strict=False))) for texts in templates.values() for t in texts if len(w := "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()) > 1]
-    if not sizes:
-        sizes = [1]
+    every = [g for texts in templates.values() for t in texts if (g := plain_bigrams(t))]
+    sizes = [len(g) for g in every] or [1]
     factor = (2 - threshold) / threshold
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    # a row's own number keeps repeated rows apart
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.filter(F.col("text").isNotNull() & _may_match(F.col("text"), templates, threshold))
     lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct((i + 1).alias("unit"), line.alias("part")))
     units = F.when(F.instr("text", "\n") > 0, F.concat(F.array(F.struct(F.lit(0).alias("unit"), F.col("text").alias("part"))), lines)).otherwise(F.array(F.struct(F.lit(0).alias("unit"), F.col("text").alias("part"))))
     # a unit of n words has at most n - 1 bigrams, so one too short for the smallest template goes before it is split
@@ -94,7 +131,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     parts = rows.select("id", F.explode(units).alias("u")).filter(spaces).select("id", F.col("u.unit").alias("unit"), words_of(F.col("u.part")).alias("words"))
     parts = parts.filter(F.size("words") - 1 >= min(sizes) / factor)
     grams = parts.select("id", "unit", bigrams_of(F.col("words")).alias("own")).withColumn("n", F.size("own")).filter((F.col("n") >= min(sizes) / factor) & (F.col("n") <= max(sizes) * factor))
-    known = F.array(*[F.lit(g) for g in sorted({" ".join(p) for texts in templates.values() for t in texts for w in ["".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()] for p in zip(w, w[1:], strict=False)})])
+    known = F.array(*[F.lit(" ".join(g)) for g in sorted(set().union(*every))]).cast("array<string>")
     grams = grams.filter(F.arrays_overlap("own", known))
     fits = (F.col("size") <= F.col("n") * factor) & (F.col("size") * factor >= F.col("n"))
     paired = grams.join(F.broadcast(table), fits)
@@ -110,7 +147,7 @@ def oracle(threshold: float = 0.8, templates: dict[str, list[str]] | None = None
     values = ", ".join(f"({quote(name)}, {quote(t)})" for name, texts in sorted((templates or TEMPLATES).items()) for t in texts)
 
     def grams(text: str) -> str:
-        words = f"list_filter(string_split(trim(regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
+        words = f"list_filter(string_split(trim(lower(regexp_replace({text}, '[^A-Za-z0-9]+', ' ', 'g'))), ' '), lambda w: w <> '')"
         return f"(SELECT list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM (SELECT {words} AS w))"
 
     return f"""

@@ -7,7 +7,9 @@ that fit, then by the head of a piece that is cut. Sequences go to step groups o
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,18 +23,21 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenfold.llm.common import text_groups
 
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_RARE_SPACE = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f]")
+# Letters that any engine calls letters; a text with other signs beyond ASCII goes to the library as a whole.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
+_PLAIN = re.compile(f"[ -~\\n\\t\\r{_LETTERS}]*")
+_CHUNK = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 
 
 class ChunkEncoder:
-    """Token ids of texts as the tokenizers library gives them, with a bounded memo of space-led chunks.
+    """Token ids of texts as the tokenizers library gives them, with a bounded memo of the chunks it splits texts into.
 
-    A byte-level vocabulary with the usual split pattern never merges over such a chunk's edge. Texts with special strings
-    or spaces that engines class differently go to the library whole.
+    A byte-level vocabulary never merges over a chunk's edge. Texts with special strings, or with signs that engines may
+    class differently, go to the library whole.
     """
 
-    def __init__(self, path: str, cache_entries: int = 500_000):
+    def __init__(self, path: str, cache_entries: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -43,12 +48,14 @@ class ChunkEncoder:
         self.cache_entries = cache_entries
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        out = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in out]
+        out = []
+        for at in range(0, len(texts), 4096):  # the library's results are many times the ids
+            out += [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        split: list[list[str] | None] = [None if _RARE_SPACE.search(t) or any(s in t for s in self.special) else _CHUNK.findall(t) for t in texts]
+        split: list[list[str] | None] = [_CHUNK.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         held = self.held
         if len(held) >= self.cache_entries:
             held.clear()
@@ -59,6 +66,16 @@ class ChunkEncoder:
         return [np.frombuffer((next(whole) if c is None else b"".join([held.get(x) or got[x] for x in c])) + end, dtype="<u4") for c in split]
 
 
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(path: str) -> ChunkEncoder:
+    """One per worker process and tokenizer file."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
+
+
 @dataclass
 class Piece:
     """ids[start : start + len(ids)] of a document."""
@@ -182,7 +199,7 @@ def pack_documents(
     kinds = [kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         packer = TierPacker(tiers, step_tokens, TaskContext.get().partitionId() << 36)
 
         def rows() -> pa.RecordBatch:

@@ -35,6 +35,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "lines_total", "lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenfold.llm.topk import exact_top_k, quantised
 
@@ -61,6 +68,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, samples).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "phrases_per_sign")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.llm.near_dup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenfold.llm.token_counts import prefix_token_counts
 
@@ -68,12 +81,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.llm.lattice_lm import score_documents
+
+    scores = score_documents(documents(spark, sf_dir), fold("doc_id", 7) != 2, tokenizer_path(PIECE_TOKENIZER))
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_language_id": op6_language_id,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
+    "op10_lattice_lm": op10_lattice_lm,
 }
 
 ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op5_exact_top_k": OP5_SQL}

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import text_groups
+from lumenfold.llm.pieces import PieceTable
 
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -23,9 +24,9 @@ _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 class PrefixCounter:
     """Counts for one sentencepiece merge model. Tokens never hold a mark behind another sign (checked when it loads), so
-    texts fall into segments that are counted apart; ``cache_entries`` bounds what is kept of segments and pairs."""
+    texts fall into segments that are counted apart; ``cache_entries`` bounds what is kept of segments."""
 
-    def __init__(self, model_path: str, cache_entries: int = 500_000):
+    def __init__(self, model_path: str, cache_entries: int = 600_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -38,54 +39,79 @@ class PrefixCounter:
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (kind.NORMAL, kind.USER_DEFINED)}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("prefix counts need tokens whose marks come first")
-        self.longest = max(map(len, self.ids))
         spec.add_dummy_prefix = False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.cache_entries = cache_entries
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.names = list(self.ids)
+        self.number = np.asarray([self.ids[p] for p in self.names])
+        self.table = PieceTable([[ord(c) for c in p] for p in self.names])
+        # whether a piece may stand behind another: the last answers, each under its full key
+        self.keys, self.answers = np.zeros(1 << 20, dtype=np.uint64), np.zeros(1 << 20, dtype=bool)
         self.segments: dict[str, tuple[bytes, int]] = {}
 
-    def _joins(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            ids = [self.ids[p] for p in (left, right) if p]
-            known = self.bare.encode(left + right) == ids
-            if len(self.pairs) >= 2 * self.cache_entries:
-                self.pairs.clear()
-            self.pairs[left, right] = known
-        return known
-
-    def _segment(self, seg: str) -> tuple[bytes, int]:
-        ids, joins, longest, n = self.ids, self._joins, self.longest, len(seg)
-        last, count = [""] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                piece, before = seg[start:end], last[start]
-                if piece in ids:
-                    if (before and before not in ids) or joins(before, piece):
-                        last[end], count[end] = piece, count[start] + 1
-                        break
-                elif start == end - 1:  # a sign outside the vocabulary costs its bytes
-                    last[end], count[end] = piece, count[start] + len(piece.encode())
-                    break
-            else:
-                raise ValueError(f"no token ends the prefix {seg[:end]!r}")
-        return np.asarray(count[1:], dtype="<i4").tobytes(), count[n]
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For pairs of pieces (left -1: nothing, -2: a sign outside the vocabulary): do they stay as they are?"""
+        key = ((left + 2).astype(np.uint64) << np.uint64(32)) + right.astype(np.uint64) + np.uint64(1)
+        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        out = self.answers[slot]
+        missed = np.flatnonzero(self.keys[slot] != key)
+        if len(missed):
+            new, at, back = np.unique(key[missed], return_index=True, return_inverse=True)
+            pairs = [(int(left[j]), int(right[j])) for j in missed[at]]
+            got = self.bare.encode([(self.names[a] if a >= 0 else "") + self.names[b] for a, b in pairs])
+            right_ = [ids == [self.number[x] for x in pair if x >= 0] for ids, pair in zip(got, pairs, strict=True)]
+            fits = np.asarray(right_, dtype=bool)
+            out[missed] = fits[back]
+            self.keys[slot[missed[at]]], self.answers[slot[missed[at]]] = new, fits
+        return out
 
-    def counts(self, text: str) -> np.ndarray:
-        """Tokens of ``text[:k]`` for k = 0 .. len(text)."""
-        if not text:
+    def _grid(self, segs: list[str]) -> np.ndarray:
+        """Counts at every prefix of segments of one length: one row each."""
+        grid = np.frombuffer("".join(segs).encode("utf-32-le"), dtype="<u4").reshape(len(segs), -1)
+        n, length = grid.shape
+        last = np.full((length + 1, n), -1, dtype=np.int64)
+        count = np.zeros((length + 1, n), dtype="<i4")
+        unset = np.ones((length + 1, n), dtype=bool)
+        unset[0] = False
+        for start, end, piece in self.table.arcs(grid):
+            at = np.flatnonzero((piece >= 0) & unset[end])
+            if len(at):
+                at = at[self._joined(last[start, at], piece[at])]
+                last[end, at], count[end, at], unset[end, at] = piece[at], count[start, at] + 1, False
+            if start == end - 1 and unset[end].any():  # a sign outside the vocabulary costs its bytes
+                at = np.flatnonzero(unset[end])
+                if (piece[at] >= 0).any():
+                    raise ValueError(f"no token ends a prefix of {segs[at[0]]!r}")
+                last[end, at], unset[end, at] = -2, False
+                count[end, at] = count[start, at] + [len(chr(c).encode()) for c in grid[at, start]]
+        return count[1:].T
+
+    def learn(self, segs: list[str]) -> dict[str, tuple[bytes, int]]:
+        """Counts of new segments, worked out together by their lengths."""
+        out, by_length = {}, {}
+        for s in segs:
+            by_length.setdefault(len(s), []).append(s)
+        for length, same in by_length.items():
+            step = max(1, 400_000 // length)
+            for lo in range(0, len(same), step):
+                part = same[lo : lo + step]
+                found = np.ascontiguousarray(self._grid(part))
+                out.update((s, (row.tobytes(), int(row[-1]))) for s, row in zip(part, found, strict=True))
+        return out
+
+    def all_counts(self, texts: list[str]) -> list[np.ndarray]:
+        """``counts`` of several texts; their new segments are learnt together."""
+        split = [_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if len(self.segments) >= self.cache_entries:
+            self.segments.clear()
+        held = self.segments
+        got = self.learn(list({s for segs in split for s in segs if s not in held}))
+        held.update((s, x) for s, x in got.items() if len(s) <= 64)
+        return [self._assembled([held.get(s) or got[s] for s in segs]) for segs in split]
+
+    def _assembled(self, found: list[tuple[bytes, int]]) -> np.ndarray:
+        if not found:
             return np.zeros(1, dtype="<i4")
-        held, found = self.segments, []
-        for seg in _SEGMENT.findall(MARK + text.replace(" ", MARK)):
-            got = held.get(seg)
-            if got is None:
-                got = self._segment(seg)
-                if len(seg) <= 64:
-                    if len(held) >= self.cache_entries:
-                        held.clear()
-                    held[seg] = got
-            found.append(got)
         inner = np.frombuffer(b"".join([x[0] for x in found]), dtype="<i4")
         totals = np.fromiter((x[1] for x in found), dtype="<i4", count=len(found))
         lengths = np.fromiter((len(x[0]) >> 2 for x in found), dtype=np.int64, count=len(found))
@@ -93,6 +119,10 @@ class PrefixCounter:
         out[0] = 0  # what stands for the empty prefix: the mark before the text is no token yet
         return out
 
+    def counts(self, text: str) -> np.ndarray:
+        """Tokens of ``text[:k]`` for k = 0 .. len(text)."""
+        return self.all_counts([text])[0]
+
 
 _counters: dict[str, PrefixCounter] = {}
 
@@ -115,7 +145,7 @@ def prefix_token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id"
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(model_path)
         for rows in text_groups(batches, 2_000_000):
-            found = [own.counts(r["text"] or "") for r in rows]
+            found = own.all_counts([r["text"] or "" for r in rows])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r["id"] for r in rows], kind),
