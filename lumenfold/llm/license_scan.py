@@ -121,7 +121,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     table = template_table(spark, templates)
     every = [g for texts in templates.values() for t in texts if (g := plain_bigrams(t))]
     sizes = [len(g) for g in every] or [1]
-    factor = (2 - threshold) / threshold
+    factor = (2 - threshold) / threshold + 1e-9  # a bound that rounding can't tighten
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("text").isNotNull() & _may_match(F.col("text"), templates, threshold))
     lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct((i + 1).alias("unit"), line.alias("part")))
