@@ -3,8 +3,8 @@
 Each vector's components are split into slices; a slice gives one score list a query, and a candidate's score is the sum
 over its lists. Phase 1 gathers every list's highest entries and completes their scores: the k-th highest of these is a
 safe cutoff. Phase 2 hands cutoff / slices back to all lists: a candidate that reaches the cutoff must reach that share in
-one list at least, so the entries above it suffice; their sums, with the share standing in for lists they missed, bound
-each candidate from above. Phase 3 resolves what can still reach the cutoff, exactly.
+one list at least, so the entries above it suffice. Phase 3 resolves these candidates' remaining scores exactly, in the
+block that holds them, and passes on what reaches the cutoff.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ def exact_top_k(
     parts = np.array_split(np.arange(dim), min(slices, dim))
 
     def blocked(cutoff: DataFrame | None, mode: str, schema: str):
-        """Runs a phase over all pairs of blocks: ``lists`` gives each slice's highest entries, ``above`` what may reach
-        the cutoff."""
+        """Runs a phase over all pairs of blocks: ``lists`` gives each slice's highest entries, ``above`` what reaches the
+        cutoff."""
 
         def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             empty = pd.DataFrame({"qid": pd.Series(dtype="int64"), "slice": pd.Series(dtype="int32"), "cid": pd.Series(dtype="int64"), "part": pd.Series(dtype="int64")})
@@ -79,14 +79,15 @@ def exact_top_k(
                 else:
                     cut = right.cutoff.to_numpy()[at : at + 256, None]
                     share = cut / len(parts)
-                    bound, any_above = np.zeros_like(lists[0]), np.zeros(lists[0].shape, bool)
-                    for s in lists:
-                        above = s >= share
-                        any_above |= above
-                        bound += np.where(above, s, share)
-                    # the share is a rounded quotient: half a point lies between any two integer sums
-                    qi, ci = np.nonzero(any_above & (bound >= cut - 0.5))
-                    found.append((ids[qi], np.full(len(qi), -1, "int32"), cids[ci], np.floor(bound[qi, ci])))
+                    enough = lists[0] >= share
+                    for s in lists[1:]:
+                        enough |= s >= share
+                    qi, ci = np.nonzero(enough)
+                    # what these candidates lack from the other lists lies in the same block: no entry has to travel for it
+                    score = sum(s[qi, ci] for s in lists)
+                    at_cut = score >= cut[qi, 0]
+                    qi, ci = qi[at_cut], ci[at_cut]
+                    found.append((ids[qi], np.full(len(qi), -1, "int32"), cids[ci], score[at_cut]))
             qid, sl, cid, part = (np.concatenate(x) for x in zip(*found, strict=True))
             return pd.DataFrame({"qid": qid, "slice": sl, "cid": cid, "part": part.astype("int64")})
 
@@ -114,8 +115,8 @@ def exact_top_k(
     cutoff = asked.select("qid").join(nth, "qid", "left").select("qid", F.coalesce("cutoff", F.lit(-1e300)).alias("cutoff"))
     cutoff = written(cutoff, "topk-cutoff")
     # phases 2 and 3
-    above = blocked(cutoff, "above", schema).select("qid", "cid")
-    best = scored(above).withColumn("rn", F.row_number().over(by_score)).filter(F.col("rn") <= k + 1)
+    above = blocked(cutoff, "above", schema).select("qid", "cid", F.col("part").alias("score"))
+    best = above.withColumn("rn", F.row_number().over(by_score)).filter(F.col("rn") <= k + 1)
     best = best.join(classes.select("cid", "members"), "cid").join(asked.select("qid", "key"), "qid").select("key", "score", F.explode("members").alias("id"))
     pairs = queries.join(best, "key").filter(F.col("id") != F.col("query_id"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
