@@ -68,6 +68,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, samples).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "phrases_per_sign")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.llm.decontaminate import contaminated
+
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenfold.llm.near_dup import near_duplicates
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_language_id": op6_language_id,
+    "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_lattice_lm": op10_lattice_lm,
