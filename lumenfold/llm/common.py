@@ -35,13 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(upto: int = 0) -> None:
-    """Deletes the tables of ``written`` from position ``upto`` on; at exit all of them go."""
-    while len(_written) > upto:
-        spark, path = _written.pop()
+def written_so_far() -> int:
+    return len(_written)
+
+
+def drop_written(after: int = 0, only: str = "") -> None:
+    """Deletes tables that ``written`` made from position ``after`` on, or those of one name; at exit all of them go."""
+    for spark, path in [x for x in _written[after:] if f"/tables/{only}" in x[1]]:
+        _written.remove((spark, path))
         try:
-            jvm = spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001  the session may have ended before the interpreter
             return
@@ -80,3 +83,14 @@ def chunks_of(batches: Iterator[pa.RecordBatch], size: Callable[[dict], int], mo
 
 def text_groups(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[list[dict]]:
     return chunks_of(batches, lambda r: len(r["text"] or "") + 64, most_chars)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice's column ``__text`` holds ``most_chars`` or a single row; other columns come along."""
+    for batch in batches:
+        texts, lo, weight = batch.column(batch.schema.get_field_index("__text")).to_pylist(), 0, 0
+        for hi, t in enumerate(texts, 1):
+            weight += len(t or "") + 64
+            if weight >= most_chars or hi == len(texts):
+                yield batch.slice(lo, hi - lo)
+                lo, weight = hi, 0

@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lumenfold.llm.common import text_groups
+from lumenfold.llm.common import text_slices
 
 UNKNOWN = "und"
 _BREAKS = re.compile(r"[\W\d_]+")
@@ -143,31 +143,31 @@ def _parser(samples: dict[str, str]) -> CrossParser:
     return _parsers[key]
 
 
-def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``lang_pred``, ``score`` and ``phrases_per_sign`` of the best language.
+def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``phrases_per_sign`` of the best language (replacing columns so named).
 
     ``score`` is the lead over the second language, 1 - best / second, in 0 .. 1 (1 with a single language). A text that is
     null or has no letter gets ``und`` and 0; so does every text if there are no samples. Ties go to the first label in
-    order. Whole texts are parsed; repeated rows and null ids are kept; only the two named columns are read.
+    order. Whole texts are parsed, and nothing else is looked at; all rows and columns pass through, nulls and repeated
+    rows included.
     """
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = picked.schema["id"].dataType
-    kind = to_arrow_type(id_type)
+    added = ("lang_pred", "score", "phrases_per_sign")
+    kept = docs.select(*[c for c in docs.columns if c not in added], F.col(text_col).alias("__text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(samples) if samples else None
-        for rows in text_groups(batches, 6_000_000):
-            label, score, rate = [UNKNOWN] * len(rows), [0.0] * len(rows), [math.nan] * len(rows)
-            texts = [(i, n) for i, r in enumerate(rows) if r["text"] and len(n := normalised(r["text"])) > 2]
+        for batch in text_slices(batches, 6_000_000):
+            raw = batch.column(batch.num_columns - 1).to_pylist()
+            label, score, rate = [UNKNOWN] * len(raw), [0.0] * len(raw), [None] * len(raw)
+            texts = [(i, n) for i, t in enumerate(raw) if t and len(n := normalised(t)) > 2]
             if parser and texts:
                 counts = parser.phrases([t for _, t in texts])
                 for (i, text), c in zip(texts, counts, strict=True):
                     best = int(np.argmin(c))
                     second = np.partition(c, 1)[1] if len(c) > 1 else math.inf
                     label[i], score[i], rate[i] = parser.labels[best], float(1 - c[best] / second), float(c[best] / len(text))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["id"] for r in rows], kind), pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array([None if math.isnan(x) else x for x in rate], pa.float64())], ["id", "lang_pred", "score", "phrases_per_sign"]
-            )
+            cols = [*batch.columns[:-1], pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], *added])
 
-    out = picked.mapInArrow(predict, f"id {id_type.simpleString()}, lang_pred string, score double, phrases_per_sign double")
-    return out.withColumnRenamed("id", id_col)
+    schema = StructType([*kept.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("phrases_per_sign", DoubleType())])
+    return kept.mapInArrow(predict, schema)

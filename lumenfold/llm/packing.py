@@ -26,7 +26,7 @@ from lumenfold.llm.common import text_groups
 # Letters that any engine calls letters; a text with other signs beyond ASCII goes to the library as a whole.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
 _PLAIN = re.compile(f"[ -~\\n\\t\\r{_LETTERS}]*")
-_CHUNK = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_CHUNK = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 
 
 class ChunkEncoder:
@@ -55,15 +55,23 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        split: list[list[str] | None] = [_CHUNK.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         held = self.held
         if len(held) >= self.cache_entries:
             held.clear()
-        new = list({c for chunks in split if chunks for c in chunks if c not in held})
+        split: list[list[str] | None] = [_CHUNK.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
+        found = [None if c is None else list(map(held.get, c)) for c in split]
+        new = list({x for c, f in zip(split, found, strict=True) if f and None in f for x, b in zip(c, f, strict=True) if b is None})
         got = dict(zip(new, self._encode(new), strict=True))
         held.update((c, b) for c, b in got.items() if len(c) <= 64)
         whole = iter(self._encode([t for t, c in zip(texts, split, strict=True) if c is None]))
-        return [np.frombuffer((next(whole) if c is None else b"".join([held.get(x) or got[x] for x in c])) + end, dtype="<u4") for c in split]
+        out = []
+        for c, f in zip(split, found, strict=True):
+            if c is None:
+                ids = next(whole)
+            else:
+                ids = b"".join([got[x] if b is None else b for x, b in zip(c, f, strict=True)] if None in f else f)
+            out.append(np.frombuffer(ids + end, dtype="<u4"))
+        return out
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -24,6 +24,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.llm.suffix_dedup import dedup_substrings
+
+    return dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
@@ -65,7 +71,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     samples = training_samples(docs, fold("doc_id", 3) != 1)
-    return identify(docs, samples).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "phrases_per_sign")
+    return identify(docs.select("doc_id", "text"), samples).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "phrases_per_sign")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +101,7 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
