@@ -1,18 +1,427 @@
-"""The registered queries: name -> DataFrame function, name -> SQL."""
+"""The registered queries over the star-schema tables, each with the SQL that gives the same rows.
+
+Orders stand for posts (their customer's nation is the district, the segment the category), line items for the links from
+posts to parts and suppliers and for the evidence of supplier-part relations. Every query reads whole tables; ids and
+limits are the question's parameters.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.functions import citations, dates, filters, text
+from lumenfold.operators import fulltext, fusion, graph, templates, vectors
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------- the tables as posts and a graph ----------
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    named = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return orders.join(named, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("post_id"), F.col("o_orderdate").alias("posted_at"), F.col("o_orderpriority").alias("platform"), F.col("o_orderstatus").alias("sentiment"), F.col("c_mktsegment").alias("category"), F.col("n_name").alias("district"),
+        F.concat(F.lit("d"), F.col("n_nationkey")).alias("district_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("account_id"),
+    )
+
+
+POSTS = """posts AS (
+  SELECT o_orderkey AS post_id, o_orderdate AS posted_at, o_orderpriority AS platform, o_orderstatus AS sentiment, c_mktsegment AS category,
+         n_name AS district, 'd' || n_nationkey AS district_id, 'c' || c_custkey AS account_id
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    none = F.lit(None).cast("string")
+    mentions = lines.select(F.col("l_orderkey").alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"), F.lit("MENTIONS").alias("rel"), none.alias("stance"))
+    stances = lines.select(F.col("l_orderkey").alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"), F.lit("STANCE").alias("rel"), F.col("l_returnflag").alias("stance"))
+    own = posts(spark, sf_dir)
+    places = own.select(F.col("post_id").alias("src"), F.col("district_id").alias("dst"), F.lit("IN_DISTRICT").alias("rel"), none.alias("stance"))
+    authors = own.select(F.col("post_id").alias("src"), F.col("account_id").alias("dst"), F.lit("POSTED_BY").alias("rel"), none.alias("stance"))
+    return mentions.union(stances).union(places).union(authors)
+
+
+EDGES = (
+    POSTS
+    + """, edges AS (
+  SELECT l_orderkey AS src, 'p' || l_partkey AS dst, 'MENTIONS' AS rel, NULL AS stance FROM lineitem
+  UNION ALL SELECT l_orderkey, 's' || l_suppkey, 'STANCE', l_returnflag FROM lineitem
+  UNION ALL SELECT post_id, district_id, 'IN_DISTRICT', NULL FROM posts
+  UNION ALL SELECT post_id, account_id, 'POSTED_BY', NULL FROM posts)"""
+)
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One relation for each supplier, part and order: the surest of its line items."""
+    lines = table(spark, sf_dir, "lineitem")
+    keyed = lines.groupBy("l_suppkey", "l_partkey", "l_orderkey").agg(F.round(F.max(1 - F.col("l_discount")) + 0.0, 6).alias("confidence"))
+    return keyed.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("subject_id"), F.lit("SUPPLIES").alias("predicate"), F.concat(F.lit("p"), F.col("l_partkey")).alias("object_id"), F.col("l_orderkey").alias("chunk_id"), "confidence")
+
+
+RELATIONS = """relations AS (
+  SELECT 's' || l_suppkey AS subject_id, 'SUPPLIES' AS predicate, 'p' || l_partkey AS object_id, l_orderkey AS chunk_id,
+         round(max(1 - l_discount) + 0.0, 6) AS confidence FROM lineitem GROUP BY l_suppkey, l_partkey, l_orderkey),
+ways AS (SELECT subject_id AS u, object_id AS v, * FROM relations UNION ALL SELECT object_id, subject_id, * FROM relations),
+degree AS (SELECT u AS id, count(*) AS degree FROM ways GROUP BY u)"""
+
+
+def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.lit("Organization").alias("type"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.lit("Concept").alias("type"))
+    return suppliers.union(parts)
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts as templates give them, one row each: the relations with hops, chunk and source."""
+    rel = relations(spark, sf_dir)
+    seq = F.col("chunk_id")
+    return rel.select("subject_id", "predicate", "object_id", (F.col("chunk_id") % 3 + 1).cast("int").alias("hops"), "confidence", F.array("chunk_id").alias("chunk_ids"), F.array(F.concat(F.lit("src"), F.col("chunk_id") % 7)).alias("sources"), F.concat(F.lit("order "), F.col("chunk_id")).alias("evidence"), F.lit("neighbourhood").alias("template"), seq.alias("seq"))
+
+
+FACTS = (
+    RELATIONS
+    + """, facts AS (SELECT subject_id, predicate, object_id, CAST(chunk_id % 3 + 1 AS INTEGER) AS hops, confidence, chunk_id,
+   'src' || (chunk_id % 7) AS source, 'order ' || chunk_id AS evidence FROM relations),
+ merged AS (SELECT subject_id, predicate, object_id, min(hops) AS hops, max(confidence) AS confidence, list(chunk_id ORDER BY chunk_id) AS chunk_ids,
+   count(DISTINCT source) AS n_sources, arg_min(evidence, chunk_id) AS evidence FROM facts GROUP BY ALL)"""
+)
+
+
+def merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduped facts with a relevance that depends on their key alone."""
+    merged = fusion.dedupe_facts(facts(spark, sf_dir))
+    number = lambda c: F.substring(c, 2, 12).cast("long")
+    predicate = F.when(number("object_id") % 5 == 0, "LEADS").otherwise(F.col("predicate"))
+    relevance = F.round((number("subject_id") * 31 + number("object_id") * 17) % 1000 / 1000.0, 4)
+    return merged.withColumn("predicate", predicate).withColumn("relevance", relevance)
+
+
+RANKED = (
+    FACTS
+    + """, scored AS (SELECT subject_id, CASE WHEN CAST(substr(object_id, 2) AS BIGINT) % 5 = 0 THEN 'LEADS' ELSE predicate END AS predicate, object_id, confidence, chunk_ids,
+   round((CAST(substr(subject_id, 2) AS BIGINT) * 31 + CAST(substr(object_id, 2) AS BIGINT) * 17) % 1000 / 1000.0::DOUBLE, 4) - 0.05::DOUBLE * (hops - 1) AS base FROM merged),
+ anchors AS (SELECT * FROM scored WHERE predicate <> 'LEADS' ORDER BY base DESC, subject_id, predicate, object_id LIMIT 3),
+ near AS (SELECT subject_id AS e FROM anchors UNION SELECT object_id FROM anchors),
+ ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, confidence DESC, len(chunk_ids) DESC, subject_id, predicate, object_id) AS rank FROM (
+   SELECT *, round(base + CASE WHEN predicate = 'LEADS' THEN 0.2::DOUBLE + CASE WHEN subject_id IN (SELECT e FROM near) OR object_id IN (SELECT e FROM near) THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END, 6) AS score FROM scored))"""
+)
+
+
+# ---------- posts ----------
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation"))
-    posts = orders.filter(F.col("o_orderstatus") == "F").join(customer.filter(F.col("c_mktsegment") == "BUILDING"), F.col("o_custkey") == F.col("c_custkey"))
-    counts = posts.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name")
-    return counts.agg(F.count_distinct("o_orderkey").alias("n"), F.min("o_orderkey").alias("sample")).orderBy(F.desc("n"), "n_name").limit(5)
+    return facet_node_top(spark, sf_dir).limit(5)
+
+
+def _where():
+    return filters.conjunction([F.col("sentiment") == "F", F.col("category") == "BUILDING", *filters.posted_within(filters.TimeFilter(date(1996, 1, 1), date(1999, 12, 31)))])
+
+
+_SQL_WHERE = "sentiment = 'F' AND category = 'BUILDING' AND posted_at >= TIMESTAMP '1996-01-01 00:00:00' AND posted_at <= TIMESTAMP '1999-12-31 23:59:59'"
+
+
+@query(f"WITH {POSTS} SELECT count(*) AS n FROM posts WHERE {_SQL_WHERE}")
+def post_filter_count(spark, sf_dir):
+    return templates.total(posts(spark, sf_dir), edges(spark, sf_dir), _where())
+
+
+@query(f"WITH {POSTS} SELECT district_id AS id, district AS name, count(DISTINCT post_id) AS n, min(post_id) AS sample_min, max(post_id) AS sample_max FROM posts WHERE sentiment = 'F' AND category = 'BUILDING' GROUP BY ALL ORDER BY n DESC, name LIMIT 10")
+def facet_node_top(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("d"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("kind"))
+    own = posts(spark, sf_dir)
+    places = own.select(F.col("post_id").alias("src"), F.col("district_id").alias("dst"), F.lit("IN_DISTRICT").alias("rel"))
+    return templates.facet_nodes(own, places, nations, "IN_DISTRICT", where=(F.col("sentiment") == "F") & (F.col("category") == "BUILDING"), top=10)
+
+
+@query(f"WITH {POSTS} SELECT platform AS name, count(*) AS n, min(post_id) AS sample_min, max(post_id) AS sample_max FROM posts WHERE category = 'BUILDING' AND platform IS NOT NULL GROUP BY platform ORDER BY n DESC, name LIMIT 10")
+def facet_property_top(spark, sf_dir):
+    return templates.facet_property(posts(spark, sf_dir), edges(spark, sf_dir), "platform", F.col("category") == "BUILDING")
+
+
+@query(f"""WITH {POSTS}, p AS (SELECT * FROM posts WHERE sentiment = 'F')
+SELECT 'total' AS dim, NULL AS name, count(*) AS n FROM p
+UNION ALL SELECT 'category', category, count(*) FROM p GROUP BY category UNION ALL SELECT 'district', district, count(*) FROM p GROUP BY district""")
+def facet_two_dims(spark, sf_dir):
+    """The total and two facets from one scan: grouping sets over the posts' own columns."""
+    kept = posts(spark, sf_dir).filter(F.col("sentiment") == "F")
+    sets = kept.groupingSets([[], [F.col("category")], [F.col("district")]], F.col("category"), F.col("district")).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    dim = F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "category").otherwise("district")
+    return sets.select(dim.alias("dim"), F.coalesce("category", "district").alias("name"), "n")
+
+
+@query(f"WITH {EDGES} SELECT district AS name, count(*) AS n, min(post_id) AS sample_min, max(post_id) AS sample_max FROM posts WHERE EXISTS (SELECT 1 FROM edges WHERE src = post_id AND dst IN ('p1', 'p2', 'p3')) GROUP BY district ORDER BY n DESC, name LIMIT 10")
+def seeded_facet(spark, sf_dir):
+    return templates.facet_property(posts(spark, sf_dir), edges(spark, sf_dir), "district", ids=["p1", "p2", "p3"])
+
+
+@query(f"WITH {EDGES} SELECT DISTINCT post_id, posted_at, rel, dst FROM edges JOIN posts ON src = post_id WHERE dst IN ('p1', 's2') ORDER BY posted_at DESC NULLS FIRST, post_id, rel, dst LIMIT 100")
+def entity_posts(spark, sf_dir):
+    return templates.entity_posts(posts(spark, sf_dir), edges(spark, sf_dir), ["p1", "s2"])
+
+
+@query(f"WITH {EDGES} SELECT DISTINCT src AS post_id, rel, dst FROM edges WHERE src IN (1, 2, 3, 4, 5, 6, 7, 8)")
+def post_context(spark, sf_dir):
+    return templates.post_context(edges(spark, sf_dir), list(range(1, 9)))
+
+
+@query(f"""WITH {EDGES}, s AS (SELECT DISTINCT dst AS seed, src FROM edges WHERE dst IN ('p1', 'p2')), o AS (SELECT DISTINCT src, dst, rel FROM edges WHERE rel IN ('MENTIONS', 'STANCE', 'POSTED_BY') AND dst NOT IN ('p1', 'p2'))
+SELECT seed, dst, rel, count(DISTINCT src) AS n, min(src) AS first_post FROM s JOIN o USING (src) GROUP BY ALL ORDER BY n DESC, dst, seed, rel LIMIT 100""")
+def co_mentions(spark, sf_dir):
+    return templates.co_mentions(posts(spark, sf_dir), edges(spark, sf_dir), ["p1", "p2"]).drop("samples")
+
+
+@query(f"WITH {EDGES} SELECT dst AS id, stance, count(DISTINCT src) AS n, list_slice(list(DISTINCT src ORDER BY src), 1, 3)[1] AS first_post FROM edges WHERE rel = 'STANCE' AND dst IN ('s1', 's2', 's3') GROUP BY dst, stance")
+def stance_counts(spark, sf_dir):
+    return templates.stance_counts(posts(spark, sf_dir), edges(spark, sf_dir), ["s1", "s2", "s3"]).select("id", "stance", "n", F.element_at("samples", 1).alias("first_post"))
+
+
+@query(f"WITH {POSTS} SELECT post_id, posted_at FROM posts WHERE {_SQL_WHERE} ORDER BY posted_at DESC NULLS FIRST, post_id LIMIT 8")
+def filtered_posts(spark, sf_dir):
+    return templates.filtered_posts(posts(spark, sf_dir), _where(), 8)
+
+
+@query(f"""WITH {POSTS} SELECT count(*) FILTER (sentiment = 'F' AND category = 'BUILDING' AND district = 'NATION_3' AND platform = 'none') AS level_0,
+ count(*) FILTER (sentiment = 'F' AND platform = 'none' AND district = 'NATION_3') AS level_1, count(*) FILTER (platform = 'none' AND district = 'NATION_3') AS level_2, count(*) FILTER (district = 'NATION_3') AS level_3, count(*) AS level_4 FROM posts""")
+def drop_empty_filters(spark, sf_dir):
+    tests = {"sentiment": F.col("sentiment") == "F", "category": F.col("category") == "BUILDING", "district": F.col("district") == "NATION_3", "platform": F.col("platform") == "none"}
+    return filters.count_levels(posts(spark, sf_dir), tests, filters.levels(list(tests)))
+
+
+# ---------- relations ----------
+
+
+@query(f"WITH {RELATIONS} SELECT subject_id, predicate, object_id, chunk_id, confidence, 1 AS hops FROM relations WHERE subject_id IN ('s1', 's2') OR object_id IN ('s1', 's2') ORDER BY confidence DESC, subject_id, predicate, object_id, chunk_id LIMIT 100")
+def neighbourhood(spark, sf_dir):
+    return templates.neighbourhood(relations(spark, sf_dir), ["s1", "s2"])
+
+
+_TWO_HOP = """hop AS (SELECT DISTINCT r.subject_id, r.predicate, r.object_id, r.chunk_id, r.confidence FROM ways f JOIN degree d ON d.id = f.v AND d.degree <= 35 JOIN ways r ON r.u = f.v
+ WHERE f.u IN ('s1', 's2') AND f.v NOT IN ('s1', 's2') AND r.v <> f.u AND NOT (f.subject_id = r.subject_id AND f.predicate = r.predicate AND f.object_id = r.object_id AND f.chunk_id = r.chunk_id))"""
+
+
+@query(f"WITH {RELATIONS}, {_TWO_HOP} SELECT *, 2 AS hops FROM hop ORDER BY confidence DESC, subject_id, predicate, object_id, chunk_id LIMIT 100")
+def two_hop(spark, sf_dir):
+    return templates.two_hop(relations(spark, sf_dir), ["s1", "s2"], hub=35)
+
+
+@query(f"""WITH {RELATIONS}, step AS (SELECT DISTINCT u, v FROM ways WHERE u <> v), calm AS (SELECT id FROM degree WHERE degree <= 45), seeds AS (SELECT unnest(['s1', 's2', 's3', 'p1']) AS id),
+paths AS (
+ SELECT u AS a, v AS b, 1 AS hops, [u, v] AS nodes FROM step WHERE u IN (FROM seeds) AND v IN (FROM seeds) AND u < v
+ UNION ALL SELECT e.u, f.v, 2, [e.u, e.v, f.v] FROM step e JOIN step f ON e.v = f.u WHERE e.u IN (FROM seeds) AND f.v IN (FROM seeds) AND e.u < f.v AND e.v <> f.v AND e.v IN (FROM calm)
+ UNION ALL SELECT e.u, g.v, 3, [e.u, e.v, f.v, g.v] FROM step e JOIN step f ON e.v = f.u JOIN step g ON f.v = g.u
+   WHERE e.u IN (FROM seeds) AND g.v IN (FROM seeds) AND e.u < g.v AND e.v <> g.v AND f.v <> e.u AND e.v IN (FROM calm) AND f.v IN (FROM calm))
+SELECT a, b, hops, array_to_string(nodes, '>') AS path FROM (SELECT *, min(hops) OVER (PARTITION BY a, b) AS least FROM paths) WHERE hops = least ORDER BY a, b, nodes LIMIT 10""")
+def shortest_paths(spark, sf_dir):
+    found = templates.shortest_paths(relations(spark, sf_dir), ["s1", "s2", "s3", "p1"], hub=45)
+    return found.select("a", "b", "hops", F.array_join("nodes", ">").alias("path"))
+
+
+@query(f"WITH {RELATIONS} SELECT u AS id, count(*) AS n_relations FROM ways WHERE v IN ('s1', 's2', 's3') AND u NOT IN ('s1', 's2', 's3') GROUP BY u HAVING count(DISTINCT v) = 3")
+def intersection(spark, sf_dir):
+    return templates.linked_to_all(relations(spark, sf_dir), ["s1", "s2", "s3"])
+
+
+@query(f"WITH {RELATIONS} SELECT subject_id AS entity_id, s_name AS name, count(DISTINCT object_id) AS n FROM relations JOIN supplier ON subject_id = 's' || s_suppkey WHERE predicate = 'SUPPLIES' GROUP BY ALL ORDER BY n DESC, name LIMIT 10")
+def graph_aggregation(spark, sf_dir):
+    return templates.aggregation(relations(spark, sf_dir), vertices(spark, sf_dir), predicate="SUPPLIES", kind="Organization").drop("samples")
+
+
+@query(f"""WITH {EDGES} SELECT 'node' AS what, label, n FROM (SELECT 'Organization' AS label, count(*) AS n FROM supplier UNION ALL SELECT 'Concept', count(*) FROM part UNION ALL SELECT 'Event', 0)
+UNION ALL SELECT 'edge', rel, count(*) FROM edges GROUP BY rel""")
+def label_counts(spark, sf_dir):
+    return graph.store_counts(vertices(spark, sf_dir).withColumnRenamed("type", "label"), edges(spark, sf_dir), ["Organization", "Concept", "Event"])
+
+
+@query("SELECT 'p' || p_partkey AS id, p_name AS name, count(l_orderkey) AS n FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL")
+def known_entities(spark, sf_dir):
+    mentions = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
+    parts = vertices(spark, sf_dir).filter(F.col("type") == "Concept")
+    return graph.known_entities(parts, mentions, limit=None).select("id", "name", "n")
+
+
+@query("SELECT doc_id AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def orphans(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return graph.orphans(docs.select(F.col("doc_id").alias("id")), labels.select(F.col("doc_id").alias("id")))
+
+
+@query("""WITH old AS (SELECT doc_id AS chunk_id, source, md5(text) AS text FROM documents), fresh AS (SELECT doc_id + 5 AS chunk_id, source, md5(text || '!') AS text FROM documents WHERE source = 'src3'),
+kept AS (SELECT * FROM old o WHERE source <> 'src3' AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.chunk_id = o.chunk_id) UNION ALL SELECT * FROM fresh)
+SELECT source, count(*) AS n, min(chunk_id) AS first_id, (SELECT count(*) FROM old o WHERE source = 'src3' AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.chunk_id = o.chunk_id)) AS removed FROM kept GROUP BY source""")
+def replace_source(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    old = docs.select(F.col("doc_id").alias("chunk_id"), "source", F.md5("text").alias("text"))
+    new = docs.filter(F.col("source") == "src3").select((F.col("doc_id") + 5).alias("chunk_id"), "source", F.md5(F.concat("text", F.lit("!"))).alias("text"))
+    after, removed = graph.replace_source(old, new, "src3")
+    return after.groupBy("source").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_id")).join(removed.agg(F.count("*").alias("removed")))
+
+
+@query("SELECT o_orderkey AS src, next AS dst FROM (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders) WHERE next IS NOT NULL")
+def next_edges(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("doc_id"), F.struct("o_orderdate", "o_orderkey").alias("chunk_index"))
+    return graph.next_edges(orders)
+
+
+# ---------- vectors, facts, ranking ----------
+
+
+def _unit(n: int):
+    return f"(SELECT embedding FROM embeddings WHERE vec_id = {n})"
+
+
+def _vector(spark, sf_dir, n: int) -> list[float]:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == n).first()["embedding"]
+
+
+@query(f"SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], {_unit(0)}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY list_dot_product(embedding::DOUBLE[], {_unit(0)}::DOUBLE[]) DESC, vec_id LIMIT 20")
+def vector_topk(spark, sf_dir):
+    found = vectors.search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0), 20, id_col="vec_id")
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], {_unit(1)}::DOUBLE[]), 6) AS score FROM embeddings WHERE label = 3 ORDER BY list_dot_product(embedding::DOUBLE[], {_unit(1)}::DOUBLE[]) DESC, vec_id LIMIT 20")
+def vector_topk_filtered(spark, sf_dir):
+    found = vectors.search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 1), 20, F.col("label") == 3, id_col="vec_id")
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH x AS (SELECT label, i AS pos, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS size FROM x GROUP BY label),
+c AS (SELECT label AS source, list(m / size ORDER BY pos) AS v FROM x JOIN n USING (label) GROUP BY label), s AS (SELECT source, label, vec_id, list_dot_product(embedding::DOUBLE[], v) AS score FROM embeddings JOIN c ON source <> label)
+SELECT source, label, vec_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY score DESC, vec_id) AS rn FROM s) WHERE rn = 1""")
+def grouped_top1(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.best_in_groups(rows, vectors.centroids(rows, "label"), "label", "vec_id", limit=None, threshold=None)
+
+
+@query(f"""WITH v AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY list_dot_product(embedding::DOUBLE[], {_unit(0)}::DOUBLE[]) DESC, vec_id) AS vector_rank FROM embeddings QUALIFY vector_rank <= 50),
+g AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS graph_rank FROM documents QUALIFY graph_rank <= 50), m AS (SELECT doc_id AS chunk_id, CAST(quality + toxic AS BIGINT) AS n FROM labels),
+f AS (SELECT chunk_id, vector_rank, graph_rank, coalesce(n, 0) AS entity_mentions, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + graph_rank), 0) + 0.01::DOUBLE * coalesce(n, 0), 6) AS fused_score FROM v FULL JOIN g USING (chunk_id) LEFT JOIN m USING (chunk_id))
+SELECT chunk_id, coalesce(vector_rank, 0) AS vector_rank, coalesce(graph_rank, 0) AS graph_rank, entity_mentions, fused_score, row_number() OVER (ORDER BY fused_score DESC, vector_rank NULLS LAST, graph_rank NULLS LAST, chunk_id) AS fused_rank FROM f""")
+def rrf_fusion(spark, sf_dir):
+    from pyspark.sql import Window
+
+    hits = vectors.search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0), 50, id_col="vec_id")
+    vector = hits.select(F.col("vec_id").alias("chunk_id"), F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).cast("long").alias("rank"))
+    longest = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "n_chars").orderBy(F.desc("n_chars"), "chunk_id").limit(50)
+    graph_ = longest.select("chunk_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "chunk_id")).cast("long").alias("rank"))
+    mentions = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), (F.col("quality") + F.col("toxic")).cast("long").alias("n"))
+    fused = fusion.reciprocal_rank_fusion(vector, graph_, mentions)
+    return fused.select("chunk_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("vector_rank", "graph_rank")], "entity_mentions", "fused_score", F.col("fused_rank").cast("long").alias("fused_rank"))
+
+
+@query(f"WITH {FACTS} SELECT subject_id, predicate, object_id, hops, confidence, array_to_string(chunk_ids, ',') AS chunk_ids, n_sources, evidence FROM merged")
+def dedupe_facts(spark, sf_dir):
+    merged = fusion.dedupe_facts(facts(spark, sf_dir))
+    return merged.select("subject_id", "predicate", "object_id", "hops", "confidence", F.array_join(F.col("chunk_ids").cast("array<string>"), ",").alias("chunk_ids"), F.size("sources").cast("long").alias("n_sources"), "evidence")
+
+
+@query(f"WITH {RANKED} SELECT subject_id, predicate, object_id, score, CAST(rank AS BIGINT) AS rank FROM ranked")
+def rank_facts(spark, sf_dir):
+    ranked = fusion.rank_facts(merged_facts(spark, sf_dir), "LEADS")
+    return ranked.select("subject_id", "predicate", "object_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {RANKED}, e AS (SELECT DISTINCT rank, unnest(chunk_ids) AS chunk_id FROM ranked), g AS (SELECT chunk_id, min(rank) AS best, count(*) AS support FROM e GROUP BY chunk_id) SELECT chunk_id, best, support, row_number() OVER (ORDER BY best, support DESC, chunk_id) AS pos FROM g")
+def graph_chunk_order(spark, sf_dir):
+    ranked = fusion.rank_facts(merged_facts(spark, sf_dir), "LEADS")
+    return fusion.chunk_order(ranked).select("chunk_id", F.col("best").cast("long").alias("best"), "support", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"WITH {RANKED}, c AS (SELECT rank, sum(length(subject_id || predicate || object_id) + 4) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM ranked) SELECT CAST(rank AS BIGINT) AS rank, CAST(used AS BIGINT) AS used FROM c WHERE used <= 3000 // 4")
+def budget_prefix(spark, sf_dir):
+    ranked = fusion.rank_facts(merged_facts(spark, sf_dir), "LEADS")
+    return fusion.facts_within(ranked, F.length(F.concat("subject_id", "predicate", "object_id")), 3000).select(F.col("rank").cast("long").alias("rank"), F.col("used").cast("long").alias("used"))
+
+
+@query("WITH s AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 20 - 6 AS rerank, CAST(NULL AS DOUBLE) AS relevance FROM embeddings) SELECT round(max(1 / (1 + exp(-rerank))), 6) AS best, max(1 / (1 + exp(-rerank))) >= 0.05 AS evidence FROM s")
+def evidence_gate(spark, sf_dir):
+    scores = table(spark, sf_dir, "embeddings").select((F.element_at("embedding", 1).cast("double") * 20 - 6).alias("rerank"), F.lit(None).cast("double").alias("relevance"))
+    return fusion.has_evidence(scores)
+
+
+@query("""WITH w AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(lower(p_name), '[\\p{P}\\p{S}\\p{Z}\\s]+'), lambda x: x <> '') AS t FROM part), n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM w),
+q AS (SELECT DISTINCT unnest(list_sort(list_distinct(list_filter(regexp_split_to_array(lower((SELECT min(p_name) || ' ' || max(p_name) FROM part)), '[\\p{P}\\p{S}\\p{Z}\\s]+'), lambda x: x <> '')))[1:3]) AS term),
+tf AS (SELECT id, term, len(t) AS length, len(list_filter(t, lambda x: x = term)) AS tf FROM w, q), df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term)
+SELECT id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score, count(*) FILTER (tf > 0) AS terms FROM tf JOIN df USING (term), n
+GROUP BY id HAVING count(*) FILTER (tf > 0) > 0 ORDER BY score DESC, id LIMIT 50""")
+def bm25_search(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    names = parts.agg(F.min("p_name").alias("a"), F.max("p_name").alias("b")).first()
+    query_ = sorted(set(text.plain_words(f"{names['a']} {names['b']}")))[:3]
+    return fulltext.bm25(parts, query_, "p_partkey", "p_name", 50)
+
+
+# ---------- text ----------
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, md5(replace(trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ', '_')) AS key_md5, len(list_filter(regexp_split_to_array(lower(text), '[\\p{P}\\p{S}\\p{Z}\\s]+'), lambda x: x <> '')) AS n_words FROM documents")
+def text_normalize(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(text.key_of_folded(F.lower("text"))).alias("key_md5"), F.size(text.words(F.col("text"))).cast("long").alias("n_words"))
+
+
+@query("SELECT o_orderkey, 'call [phone removed] or id 21' || lpad(CAST(o_custkey AS VARCHAR), 17, '0') || ' now' AS masked FROM orders")
+def phone_mask(spark, sf_dir):
+    made = F.concat(F.lit("call +91 9"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" or id 21"), F.lpad(F.col("o_custkey").cast("string"), 17, "0"), F.lit(" now"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.mask_phones(made).alias("masked"))
+
+
+@query("SELECT doc_id, 'chunk:' || substr(sha256(doc_id || '|0|' || text), 1, 24) AS chunk_id, 'doc:' || substr(sha256(text), 1, 16) AS hashed_id FROM documents")
+def doc_ids_hash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.chunk_id(F.col("doc_id").cast("string"), F.lit(0), F.col("text")).alias("chunk_id"), text.doc_id(F.col("text")).alias("hashed_id"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def lang_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, 'Order total is ' || o_orderkey || ' units in all [C' || (o_orderkey % 4 + 1) || ', G' || (o_orderkey % 3 + 1) || ']. It was placed by a customer that nobody cited here.' AS answer FROM orders),
+c AS (SELECT o_orderkey, regexp_extract_all(answer, '[CG]\\d+') AS ids FROM a)
+SELECT o_orderkey, array_to_string(list_filter(ids, lambda x: x IN ('C1', 'C2', 'G1')), ',') AS used, array_to_string(list_filter(ids, lambda x: x NOT IN ('C1', 'C2', 'G1')), ',') AS invalid,
+ CASE WHEN len(list_filter(ids, lambda x: x IN ('C1', 'C2', 'G1'))) = 0 THEN 2 ELSE 1 END AS n_uncited FROM c""")
+def citation_validate(spark, sf_dir):
+    key = F.col("o_orderkey")
+    answer = F.concat(F.lit("Order total is "), key, F.lit(" units in all [C"), key % 4 + 1, F.lit(", G"), key % 3 + 1, F.lit("]. It was placed by a customer that nobody cited here."))
+    known = F.array(F.lit("C1"), F.lit("C2"), F.lit("G1"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", answer.alias("answer"))
+    return rows.select("o_orderkey", F.array_join(citations.used(F.col("answer"), known), ",").alias("used"), F.array_join(citations.invalid(F.col("answer"), known), ",").alias("invalid"), F.size(citations.uncited(citations.cleaned(F.col("answer"), known))).alias("n_uncited"))
+
+
+@query("""SELECT o_orderkey, 4 AS n, CAST(least(o_orderdate::DATE, date_trunc('month', o_orderdate)::DATE) AS VARCHAR) AS first_day, CAST(last_day(o_orderdate) AS VARCHAR) AS last_day,
+ strftime(o_orderdate, '%Y-%m-%d') || '|' || strftime(o_orderdate, '%d/%m/%Y') || '|' || strftime(o_orderdate, '%-d %B %Y') || '|' || strftime(o_orderdate, '%B %Y') AS mentions FROM orders""")
+def date_spans(spark, sf_dir):
+    at = F.col("o_orderdate")
+    made = F.concat(F.lit("Due "), F.date_format(at, "yyyy-MM-dd"), F.lit(" paid "), F.date_format(at, "dd/MM/yyyy"), F.lit(" sent "), F.date_format(at, "d MMMM yyyy"), F.lit(" closed in "), F.date_format(at, "MMMM yyyy"), F.lit(" for ₹1,240 crore"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", dates.date_spans(made).alias("spans"))
+    whole = dates.overall(F.col("spans"))
+    return rows.select("o_orderkey", F.size("spans").alias("n"), whole["start"].cast("string").alias("first_day"), whole["end"].cast("string").alias("last_day"), F.array_join(F.transform("spans", lambda s: s["text"]), "|").alias("mentions"))
