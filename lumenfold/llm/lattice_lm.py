@@ -41,22 +41,24 @@ def vocabulary_pieces(model_path: str, longest: int = 16) -> list[bytes]:
 
 
 class Lattice:
-    """Forward and backward sums over the segmentations of words. A word is read behind one space; its first piece holds
-    that space, and an end follows its last piece."""
-
-    def __init__(self, pieces: list[bytes], weights: np.ndarray | None = None):
-        """weights: natural logarithms for each piece and, last, the end; without them the order gives a Zipf start."""
-        self.pieces = pieces
-        first = np.asarray([p[:1] == b" " for p in pieces] + [False])
-        if weights is None:
-            counts = 1.0 / (np.arange(len(pieces) + 1) + 30.0)
-            counts[-1] = counts[~first].sum() / 4
-            weights = self.normalised(counts, first)
-        self.first, self.weights = first, weights
+    """Forward and backward sums over the segmentations of words, for several classes of documents at once. A word is read
+    behind one space; its first piece holds that space, and an end follows its last piece."""
+
+    def __init__(self, pieces: list[bytes], weights: np.ndarray):
+        """weights: natural logarithms, a row for each class, a column for each piece and, last, the end."""
+        self.weights = np.ascontiguousarray(weights)
         self.longest = max(map(len, pieces))
         self.place = {p: i for i, p in enumerate(pieces)}
         self.table = PieceTable(pieces)
 
+    @staticmethod
+    def start(pieces: list[bytes], classes: int) -> np.ndarray:
+        """Weights from the vocabulary's own order, as Zipf's law has them."""
+        first = first_pieces(pieces)
+        counts = 1.0 / (np.arange(len(pieces) + 1) + 30.0)
+        counts[-1] = counts[~first].sum() / 4
+        return np.tile(Lattice.normalised(counts, first), (classes, 1))
+
     @staticmethod
     def normalised(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Two distributions, each with a little mass for every piece: over first pieces, and over the rest with the end."""
@@ -66,31 +68,68 @@ class Lattice:
             out[part] = np.log(c / c.sum())
         return out
 
-    def _grid_sums(self, words: list[bytes], expected: np.ndarray | None) -> np.ndarray:
-        grid = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(len(words), -1)
-        n, length = grid.shape
-        w = np.append(self.weights, -np.inf)  # -1: no piece
-        arcs = list(self.table.arcs(grid))
-        forward = np.full((length + 1, n), -np.inf)
-        forward[0] = 0
-        for start, end, piece in arcs:
-            np.logaddexp(forward[end], forward[start] + w[piece], out=forward[end])
-        total = forward[length] + self.weights[-1]
-        if expected is not None:
-            backward = np.full((length + 1, n), -np.inf)
-            backward[length] = self.weights[-1]
-            for start, end, piece in reversed(arcs):
-                np.logaddexp(backward[start], backward[end] + w[piece], out=backward[start])
+    def _grids(self, words: list[bytes]) -> Iterator[tuple[list[int], list[tuple[int, int, np.ndarray]] | None]]:
+        """Words of one length together with their arcs; long words by themselves, without."""
+        by_length: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(i)
+        for length, at in by_length.items():
+            step = max(1, 2_000_000 // (length + 1) ** 2)
+            for lo in range(0, len(at), step) if length <= _LONG_WORD else ():
+                part = at[lo : lo + step]
+                grid = np.frombuffer(b"".join([b" " + words[i] for i in part]), dtype=np.uint8).reshape(len(part), -1)
+                yield part, list(self.table.arcs(grid))
+            if length > _LONG_WORD:
+                yield from (([i], None) for i in at)
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Natural logarithms of the words' marginals: a row for each word, a column for each class."""
+        k = len(self.weights)
+        out = np.empty((len(words), k))
+        for at, arcs in self._grids(words):
+            if arcs is None:
+                for c in range(k):
+                    out[at[0], c] = self._long_sum(b" " + words[at[0]], self.weights[c], None)
+                continue
+            length = len(words[at[0]]) + 1
+            w = np.append(self.weights, np.full((k, 1), -np.inf), axis=1)  # -1: no piece
+            forward = np.full((length + 1, k, len(at)), -np.inf)
+            forward[0] = 0
             for start, end, piece in arcs:
-                share = np.exp(forward[start] + w[piece] + backward[end] - total)
-                at = piece >= 0
-                expected += np.bincount(piece[at], share[at], len(expected))
-            expected[-1] += n
-        return total
+                some = np.flatnonzero(piece >= 0)
+                if len(some):
+                    forward[end][:, some] = np.logaddexp(forward[end][:, some], forward[start][:, some] + w[:, piece[some]])
+            out[at] = (forward[length] + self.weights[:, -1:]).T
+        return out
 
-    def _long_sum(self, word: bytes, expected: np.ndarray | None) -> float:
+    def expect(self, words: list[bytes], member: np.ndarray, expected: np.ndarray) -> None:
+        """Adds the pieces' expected counts over the words of each class (``member``: words x classes)."""
+        for at, arcs in self._grids(words):
+            for c in range(len(self.weights)):
+                own = np.flatnonzero(member[at, c])
+                if not len(own):
+                    continue
+                if arcs is None:
+                    self._long_sum(b" " + words[at[0]], self.weights[c], expected[c])
+                    continue
+                length = len(words[at[0]]) + 1
+                w, n = self.weights[c], len(own)
+                mine = [(s, e, at_, p[own[at_]]) for s, e, p in arcs if len(at_ := np.flatnonzero(p[own] >= 0))]
+                forward, backward = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
+                forward[0], backward[length] = 0, w[-1]
+                for s, e, i, p in mine:
+                    forward[e, i] = np.logaddexp(forward[e, i], forward[s, i] + w[p])
+                total = forward[length] + w[-1]
+                for s, e, i, p in reversed(mine):
+                    backward[s, i] = np.logaddexp(backward[s, i], backward[e, i] + w[p])
+                pieces = np.concatenate([p for _, _, _, p in mine])
+                shares = np.concatenate([np.exp(forward[s, i] + w[p] + backward[e, i] - total[i]) for s, e, i, p in mine])
+                expected[c] += np.bincount(pieces, shares, expected.shape[1])
+                expected[c, -1] += n
+
+    def _long_sum(self, word: bytes, weights: np.ndarray, expected: np.ndarray | None) -> float:
         """The same for one long word, position by position."""
-        n, weights, place = len(word), self.weights, self.place
+        n, place = len(word), self.place
         arcs = [[(s, k) for s in range(max(0, e - self.longest), e) if (k := place.get(word[s:e])) is not None] for e in range(n + 1)]
         forward = [0.0] * (n + 1)
         for e in range(1, n + 1):
@@ -108,33 +147,35 @@ class Lattice:
             expected[-1] += 1
         return total
 
-    def log_probabilities(self, words: list[bytes], expected: np.ndarray | None = None) -> np.ndarray:
-        """Natural logarithms of the words' marginals; ``expected`` is increased by the pieces' expected counts."""
-        out = np.empty(len(words))
-        by_length: dict[int, list[int]] = {}
-        for i, word in enumerate(words):
-            by_length.setdefault(len(word), []).append(i)
-        for length, at in by_length.items():
-            if length > _LONG_WORD:
-                for i in at:
-                    out[i] = self._long_sum(b" " + words[i], expected)
-                continue
-            for lo in range(0, len(at), 16_384):
-                part = at[lo : lo + 16_384]
-                out[part] = self._grid_sums([b" " + words[i] for i in part], expected)
-        return out
+
+def first_pieces(pieces: list[bytes]) -> np.ndarray:
+    """Which pieces, and the end behind them, begin a word."""
+    return np.asarray([p[:1] == b" " for p in pieces] + [False])
+
+
+def _word_groups(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.Table]:
+    """Batches joined to groups large enough for work by word length."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
 
 
-_lattices: dict[tuple, list[Lattice]] = {}
+_lattices: dict[tuple, Lattice] = {}
 
 
-def _lattice(model_path: str, weights: tuple[bytes | None, ...]) -> list[Lattice]:
-    """One for each class of documents; a worker process keeps the last ones."""
+def _lattice(model_path: str, weights: bytes) -> Lattice:
+    """A worker process keeps the last one."""
     key = (model_path, weights)
     if key not in _lattices:
         _lattices.clear()
         pieces = vocabulary_pieces(model_path)
-        _lattices[key] = [Lattice(pieces, None if w is None else np.frombuffer(w)) for w in weights]
+        _lattices[key] = Lattice(pieces, np.frombuffer(weights).reshape(-1, len(pieces) + 1))
     return _lattices[key]
 
 
@@ -145,7 +186,7 @@ def _classes(docs: DataFrame, most: int) -> dict[str, int]:
 
 
 def score_documents(
-    docs: DataFrame, is_training: Column, model_path: str, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = "lang", block_bytes: int = 16_000_000, rounds: int = 2, max_classes: int = 16
+    docs: DataFrame, is_training: Column, model_path: str, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = "lang", block_bytes: int = 16_000_000, rounds: int = 3, max_classes: int = 16
 ) -> DataFrame:
     """One row per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (add-one word
     unigram) and ``score`` (the model), both log10 probabilities of the whole text with its end.
@@ -190,21 +231,21 @@ def score_documents(
     n_of = np.asarray([stats[n] or 0 for n in names], dtype=float) + end_of
     types_of = np.asarray([stats[f"t{n}"] or 0 for n in names], dtype=float) + (end_of > 0)
     n_all, v_all = int(n_of.sum()), int((stats["types"] or 0) + (end_of.sum() > 0))
-    novel = min(0.5, max(1e-6, (stats["once"] or 0) / max(1, n_all))) if n_all else 1.0
+    # what is held back for other words goes to spellings so far that new words get the share of words seen once
+    held_back = v_all / max(1, n_all + v_all)
+    novel = min(0.95, max(1e-6, (stats["once"] or 0) / max(1, n_all) / max(held_back, 1e-12))) if n_all else 1.0
 
     # the pieces' weights: expected counts over each class's distinct training words
     pieces = vocabulary_pieces(model_path)
-    size, first = len(pieces) + 1, np.asarray([p[:1] == b" " for p in pieces] + [False])
-    weights: tuple[bytes | None, ...] = (None,) * k
+    size, first = len(pieces) + 1, first_pieces(pieces)
+    weights = Lattice.start(pieces, k).tobytes()
     for _ in range(rounds if stats["types"] else 0):
 
-        def expect(batches: Iterator[pa.RecordBatch], weights: tuple[bytes | None, ...] = weights) -> Iterator[pa.RecordBatch]:
-            lattices, expected = _lattice(model_path, weights), np.zeros((k, size))
-            for batch in batches:
-                held = [w.encode() for w in batch.column(0).to_pylist()]
-                for i, lattice in enumerate(lattices):
-                    at = np.flatnonzero(batch.column(i + 1).to_numpy())
-                    lattice.log_probabilities([held[j] for j in at], expected[i])
+        def expect(batches: Iterator[pa.RecordBatch], weights: bytes = weights) -> Iterator[pa.RecordBatch]:
+            lattice, expected = _lattice(model_path, weights), np.zeros((k, size))
+            for table in _word_groups(batches):
+                member = np.stack([table.column(i + 1).to_numpy() > 0 for i in range(k)], 1)
+                lattice.expect([w.encode() for w in table.column(0).to_pylist()], member, expected)
             c, at = np.nonzero(expected)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(at, pa.int32()), pa.array(expected[c, at], pa.float64())], ["class", "piece", "n"])
 
@@ -213,7 +254,7 @@ def score_documents(
         for r in learned.collect():  # at most one row for each class and piece of the vocabulary
             counts[r["class"], r["piece"]] = r["n"]
         counts += 0.01 * counts.sum(0) / k  # classes with few words lean on all
-        weights = tuple(Lattice.normalised(c, first).tobytes() for c in counts)
+        weights = np.stack([Lattice.normalised(c, first) for c in counts]).tobytes()
 
     prior = np.log((end_of + 1e-9) / (end_of.sum() + 1e-9 * k)) if n_all else np.full(k, -math.log(k))
 
@@ -228,12 +269,13 @@ def score_documents(
             return np.logaddexp(own, np.log(np.maximum(mass, 1e-9)) + math.log(novel) + spelled)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = _lattice(model_path, weights)
-        for batch in batches:
-            held = [w.encode() for w in batch.column(0).to_pylist()]
-            c = np.stack([batch.column(i + 1).to_numpy() for i in range(k)], 1)
-            logs = weigh(c.astype(float), np.stack([x.log_probabilities(held) for x in lattices], 1)).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.sum(1), pa.int64()), pa.array([r.tobytes() for r in logs], pa.binary())], ["word", "c", "logs"])
+        lattice = _lattice(model_path, weights)
+        for table in _word_groups(batches):
+            c = np.stack([table.column(i + 1).to_numpy() for i in range(k)], 1)
+            logs = weigh(c.astype(float), lattice.log_probabilities([w.encode() for w in table.column(0).to_pylist()])).astype("<f4")
+            for lo in range(0, len(c), 10_000):
+                part = slice(lo, lo + 10_000)
+                yield pa.RecordBatch.from_arrays([table.column(0)[part].combine_chunks(), pa.array(c[part].sum(1), pa.int64()), pa.array([r.tobytes() for r in logs[part]], pa.binary())], ["word", "c", "logs"])
 
     known = words.mapInArrow(spell, "word string, c long, logs binary")
     fetched = pairs.select("block", "word").join(known, "word")
