@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lumenfold.llm.common import text_groups
 from lumenfold.llm.pieces import PieceTable
@@ -157,8 +159,6 @@ def prefix_token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id"
             )
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = to_arrow_type(picked.schema["id"].dataType)
     out = picked.mapInArrow(count, f"id {picked.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, prefix_tokens binary")
     return out.withColumnRenamed("id", id_col)
@@ -178,6 +178,4 @@ def longest_prefix(counts: DataFrame, budget: int, out_col: str = "prefix_chars"
             cut = [None if b is None else int(np.flatnonzero(np.frombuffer(b, dtype="<i4") <= budget)[-1]) for b in stored]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut, pa.int64())], [*batch.schema.names, out_col])
 
-    from pyspark.sql.types import LongType
-
-    return counts.mapInArrow(fit, counts.schema.add(out_col, LongType()) if out_col not in counts.columns else counts.schema)
+    return counts.mapInArrow(fit, StructType([*counts.schema.fields, StructField(out_col, LongType())]))
