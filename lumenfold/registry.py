@@ -13,6 +13,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold import reachable
 from lumenfold.functions import citations, dates, filters, text
 from lumenfold.operators import fulltext, fusion, graph, templates, vectors
 
@@ -34,6 +35,7 @@ def query(sql: str | None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
