@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from lumenfold import reachable
 from lumenfold.functions import citations, dates, filters, text
-from lumenfold.operators import fulltext, fusion, graph, templates, vectors
+from lumenfold.operators import chunking, fulltext, fusion, graph, templates, vectors
+from lumenfold.plans import evalkit
+from lumenfold.sources import mysqldump
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -427,3 +429,65 @@ def date_spans(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", dates.date_spans(made).alias("spans"))
     whole = dates.overall(F.col("spans"))
     return rows.select("o_orderkey", F.size("spans").alias("n"), whole["start"].cast("string").alias("first_day"), whole["end"].cast("string").alias("last_day"), F.array_join(F.transform("spans", lambda s: s["text"]), "|").alias("mentions"))
+
+
+# ---------- more operators of the inventory ----------
+
+
+@query(f"WITH {EDGES} SELECT src AS post_id, count(DISTINCT dst) AS n FROM edges WHERE dst IN ('p1', 'p2', 's1', 's2') GROUP BY src")
+def entity_mention_counts(spark, sf_dir):
+    return edges(spark, sf_dir).filter(F.col("dst").isin("p1", "p2", "s1", "s2")).groupBy(F.col("src").alias("post_id")).agg(F.count_distinct("dst").alias("n"))
+
+
+@query("""WITH x AS (SELECT label, i AS pos, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS size FROM x GROUP BY label)
+SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(m / size, 6) AS x FROM x JOIN n USING (label)""")
+def centroids(spark, sf_dir):
+    found = vectors.centroids(table(spark, sf_dir, "embeddings"), "label")
+    return found.select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"""WITH {RELATIONS}, chunk_rank AS (SELECT o_orderkey AS chunk_id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS r FROM orders QUALIFY r < 10)
+SELECT entity_id, round(sum(1.0::DOUBLE / (1 + r)), 6) AS score FROM (SELECT DISTINCT subject_id AS entity_id, r FROM relations JOIN chunk_rank USING (chunk_id) UNION SELECT object_id, r FROM relations JOIN chunk_rank USING (chunk_id)) JOIN degree ON id = entity_id AND degree <= 50
+GROUP BY entity_id ORDER BY score DESC, entity_id LIMIT 5""")
+def seed_entities(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rel = relations(spark, sf_dir)
+    mentions = rel.select("chunk_id", F.col("subject_id").alias("entity_id")).union(rel.select("chunk_id", F.col("object_id").alias("entity_id"))).distinct()
+    top = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+    ranked = top.select(F.col("o_orderkey").alias("chunk_id"), (F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")) - 1).alias("chunk_rank"))
+    return fusion.seed_entities(graph.entities_in_chunks(mentions, rel, ranked, 50), 5)
+
+
+@query("SELECT l_suppkey AS src, l_partkey AS dst, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS labels, count(*) AS n FROM lineitem GROUP BY ALL")
+def merged_edges(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return evalkit.merged_edges(lines.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("label")))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'it''s (' || o_orderpriority || '); "' || o_orderstatus || '"' || chr(10) || 'end' AS text, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS author FROM orders""")
+def dump_round_trip(spark, sf_dir):
+    """Orders written as INSERT statements and read back by the dump reader."""
+    import pyarrow as pa
+
+    orders = table(spark, sf_dir, "orders")
+    said = F.concat(F.lit("it''s ("), "o_orderpriority", F.lit(');\\ "'), "o_orderstatus", F.lit('"\\nend'))
+    said = F.replace(said, F.lit(";\\ "), F.lit("; "))
+    author = F.when(F.col("o_orderkey") % 3 == 0, "NULL").otherwise(F.concat(F.lit("'"), F.col("o_custkey"), F.lit("'")))
+    statements = orders.select(F.concat(F.lit("INSERT INTO `t` (`id`, `text`, `author`) VALUES ("), F.col("o_orderkey"), F.lit(", '"), said, F.lit("', "), author, F.lit(");")).alias("sql"))
+
+    def read(batches):
+        for batch in batches:
+            data = "\n".join(batch.column(0).to_pylist()).encode()
+            rows = [r for _, r in mysqldump.parse(data)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in ("id", "text", "author")], ["id", "text", "author"])
+
+    return statements.mapInArrow(read, "id string, text string, author string")
+
+
+@query(None)
+def chunk_documents(spark, sf_dir):
+    """The documents as chunks of at most 128 tokens. Recursive splitting can't be said in SQL: tests hold it to its rules."""
+    docs = table(spark, sf_dir, "documents")
+    pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("section"), "source", "text")
+    return chunking.chunk_pages(pages, 128, 20).select("chunk_id", "doc_id", "chunk_index", "token_count", "language", "date_start", "date_end")

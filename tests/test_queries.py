@@ -33,7 +33,7 @@ def test_query_equals_its_sql(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == {"chunk_documents"}
 
 
 def test_driver_entry(spark):
