@@ -31,7 +31,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
         nxt[: n - i] = symbols[i:] + 1
         key = key << width | nxt
     # symbols behind an end are read too, but ends differ, so they never decide
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     head = np.append(True, ordered[1:] != ordered[:-1])
     rank = np.empty(n, dtype=np.int64)
@@ -44,7 +44,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
         suffix = order[at]
         group = rank[suffix]
         key = group << 32 | rank[suffix + known]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         suffix, key = suffix[by], key[by]
         order[at] = suffix  # groups are contiguous and rise, so places stay theirs
         new = np.append(True, key[1:] != key[:-1])
@@ -70,6 +70,8 @@ def long_common_prefixes(symbols: np.ndarray, least: int) -> tuple[np.ndarray, n
     order, settled, value = suffix_order(symbols, least)
     n = len(order)
     before = symbols[order - 1]  # the transform; the suffix at 0 is preceded by the last end
+    if symbols.max() < 1 << 16:
+        before = before.astype(np.uint16)  # sorted by counting
     by_symbol = np.argsort(before, kind="stable")  # place j of the suffix order comes from this place by one step back
     left, right = np.append(0, by_symbol[:-1]), by_symbol
     open_ = np.flatnonzero(~settled)

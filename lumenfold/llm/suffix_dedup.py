@@ -90,7 +90,7 @@ def _runs(mask: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist()
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, k: int = 24, task_bytes: int = 3_000_000, most_contexts: int = 4096) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, k: int = 24, task_bytes: int = 1_000_000, most_contexts: int = 4096) -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes).
 
     A byte goes if some string of ``least`` bytes that covers it starts anywhere else in the table, the same document
@@ -110,7 +110,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     long_enough = source.filter(F.octet_length("text") >= least).select("key", "text")
     every = written(long_enough.mapInArrow(anchors, "key long, anchor long, context long, start int, n smallint"), "suffix-anchors")
-    twice = every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
+    # a table of its own, so that a frequent anchor's rows can be split in the join
+    twice = written(every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), "suffix-twice")
     shared = written(every.join(twice, "anchor"), "suffix-shared")
     drop_written(only="suffix-anchors", after=mark)  # most anchors occur once: their table is large
     own = written(shared.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("at")), "suffix-contexts")
