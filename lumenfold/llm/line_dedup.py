@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import written
 
 
+SALTS = 16
+
+
 def patience_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned equal positions of two sequences, rising in both. Equal heads and tails are taken first, then the longest
     rising run of elements that each side holds once, and the stretches between go the same way."""
@@ -100,7 +103,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = pairs.groupBy("id", "th", F.col("first.id").alias("id0"), F.col("first.th").alias("th0")).agg(F.sum("w").alias("w")).filter(F.col("w") > 0)
     # blank lines and lines held twice add words to a block but not to this sum, which counts each line once
     later = pairs.join(keyed, ["id", "th"]).dropDuplicates(["id", "th", "id0", "th0"])
-    both = later.join(keyed.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("hashes").alias("hashes0")).dropDuplicates(["id0", "th0"]), ["id0", "th0"])
+    # a line that many documents have makes one document the partner of all of them: its pairs are dealt over SALTS parts
+    owners = pairs.select("id0", "th0").distinct().join(keyed.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("hashes").alias("hashes0")).dropDuplicates(["id0", "th0"]), ["id0", "th0"])
+    owners = owners.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    both = later.withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).cast("int")).join(owners, ["id0", "th0", "salt"])
     both = both.filter(_shared_words("hashes", "hashes0", "words") >= min_words)
     id_type = docs.schema[id_col].dataType.simpleString()
 
