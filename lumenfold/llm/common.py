@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +55,18 @@ def drop_written(after: int = 0, only: str = "") -> None:
 atexit.register(drop_written)
 
 
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]):
+    """The one large helper (a tokenizer, an automaton, a vocabulary) that a worker process keeps between tasks. Asking for
+    another one lets the last go, so that stages that follow each other don't pile theirs up."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of all texts: what block and partition counts are derived from."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()[0])
@@ -79,18 +93,29 @@ def chunks_of(batches: Iterator[pa.RecordBatch], size: Callable[[dict], int], mo
                 held, weight = [], 0
     if held:
         yield held
+    trim()
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[list[dict]]:
     return chunks_of(batches, lambda r: len(r["text"] or "") + 64, most_chars)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice's column ``__text`` holds ``most_chars`` or a single row; other columns come along."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The batches cut so that a slice's texts hold ``most_chars`` or are a single row: the slice with all its columns, and
+    its texts."""
     for batch in batches:
-        texts, lo, weight = batch.column(batch.schema.get_field_index("__text")).to_pylist(), 0, 0
+        texts, lo, weight = batch.column(batch.schema.get_field_index(column)).to_pylist(), 0, 0
         for hi, t in enumerate(texts, 1):
             weight += len(t or "") + 64
             if weight >= most_chars or hi == len(texts):
-                yield batch.slice(lo, hi - lo)
+                yield batch.slice(lo, hi - lo), texts[lo:hi]
                 lo, weight = hi, 0
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: an idle worker shares its machine with those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(found := ctypes.CDLL(libc), "malloc_trim"):
+        found.malloc_trim(0)

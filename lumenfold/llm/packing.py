@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lumenfold.llm.common import text_groups
+from lumenfold.llm.common import resident, text_groups
 
 # Letters that any engine calls letters; a text with other signs beyond ASCII goes to the library as a whole.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
@@ -36,7 +36,7 @@ class ChunkEncoder:
     class differently, go to the library whole.
     """
 
-    def __init__(self, path: str, cache_entries: int = 600_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -56,12 +56,14 @@ class ChunkEncoder:
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         end = np.asarray([end_id], dtype="<u4").tobytes()
         held = self.held
-        if len(held) >= self.cache_entries:
-            held.clear()
         split: list[list[str] | None] = [_CHUNK.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         found = [None if c is None else list(map(held.get, c)) for c in split]
         new = list({x for c, f in zip(split, found, strict=True) if f and None in f for x, b in zip(c, f, strict=True) if b is None})
         got = dict(zip(new, self._encode(new), strict=True))
+        if len(held) >= self.cache_entries:  # only what these texts use stays, frequent chunks among it
+            used = {x: b for c, f in zip(split, found, strict=True) if f for x, b in zip(c, f, strict=True) if b is not None}
+            held.clear()
+            held.update(used)
         held.update((c, b) for c, b in got.items() if len(c) <= 64)
         whole = iter(self._encode([t for t, c in zip(texts, split, strict=True) if c is None]))
         out = []
@@ -74,14 +76,9 @@ class ChunkEncoder:
         return out
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder_of(path: str) -> ChunkEncoder:
     """One per worker process and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return resident(("chunks", path), lambda: ChunkEncoder(path))
 
 
 @dataclass
