@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lumenfold.llm.common import text_groups
+from lumenfold.llm.common import resident, text_groups
 from lumenfold.llm.pieces import PieceTable
 
 MARK = "▁"
@@ -60,7 +60,7 @@ class PrefixCounter:
         if len(missed):
             new, at, back = np.unique(key[missed], return_index=True, return_inverse=True)
             pairs = [(int(left[j]), int(right[j])) for j in missed[at]]
-            got = self.bare.encode([(self.names[a] if a >= 0 else "") + self.names[b] for a, b in pairs])
+            got = self.bare.encode([(self.names[a] if a >= 0 else "") + self.names[b] for a, b in pairs], num_threads=1)  # a task has one core
             right_ = [ids == [self.number[x] for x in pair if x >= 0] for ids, pair in zip(got, pairs, strict=True)]
             fits = np.asarray(right_, dtype=bool)
             out[missed] = fits[back]
@@ -104,12 +104,15 @@ class PrefixCounter:
     def all_counts(self, texts: list[str]) -> list[np.ndarray]:
         """``counts`` of several texts; their new segments are learnt together."""
         split = [_SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.segments) >= self.cache_entries:
-            self.segments.clear()
         held = self.segments
-        got = self.learn(list({s for segs in split for s in segs if s not in held}))
+        found = [list(map(held.get, segs)) for segs in split]
+        got = self.learn(list({s for segs, f in zip(split, found, strict=True) if None in f for s, x in zip(segs, f, strict=True) if x is None}))
+        if len(held) >= self.cache_entries:  # only what these texts use stays, frequent segments among it
+            used = {s: x for segs, f in zip(split, found, strict=True) for s, x in zip(segs, f, strict=True) if x is not None}
+            held.clear()
+            held.update(used)
         held.update((s, x) for s, x in got.items() if len(s) <= 64)
-        return [self._assembled([held.get(s) or got[s] for s in segs]) for segs in split]
+        return [self._assembled([got[s] if x is None else x for s, x in zip(segs, f, strict=True)] if None in f else f) for segs, f in zip(split, found, strict=True)]
 
     def _assembled(self, found: list[tuple[bytes, int]]) -> np.ndarray:
         if not found:
@@ -126,14 +129,9 @@ class PrefixCounter:
         return self.all_counts([text])[0]
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(model_path: str) -> PrefixCounter:
     """One per worker process and model."""
-    if model_path not in _counters:
-        _counters[model_path] = PrefixCounter(model_path)
-    return _counters[model_path]
+    return resident(("prefixes", model_path), lambda: PrefixCounter(model_path))
 
 
 def prefix_token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
