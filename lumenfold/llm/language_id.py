@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lumenfold.llm.common import text_slices
+from lumenfold.llm.common import resident, text_slices
 
 UNKNOWN = "und"
 _BREAKS = re.compile(r"[\W\d_]+")
@@ -81,7 +81,7 @@ class CrossParser:
         self.table = (np.concatenate(tables) * self.width).ravel().astype(np.int32)  # states as offsets into the table
         self.roots = np.asarray(roots, dtype=np.int32) * self.width
 
-    def phrases(self, texts: list[str], piece: int = 8192) -> np.ndarray:
+    def phrases(self, texts: list[str], piece: int = 4096) -> np.ndarray:
         """Phrase counts, one row a text and one column a language. Long texts are parsed in pieces of ``piece`` signs."""
         k = len(self.labels)
         coded = [self.codes[np.frombuffer(t.encode("utf-32-le"), dtype="<u4")] for t in texts]
@@ -89,10 +89,10 @@ class CrossParser:
         parts.sort(key=lambda x: -len(x[1]))
         out = np.zeros((len(texts), k), dtype=np.int64)
         table, roots = self.table, self.roots
-        for at in range(0, len(parts), 2048):
-            group = parts[at : at + 2048]
+        for at in range(0, len(parts), 1024):
+            group = parts[at : at + 1024]
             lengths = np.asarray([len(c) for _, c in group])
-            grid = np.zeros((lengths[0], len(group)), dtype=np.int32)
+            grid = np.zeros((lengths[0], len(group)), dtype=np.uint16)
             for j, (_, c) in enumerate(group):
                 grid[: len(c), j] = c
             state = np.tile(roots[:, None], (1, len(group)))
@@ -132,15 +132,8 @@ def training_samples(docs: DataFrame, is_training: Column, label_col: str = "lan
     return out
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def _parser(samples: dict[str, str]) -> CrossParser:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(samples)
-    return _parsers[key]
+    return resident(("languages", tuple(sorted(samples.items()))), lambda: CrossParser(samples))
 
 
 def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -> DataFrame:
@@ -152,22 +145,21 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text") -
     rows included.
     """
     added = ("lang_pred", "score", "phrases_per_sign")
-    kept = docs.select(*[c for c in docs.columns if c not in added], F.col(text_col).alias("__text"))
+    kept = docs.select(*[c for c in docs.columns if c not in added])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(samples) if samples else None
-        for batch in text_slices(batches, 6_000_000):
-            raw = batch.column(batch.num_columns - 1).to_pylist()
+        for batch, raw in text_slices(batches, text_col, 2_000_000):
             label, score, rate = [UNKNOWN] * len(raw), [0.0] * len(raw), [None] * len(raw)
-            texts = [(i, n) for i, t in enumerate(raw) if t and len(n := normalised(t)) > 2]
+            texts = [(i, n) for i, t in enumerate(raw) if t and any(map(str.isalpha, n := normalised(t)))]
             if parser and texts:
                 counts = parser.phrases([t for _, t in texts])
                 for (i, text), c in zip(texts, counts, strict=True):
                     best = int(np.argmin(c))
                     second = np.partition(c, 1)[1] if len(c) > 1 else math.inf
                     label[i], score[i], rate[i] = parser.labels[best], float(1 - c[best] / second), float(c[best] / len(text))
-            cols = [*batch.columns[:-1], pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], *added])
+            cols = [*batch.columns, pa.array(label, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, *added])
 
-    schema = StructType([*kept.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("phrases_per_sign", DoubleType())])
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("phrases_per_sign", DoubleType())])
     return kept.mapInArrow(predict, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lumenfold.llm.common import blocks_for, text_bytes, written
+from lumenfold.llm.common import blocks_for, resident, text_bytes, written
 from lumenfold.llm.pieces import PieceTable
 
 _LN10 = math.log(10)
@@ -166,17 +166,14 @@ def _word_groups(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Itera
         yield pa.Table.from_batches(held)
 
 
-_lattices: dict[tuple, Lattice] = {}
-
-
 def _lattice(model_path: str, weights: bytes) -> Lattice:
-    """A worker process keeps the last one."""
-    key = (model_path, weights)
-    if key not in _lattices:
-        _lattices.clear()
+    """One per worker process, model and weights."""
+
+    def make() -> Lattice:
         pieces = vocabulary_pieces(model_path)
-        _lattices[key] = Lattice(pieces, np.frombuffer(weights).reshape(-1, len(pieces) + 1))
-    return _lattices[key]
+        return Lattice(pieces, np.frombuffer(weights).reshape(-1, len(pieces) + 1))
+
+    return resident(("lattice", model_path, weights), make)
 
 
 def _classes(docs: DataFrame, most: int) -> dict[str, int]:

@@ -18,17 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import text_groups, written
+from lumenfold.llm.common import resident, text_groups, written
 from lumenfold.llm.components import connected_components
 from lumenfold.llm.minhash import Minima, Shingler, equal_minima
 
-_shinglers: dict[int, Shingler] = {}
-
-
 def shingler(width: int) -> Shingler:
-    if width not in _shinglers:
-        _shinglers[width] = Shingler(width, 250_000)
-    return _shinglers[width]
+    """One per worker process and width."""
+    return resident(("shingles", width), lambda: Shingler(width, 200_000))
 
 
 class _Forest:
