@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold import reachable
 from lumenfold.llm.common import fold, written
 from lumenfold.llm.decontaminate import contaminated
 from lumenfold.llm.language_id import UNKNOWN, identify, training_samples
@@ -21,6 +22,7 @@ from lumenfold.llm.queries import BYTE_TOKENIZER, tokenizer_path
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without a letter, null texts included, go. A corpus without a labelled
     text keeps all documents with letters."""
+    reachable(spark)
     samples = training_samples(docs, fold("doc_id", 3) != 1)
     if not samples:
         return docs.filter(F.col("text").rlike("\\p{L}"))
@@ -29,6 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks an earlier one has; those that lose every word go. ``n_chars`` follows the text."""
+    reachable(spark)
     kept = dedup_lines(docs).filter((F.col("lines_removed") == 0) | F.col("text").rlike("\\S"))
     changed = F.when(F.col("lines_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(docs.columns)
@@ -37,12 +40,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest id. Documents with a
     null id are in no group."""
+    reachable(spark)
     gone = near_duplicates(docs, width=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Those with a null id can't be told apart: they are searched by their text."""
+    reachable(spark)
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     found = contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key").select("__key").distinct()
     return keyed.join(found, "__key", "left_anti").select(docs.columns)
@@ -50,6 +55,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces with their token ids."""
+    reachable(spark)
     return pack_documents(docs, tokenizer_path(BYTE_TOKENIZER))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import ctypes.util
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +20,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local one is made.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset and all tasks run inside the driver (tests, a
+    laptop), a local one is made; a cluster without it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold import reachable
 from lumenfold.llm import license_scan
 from lumenfold.llm.common import fold
 
@@ -20,8 +21,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +57,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenfold.llm.topk import exact_top_k, quantised
 
-    vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    vectors = quantised(table(spark, sf_dir, "embeddings"))
     return exact_top_k(vectors, F.col("vec_id") % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
 
 
@@ -77,7 +83,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenfold.llm.decontaminate import contaminated
 
-    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

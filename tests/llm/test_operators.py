@@ -243,7 +243,7 @@ def test_languages_of_held_out_texts(spark):
     from lumenfold.llm.language_id import identify, training_samples
 
     rows = [(lang, " ".join(random.choice(words) for _ in range(60))) for i in range(120) for lang, words in [random.choice(list(LANGS.items()))]]
-    extra = [(None, None), ("xx", ""), ("xx", "123 456"), (None, "tharo venli drisk"), ("yy", " ".join(LANGS["yy"] * 9000))]
+    extra = [(None, None), ("xx", ""), ("xx", "123 ½²456 "), (None, "tharo venli drisk"), ("yy", " ".join(LANGS["yy"] * 9000))]
     all_ = rows + extra
     docs = table(spark, [t for _, t in all_], list(range(len(all_))), [lang for lang, _ in all_])
     samples = training_samples(docs, fold("doc_id", 3) != 1)
