@@ -13,6 +13,7 @@ from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ class ChunkEncoder:
     class differently, go to the library whole.
     """
 
-    def __init__(self, path: str, cache_entries: int = 500_000):
+    def __init__(self, path: str, cache_entries: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -57,22 +58,18 @@ class ChunkEncoder:
         end = np.asarray([end_id], dtype="<u4").tobytes()
         held = self.held
         split: list[list[str] | None] = [_CHUNK.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        found = [None if c is None else list(map(held.get, c)) for c in split]
-        new = list({x for c, f in zip(split, found, strict=True) if f and None in f for x, b in zip(c, f, strict=True) if b is None})
-        got = dict(zip(new, self._encode(new), strict=True))
+        own = set(chain.from_iterable(filter(None, split)))
         if len(held) >= self.cache_entries:  # only what these texts use stays, frequent chunks among it
-            used = {x: b for c, f in zip(split, found, strict=True) if f for x, b in zip(c, f, strict=True) if b is not None}
+            used = {c: held[c] for c in own if c in held}
             held.clear()
             held.update(used)
-        held.update((c, b) for c, b in got.items() if len(c) <= 64)
+        new = list(own.difference(held))
+        held.update(zip(new, self._encode(new), strict=True))
         whole = iter(self._encode([t for t, c in zip(texts, split, strict=True) if c is None]))
-        out = []
-        for c, f in zip(split, found, strict=True):
-            if c is None:
-                ids = next(whole)
-            else:
-                ids = b"".join([got[x] if b is None else b for x, b in zip(c, f, strict=True)] if None in f else f)
-            out.append(np.frombuffer(ids + end, dtype="<u4"))
+        out = [np.frombuffer((next(whole) if c is None else b"".join(map(held.__getitem__, c))) + end, dtype="<u4") for c in split]
+        for c in new:
+            if len(c) > 64:
+                del held[c]
         return out
 
 
