@@ -31,12 +31,13 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = written(clean, "cc-edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     state = None
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if edges.limit(1).count() else 0):
         edges = written(_small_star(_large_star(edges)), "cc-edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
         if (now["n"], now["h"]) == state:
             break
         state = (now["n"], now["h"])
     else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        if state is not None:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
