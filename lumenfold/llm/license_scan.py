@@ -79,11 +79,17 @@ def telling_signs(templates: dict[str, list[str]], threshold: float, least: int
 
 
 def _may_match(text: Column, templates: dict[str, list[str]], threshold: float) -> Column:
+    """Whether a text holds a telling word or bigram. The lower-cased text is a lambda's argument, so that it is made once
+    and not for each word."""
     words, pairs = telling_signs(templates, threshold)
-    tests = [F.contains(F.lower(text), F.lit(w)) for w in words if not any(v != w and v in w for v in words)]
-    if pairs:
-        tests.append(text.rlike("(?i)(?:" + "|".join(f"{a}[^a-z0-9]+{b}" for a, b in pairs) + ")"))
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+    def tests(low: Column) -> Column:
+        found = [F.contains(low, F.lit(w)) for w in words if not any(v != w and v in w for v in words)]
+        if pairs:
+            found.append(low.rlike("|".join(f"{a}[^a-z0-9]+{b}" for a, b in pairs)))
+        return reduce(lambda a, b: a | b, found, F.lit(False))
+
+    return F.element_at(F.transform(F.array(F.lower(text)), tests), 1)
 
 
 def words_of(text: Column) -> Column:
