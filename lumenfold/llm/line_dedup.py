@@ -1,9 +1,9 @@
 """Line deduplication by pairwise alignment: a later document loses the blocks it shares, in order, with an earlier one.
 
-Overlapping documents are found through line hashes: each shared line names the earliest document that has it, and the
-later holder is paired with that one. The rarer a shared line, the fewer pairs it makes, and none makes more than its
-holders; a line so common and short that it can't fill a block makes none. Pairs are aligned by patience diff over the
-hashes.
+Overlapping documents are found through hashes of lines and of runs of adjacent lines that just fill a block: each shared
+line or run names the earliest document that has it, and the later holder is paired with that one. Every line of a shared
+block stands in such a run, so its pair is found wherever its lines stand singly before; none makes more pairs than its
+holders. Pairs are aligned by patience diff over the hashes.
 """
 
 from __future__ import annotations
@@ -22,6 +22,36 @@ from lumenfold.llm.common import written
 SALTS = 16
 
 
+_PRIME, _BASE = (1 << 61) - 1, 0x9E3779B97F4A7C1
+
+
+def block_runs(hashes: list[int], words: list[int], min_words: int) -> set[int]:
+    """Hashes of the runs of two lines or more that reach ``min_words`` and would not without their last or their first
+    line, which are not blank: the shortest from each line on and the shortest up to each line."""
+    n = len(hashes)
+    sums, rolled, powers = [0], [0], [1]
+    for h, w in zip(hashes, words, strict=True):
+        sums.append(sums[-1] + w)
+        rolled.append((rolled[-1] * _BASE + h) % _PRIME)
+        powers.append(powers[-1] * _BASE % _PRIME)
+    spans = set()
+    hi = 0
+    for lo in range(n):  # the shortest from lo on
+        while hi < n and sums[hi] - sums[lo] < min_words:
+            hi += 1
+        if sums[hi] - sums[lo] < min_words:
+            break
+        if words[lo] and hi > lo + 1:
+            spans.add((lo, hi))
+    lo = 0
+    for hi in range(1, n + 1):  # the shortest up to hi
+        while sums[hi] - sums[lo + 1] >= min_words and lo + 1 < hi:
+            lo += 1
+        if words[hi - 1] and hi > lo + 1 and sums[hi] - sums[lo] >= min_words:
+            spans.add((lo, hi))
+    return {(rolled[hi] - rolled[lo] * powers[hi - lo]) % _PRIME for lo, hi in spans}
+
+
 def patience_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned equal positions of two sequences, rising in both. Equal heads and tails are taken first, then the longest
     rising run of elements that each side holds once, and the stretches between go the same way."""
@@ -98,6 +128,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     keyed = written(keyed, "lines")
     held = keyed.select("id", "th", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("id", "th", F.col("l.hashes").alias("h"), F.col("l.words").alias("w")).filter("w > 0").distinct()
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [block_runs(h, w, min_words) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            at = pa.array([k for k, x in enumerate(own) for _ in x], pa.int32())
+            h = pa.array([h for x in own for h in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), h, pa.array([min_words] * len(h), pa.int32())], ["id", "th", "h", "w"])
+
+    held = held.union(keyed.filter(F.size("hashes") > 1).mapInArrow(runs, f"id {id_type}, th long, h long, w int"))
     first = held.groupBy("h").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("df")).filter("df > 1")
     pairs = held.join(first, "h").filter((F.col("first.id") != F.col("id")) | (F.col("first.th") != F.col("th")))
     pairs = pairs.groupBy("id", "th", F.col("first.id").alias("id0"), F.col("first.th").alias("th0")).agg(F.sum("w").alias("w")).filter(F.col("w") > 0)
@@ -108,7 +148,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = owners.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     both = later.withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).cast("int")).join(owners, ["id0", "th0", "salt"])
     both = both.filter(_shared_words("hashes", "hashes0", "words") >= min_words)
-    id_type = docs.schema[id_col].dataType.simpleString()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

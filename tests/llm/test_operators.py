@@ -210,6 +210,30 @@ def test_later_documents_lose_aligned_blocks(spark):
     assert dedup_lines(empty(spark)).count() == 0 and dedup_lines(odd_table(spark)).count() == len(TEXTS) + 2
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_every_line_of_a_shared_block_stands_in_a_shared_run(seed):
+    from lumenfold.llm.line_dedup import block_runs
+
+    r = random.Random(seed)
+    block = [(r.randrange(50), r.choice([0, 1, 3, 9, 12])) for _ in range(r.randrange(4, 12))]
+    runs = block_runs(*map(list, zip(*block, strict=True)), 20)
+    assert bool(runs) == (sum(w for _, w in block) >= 20)
+    a, b = ([(100 * k + r.randrange(50), 5) for _ in range(8)] + block + [(100 * k + r.randrange(50), 5) for _ in range(8)] for k in (1, 2))
+    assert block_runs(*map(list, zip(*a, strict=True)), 20) & block_runs(*map(list, zip(*b, strict=True)), 20) == runs
+
+
+def test_blocks_whose_lines_all_stand_singly_before(spark):
+    from lumenfold.llm.line_dedup import dedup_lines
+
+    l1, l2, l3, l4 = (prose(n, 40 + n) for n in (10, 9, 11, 3))
+    block = [l1, "", l2, l3, l4]
+    early = [f"{l1}\nown a", f"{l2}\nown b", f"own c\n{l3}", f"{l4}\nown d"]
+    late = ["\n".join([f"head {i}", *block, f"tail {i}"]) for i in range(6)]
+    got = {r["doc_id"]: r for r in dedup_lines(table(spark, early + late, list(range(10)))).collect()}
+    assert [got[i]["text"] for i in range(5)] == early + late[:1]
+    assert [got[i]["text"] for i in range(5, 10)] == [f"head {i}\ntail {i}" for i in range(1, 6)]
+
+
 # ---------- 5 ----------
 
 
