@@ -3,7 +3,8 @@
 Overlapping documents are found through hashes of lines and of runs of adjacent lines that just fill a block: each shared
 line or run names the earliest document that has it, and the later holder is paired with that one. Every line of a shared
 block stands in such a run, so its pair is found wherever its lines stand singly before; none makes more pairs than its
-holders. Pairs are aligned by patience diff over the hashes.
+holders; equal documents are paired with the first of them. Pairs are aligned by patience diff over the hashes. Where it
+finds no order to go by, the heaviest shared runs are taken, and passages that either side repeats go wherever they stand.
 """
 
 from __future__ import annotations
@@ -52,10 +53,75 @@ def block_runs(hashes: list[int], words: list[int], min_words: int) -> set[int]:
     return {(rolled[hi] - rolled[lo] * powers[hi - lo]) % _PRIME for lo, hi in spans}
 
 
-def patience_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+class Runs:
+    """A suffix automaton of a sequence: finds where the runs of another one stand in it."""
+
+    def __init__(self, a: list[int]):
+        self.next, self.link, self.length, self.end = [{}], [-1], [0], [0]
+        last = 0
+        for p, x in enumerate(a, 1):
+            state = self._add({}, 0, self.length[last] + 1, p)
+            while last != -1 and x not in self.next[last]:
+                self.next[last][x] = state
+                last = self.link[last]
+            if last != -1:
+                to = self.next[last][x]
+                if self.length[last] + 1 < self.length[to]:
+                    twin = self._add(dict(self.next[to]), self.link[to], self.length[last] + 1, self.end[to])
+                    self.link[to] = twin
+                    while last != -1 and self.next[last].get(x) == to:
+                        self.next[last][x] = twin
+                        last = self.link[last]
+                    to = twin
+                self.link[state] = to
+            last = state
+
+    def _add(self, following: dict[int, int], link: int, length: int, end: int) -> int:
+        self.next.append(following)
+        self.link.append(link)
+        self.length.append(length)
+        self.end.append(end)
+        return len(self.next) - 1
+
+    def longest(self, b: list[int]) -> Iterator[tuple[int, int]]:
+        """For each position of ``b``: the length of the longest run up to it that the sequence holds, and where one ends."""
+        state = n = 0
+        for x in b:
+            while state and x not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if x in self.next[state]:
+                state, n = self.next[state][x], n + 1
+            yield n, self.end[state]
+
+
+def _can_hold(a: list[int], b: list[int], words: list[int], least: int) -> bool:
+    """Whether lines of ``b`` that ``a`` has too stand together with ``least`` words."""
+    known, total = set(a), 0
+    for x, w in zip(b, words, strict=True):
+        total = total + w if x in known else 0
+        if total >= least:
+            return True
+    return False
+
+
+def heaviest_run(a: list[int], b: list[int], words: list[int], least: int) -> tuple[int, int, int] | None:
+    """Starts in both and length of the shared run of most words, if that is ``least``; ``words`` are those of ``b``."""
+    if not _can_hold(a, b, words, least):
+        return None
+    sums = [0]
+    for w in words:
+        sums.append(sums[-1] + w)
+    weight, n, end, j = max((sums[j] - sums[j - n], n, -end, -j) for j, (n, end) in enumerate(Runs(a).longest(b), 1))
+    return (-end - n, -j - n, n) if weight >= least else None
+
+
+def patience_pairs(a: list[int], b: list[int], words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
     """Aligned equal positions of two sequences, rising in both. Equal heads and tails are taken first, then the longest
-    rising run of elements that each side holds once, and the stretches between go the same way."""
+    rising run of elements that each side holds once, or where there is none the shared run of most ``words`` (of b's
+    elements, one each by default) that has ``least``, and the stretches between go the same way."""
     out: list[tuple[int, int]] = []
+    words = [1] * len(b) if words is None else words
     todo = [(0, len(a), 0, len(b))]
     while todo:
         lo_a, hi_a, lo_b, hi_b = todo.pop()
@@ -70,45 +136,79 @@ def patience_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         times_a, times_b = Counter(a[lo_a:hi_a]), Counter(b[lo_b:hi_b])
         where = {b[j]: j for j in range(lo_b, hi_b) if times_b[b[j]] == 1}
         once = [(i, where[a[i]]) for i in range(lo_a, hi_a) if times_a[a[i]] == 1 and a[i] in where]
-        if not once:
+        if once:
+            run = _rising(once)
+        elif found := heaviest_run(a[lo_a:hi_a], b[lo_b:hi_b], words[lo_b:hi_b], least):
+            run = [(lo_a + found[0] + k, lo_b + found[1] + k) for k in range(found[2])]
+        else:
             continue
-        tails: list[int] = []  # the smallest end of a rising run of each length
-        ends: list[int] = []
-        before: list[int] = []
-        for k, (_, j) in enumerate(once):
-            at = bisect_left(tails, j)
-            before.append(ends[at - 1] if at else -1)
-            if at == len(tails):
-                tails.append(j)
-                ends.append(k)
-            else:
-                tails[at], ends[at] = j, k
-        run, k = [], ends[-1]
-        while k >= 0:
-            run.append(once[k])
-            k = before[k]
-        run.reverse()
         out += run
         edges = [(lo_a - 1, lo_b - 1), *run, (hi_a, hi_b)]
         todo += [(p + 1, q, r + 1, s) for (p, r), (q, s) in zip(edges, edges[1:], strict=False) if q > p + 1 and s > r + 1]
     return sorted(out)
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Positions of b in aligned runs, unbroken in both sequences, of ``min_words`` words or more."""
-    out, block = [], []
+def _rising(once: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs that rises in the second place too."""
+    tails: list[int] = []  # the smallest end of a rising run of each length
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(once):
+        at = bisect_left(tails, j)
+        before.append(ends[at - 1] if at else -1)
+        if at == len(tails):
+            tails.append(j)
+            ends.append(k)
+        else:
+            tails[at], ends[at] = j, k
+    run, k = [], ends[-1]
+    while k >= 0:
+        run.append(once[k])
+        k = before[k]
+    run.reverse()
+    return run
 
-    def close() -> None:
-        if sum(words[j] for _, j in block) >= min_words:
-            out.extend(j for _, j in block)
 
-    for i, j in patience_pairs(a, b):
-        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
-            close()
-            block = []
-        block.append((i, j))
-    close()
-    return out
+def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
+    """Positions of b in runs of ``min_words`` words or more that a holds unbroken too: those that can be aligned in order,
+    and those of lines that a or b repeats wherever they stand. What is left of such runs crosses an aligned one and has a
+    line that each side holds once."""
+    blocks: list[tuple[int, int, int]] = []  # starts in both, length
+    for i, j in patience_pairs(a, b, words, min_words):
+        if blocks and (i, j) == (blocks[-1][0] + blocks[-1][2], blocks[-1][1] + blocks[-1][2]):
+            blocks[-1] = (*blocks[-1][:2], blocks[-1][2] + 1)
+        else:
+            blocks.append((i, j, 1))
+    blocks = [x for x in blocks if sum(words[x[1] : x[1] + x[2]]) >= min_words]
+    # aligned lines that fill no block stand in no block's way: what lies between the blocks is searched without them
+    edges = [(0, 0, 0), *blocks, (len(a), len(b), 0)]
+    todo = [(i + n, p, j + n, q) for (i, j, n), (p, q, _) in zip(edges, edges[1:], strict=False)]
+    while todo:
+        lo_a, hi_a, lo_b, hi_b = todo.pop()
+        if found := heaviest_run(a[lo_a:hi_a], b[lo_b:hi_b], words[lo_b:hi_b], min_words):
+            i, j, n = lo_a + found[0], lo_b + found[1], found[2]
+            blocks.append((i, j, n))
+            todo += [(lo_a, i, lo_b, j), (i + n, hi_a, j + n, hi_b)]
+    blocks.sort()
+    edges = [(0, 0, 0), *blocks, (len(a), len(b), 0)]
+    cut = set()
+    for (i, j, n), (p, q, m), (r, s, _) in zip(edges, edges[1:], edges[2:], strict=False):
+        lo = hi = 0  # lines that the block grows by
+        while p - lo > i + n and q - lo > j + n and a[p - lo - 1] == b[q - lo - 1]:
+            lo += 1
+        while p + m + hi < r and q + m + hi < s and a[p + m + hi] == b[q + m + hi]:
+            hi += 1
+        cut.update(range(q - lo, q + m + hi))
+    times_a, times_b = Counter(a), Counter(b)
+    free = [None if j in cut or words[j] and times_a[x] == times_b[x] == 1 else x for j, x in enumerate(b)]
+    if _can_hold(a, free, words, min_words):
+        sums, done = [0], 0
+        for j, (n, _) in enumerate(Runs(a).longest(free), 1):
+            sums.append(sums[-1] + words[j - 1])
+            if sums[j] - sums[j - n] >= min_words:
+                cut.update(range(max(j - n, done), j))
+                done = j
+    return sorted(cut)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
@@ -137,7 +237,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             h = pa.array([h for x in own for h in x], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), h, pa.array([min_words] * len(h), pa.int32())], ["id", "th", "h", "w"])
 
-    held = held.union(keyed.filter(F.size("hashes") > 1).mapInArrow(runs, f"id {id_type}, th long, h long, w int"))
+    several = keyed.filter(F.size("hashes") > 1)
+    whole = several.select("id", "th", F.xxhash64("hashes").alias("h"), F.aggregate("words", F.lit(0), lambda s, w: s + w).alias("w")).filter(F.col("w") >= min_words)
+    held = held.union(several.mapInArrow(runs, f"id {id_type}, th long, h long, w int")).union(whole)
     first = held.groupBy("h").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("df")).filter("df > 1")
     pairs = held.join(first, "h").filter((F.col("first.id") != F.col("id")) | (F.col("first.th") != F.col("th")))
     pairs = pairs.groupBy("id", "th", F.col("first.id").alias("id0"), F.col("first.th").alias("th0")).agg(F.sum("w").alias("w")).filter(F.col("w") > 0)

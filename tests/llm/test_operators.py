@@ -234,6 +234,38 @@ def test_blocks_whose_lines_all_stand_singly_before(spark):
     assert [got[i]["text"] for i in range(5, 10)] == [f"head {i}\ntail {i}" for i in range(1, 6)]
 
 
+def test_repeated_passages_and_copies_of_crossed_documents_go(spark):
+    from lumenfold.llm.line_dedup import dedup_lines, patience_pairs
+
+    assert patience_pairs([1, 9, 2, 9, 3], [4, 9, 5]) == [(1, 1)] and patience_pairs([4, 9, 5], [1, 9, 2, 9, 3]) == [(1, 1)]
+    p, q, x, y, z = (prose(25, 50 + i) for i in range(5))
+    s, t = prose(6, 60), prose(6, 61)
+    texts = [f"u\n{p}\nv\n{p}\nw", f"k\n{p}\nm", f"k2\n{p}\nm2", f"b\n{q}\nc", f"d\n{q}\ne\n{q}\nf", "\n".join([x, y, z]), f"{z}\n{y}", f"{z}\n{y}", f"{s}\ng\n{t}\n{prose(25, 62)}", f"{prose(25, 62)}\n{s}\nh\n{t}"]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(table(spark, texts, list(range(len(texts))))).collect()}
+    assert [got[i] for i in (0, 1, 2, 3, 4, 5, 7)] == [texts[0], "k\nm", "k2\nm2", texts[3], "d\ne\nf", texts[5], ""]
+    assert got[6] in (y, z) and got[9] == f"{s}\nh\n{t}"  # short lines in order don't stand in a block's way
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_common_blocks_leave_only_crossed_ones(seed):
+    from lumenfold.llm.line_dedup import common_blocks
+
+    r = random.Random(seed)
+    lines = r.choice([4, 12, 40])
+    weight = [0, *(r.choice([2, 7, 12, 25]) for _ in range(lines))]
+    a = [r.randrange(lines + 1) for _ in range(r.randrange(30))]
+    b = [r.randrange(lines + 1) for _ in range(r.randrange(10))]
+    for _ in range(r.randrange(4)):
+        lo = r.randrange(len(a) + 1)
+        b += a[lo : lo + r.randrange(9)] + [r.randrange(lines + 1)]
+    words = [weight[x] for x in b]
+    cut = set(common_blocks(a, b, words, 20))
+    shared = {(lo, hi) for lo in range(len(b)) for hi in range(lo + 1, len(b) + 1) if sum(words[lo:hi]) >= 20 and any(a[i : i + hi - lo] == b[lo:hi] for i in range(len(a)))}
+    assert cut <= {j for lo, hi in shared for j in range(lo, hi)} and (cut or not shared)
+    for lo, hi in shared:
+        assert cut & set(range(lo, hi)) or any(words[j] and a.count(b[j]) == b.count(b[j]) == 1 for j in range(lo, hi))
+
+
 # ---------- 5 ----------
 
 
