@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Notices by which texts state a licence, and the short public licence texts.
+# Notices by which texts state a licence, and some short public licence texts (MIT, ISC). Only these are recognised.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
