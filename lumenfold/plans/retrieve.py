@@ -168,14 +168,7 @@ class PostEngine:
     def __init__(self, posts: DataFrame, edges: DataFrame, vertices: DataFrame, chunks: DataFrame, embed: Callable[[str], list[float]], settings: Settings | None = None, scorer: Scorer | None = overlap_scorer):
         self.posts, self.edges, self.vertices, self.chunks = flat_posts(posts), edges, vertices, chunks
         self.embed, self.settings, self.scorer = embed, settings or Settings(), scorer
-        self._index: NameIndex | None = None
-
-    def index(self) -> NameIndex:
-        """Names a question can use; a new write makes a new engine, so it is read once."""
-        if self._index is None:
-            own = self.vertices if "aliases" in self.vertices.columns else self.vertices.withColumn("aliases", F.array().cast("array<string>"))
-            self._index = NameIndex.of(graph.name_index(own, self.edges, ["SocialEntity", "Account", "Hashtag", "District", "Thana", "Category", "SubCategory"]))
-        return self._index
+        self.index = NameIndex(vertices, edges)
 
     def tests(self, analysis: Analysis) -> dict:
         column = {"district": "districts", "thana": "thanas", "category": "categories", "sub_category": "sub_categories"}
@@ -207,7 +200,7 @@ class PostEngine:
 
     def retrieve(self, question: str, mode: str = "hybrid", top_k: int | None = None, explicit: dict[str, str] | None = None, today=None) -> Result:
         s, explicit = self.settings, explicit or {}
-        analysis, tests = self.relaxed(analyze_posts(question, self.index(), today), explicit)
+        analysis, tests = self.relaxed(analyze_posts(question, self.index, today), explicit)
         where = flt.conjunction(tests) if tests else None
         out = Result(question, mode, analysis)
         allowed = self.posts if where is None else self.posts.filter(where)
