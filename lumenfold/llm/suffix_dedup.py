@@ -8,7 +8,8 @@ Which strings of ``least`` bytes repeat is found without sorting the whole corpu
 2. Equal contexts are counted as one. One that occurs twice repeats as a whole.
 3. Contexts that differ but share an anchor meet in one task, which joins them into a text, builds its Burrows-Wheeler
    transform and expands common prefixes backwards by rising length, up to ``least`` (``bwt``).
-4. Anchors with more differing contexts than one task may hold are not sorted: their strings are counted one by one.
+4. Where an anchor has more differing contexts than one task may hold, they are split by anchors of longer k-grams, as if
+   they were the corpus, until each part fits; the longest anchor is the string itself, and then equal contexts are all.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenfold.llm.bwt import repeated_starts
-from lumenfold.llm.common import drop_written, text_groups, written, written_so_far
+from lumenfold.llm.common import drop_written, written, written_so_far
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -90,80 +92,101 @@ def _runs(mask: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist()
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, k: int = 24, task_bytes: int = 1_000_000, most_contexts: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes).
+def _slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch cut so that the values of a column hold ``most`` bytes or are a single row."""
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
+    lo, weight = 0, 0
+    for hi, size in enumerate(sizes, 1):
+        weight += size + 64
+        if weight >= most or hi == len(sizes):
+            yield batch.slice(lo, hi - lo)
+            lo, weight = hi, 0
 
-    A byte goes if some string of ``least`` bytes that covers it starts anywhere else in the table, the same document
-    included; strings never cross documents and are judged on the input. Null and empty texts have no bytes; equal rows
-    count as two documents; null ids are kept; an empty table gives no rows; other columns aren't read. Texts are told
-    apart, and anchors and contexts compared, by 64-bit hashes.
-    """
+
+def _bytes_of(value: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=np.uint8)
+
+
+_KEY = ["k1", "k2"]
+
+
+def _repeats(source: DataFrame, distinct: DataFrame, least: int, grams: tuple[int, ...], task_bytes: int, most_contexts: int) -> DataFrame:
+    """``k1, k2, spans`` (array of start and runs, which count from there): the starts of repeated strings in each key's
+    ``data``. ``source`` has k1, k2 and data, equal rows counting as often as they stand; ``distinct`` has each key once.
+    Keys are 128 bits."""
     mark = written_so_far()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    k, longer = grams[0], grams[1:]
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_groups(batches, 1_000_000):
-            found = [contexts_of(np.frombuffer((r["text"] or "").encode(), dtype=np.uint8), least, k) for r in rows]
-            keys = np.repeat(np.asarray([r["key"] for r in rows], dtype=np.int64), [len(f[0]) for f in found])
+        for part in (x for batch in batches for x in _slices(batch, "data")):
+            found = [contexts_of(_bytes_of(d), least, k) for d in part.column(2)]
+            times = [len(f[0]) for f in found]
+            keys = [pa.array(np.repeat(part.column(i).to_numpy(), times)) for i in (0, 1)]
             a, c, s, n = (np.concatenate([f[i] for f in found]) for i in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(a), pa.array(c), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int16))], ["key", "anchor", "context", "start", "n"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(a), pa.array(c), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int16))], [*_KEY, "anchor", "context", "start", "n"])
 
-    long_enough = source.filter(F.octet_length("text") >= least).select("key", "text")
-    every = written(long_enough.mapInArrow(anchors, "key long, anchor long, context long, start int, n smallint"), "suffix-anchors")
+    every = written(source.select(*_KEY, "data").mapInArrow(anchors, "k1 long, k2 long, anchor long, context long, start int, n smallint"), "suffix-anchors")
     # a table of its own, so that a frequent anchor's rows can be split in the join
     twice = written(every.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"), "suffix-twice")
     shared = written(every.join(twice, "anchor"), "suffix-shared")
     drop_written(only="suffix-anchors", after=mark)  # most anchors occur once: their table is large
-    own = written(shared.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("at")), "suffix-contexts")
-    groups = own.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-    many = own.join(groups, "anchor").select("anchor", "context", "contexts", "copies", F.col("at.key").alias("key"), F.col("at.start").alias("start"), F.col("at.n").alias("n"))
-    # the bytes of one example of each context
-    wanted = many.groupBy("key").agg(F.collect_list(F.struct("anchor", "context", "contexts", "start", "n")).alias("parts"))
-    texts = long_enough.dropDuplicates(["key"]) if docs_repeat(source) else long_enough
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for text, parts in zip(batch.column(0), batch.column(1), strict=True):
-                data = text.as_py().encode()
-                for p in parts.as_py():
-                    for col, x in zip(cols, (p["anchor"], p["context"], p["contexts"], data[p["start"] : p["start"] + p["n"] + least - 1]), strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["anchor", "context", "contexts", "bytes"])
-
-    bytes_ = written(texts.join(wanted, "key").select("text", "parts").mapInArrow(cut, "anchor long, context long, contexts long, bytes binary"), "suffix-bytes")
-    total = bytes_.filter(F.col("contexts") <= most_contexts).agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
-    bins = max(1, -(-total // task_bytes))
-
-    def expand(table: pa.Table) -> pa.Table:
-        strings = table["bytes"].to_pylist()
-        runs = [_runs(m[: len(x) - least + 1]) for m, x in zip(repeated_starts(strings, least), strings, strict=True)]
-        return pa.Table.from_arrays([table["context"], pa.array(runs, pa.list_(pa.int32()))], ["context", "runs"])
-
-    usual = bytes_.filter(F.col("contexts") <= most_contexts).withColumn("bin", F.pmod(F.xxhash64("anchor"), F.lit(bins)))
-    by_transform = usual.select("bin", "context", "bytes").groupBy("bin").applyInArrow(expand, "context long, runs array<int>")
-
-    def strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cs, ps, hs = [], [], []
-            for c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = prefix_hashes(np.frombuffer(b, dtype=np.uint8))
-                n = len(b) - least + 1
-                cs.append(np.full(n, c, dtype=np.int64))
-                ps.append(np.arange(n, dtype=np.int32))
-                hs.append(_mixed(h[least:] - h[:n] * _power_cache[least]).view(np.int64))
-            if cs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cs, ps, hs)], ["context", "place", "string"])
-
-    hot = bytes_.filter(F.col("contexts") > most_contexts).select("context", "bytes").mapInArrow(strings_of, "context long, place int, string long")
-    hot_twice = hot.groupBy("string").agg(F.count("*").alias("times")).filter("times > 1").select("string")
-    by_count = hot.join(hot_twice, "string").groupBy("context").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    by_count = by_count.select("context", F.flatten(F.transform("places", lambda p: F.array(p, p + 1))).alias("runs"))
-    partial = by_transform.union(by_count).filter(F.size("runs") > 0)
+    own = written(shared.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct(*_KEY, "start", "n")).alias("at")), "suffix-contexts")
     # a context that occurs twice repeats as a whole
-    whole = own.filter("copies > 1").select("context", F.array(F.lit(0), F.col("at.n").cast("int")).alias("runs"))
-    verdicts = written(partial.join(whole.select("context"), "context", "left_anti").union(whole).dropDuplicates(["context"]), "suffix-verdicts")
-    spans = shared.join(verdicts, "context").groupBy("key").agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
+    whole = own.filter("copies > 1").select("anchor", "context", F.array(F.lit(0), F.col("at.n").cast("int")).alias("runs"))
+    verdicts = whole
+    if k < least:
+        groups = own.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1")
+        many = own.join(groups, "anchor").select("anchor", "context", "contexts", "at.*")
+        # the bytes of one example of each context
+        wanted = many.groupBy(*_KEY).agg(F.collect_list(F.struct("anchor", "context", "contexts", "start", "n")).alias("parts"))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cols: list[list] = [[], [], [], []]
+                for data, parts in zip(batch.column(0), batch.column(1), strict=True):
+                    data = data.as_py()
+                    for p in parts.as_py():
+                        for col, x in zip(cols, (p["anchor"], p["context"], p["contexts"], data[p["start"] : p["start"] + p["n"] + least - 1]), strict=True):
+                            col.append(x)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["anchor", "context", "contexts", "bytes"])
+
+        bytes_ = written(distinct.join(wanted, _KEY).select("data", "parts").mapInArrow(cut, "anchor long, context long, contexts long, bytes binary"), "suffix-bytes")
+        fits = F.col("contexts") <= most_contexts
+        sizes = bytes_.agg(F.coalesce(F.sum(F.when(fits, F.octet_length("bytes"))), F.lit(0)).alias("fit"), F.count_if(~fits).alias("hot")).first()
+        bins = max(1, -(-sizes["fit"] // task_bytes))
+
+        def expand(table: pa.Table) -> pa.Table:
+            strings = table["bytes"].to_pylist()
+            runs = [_runs(m[: len(x) - least + 1]) for m, x in zip(repeated_starts(strings, least), strings, strict=True)]
+            return pa.Table.from_arrays([table["anchor"], table["context"], pa.array(runs, pa.list_(pa.int32()))], ["anchor", "context", "runs"])
+
+        schema = "anchor long, context long, runs array<int>"
+        usual = bytes_.filter(fits).withColumn("bin", F.pmod(F.xxhash64("anchor"), F.lit(bins))).select("bin", "anchor", "context", "bytes")
+        partial = usual.groupBy("bin").applyInArrow(expand, schema)
+        if sizes["hot"]:
+            hot = bytes_.filter(~fits).select(F.col("anchor").alias("k1"), F.col("context").alias("k2"), F.col("bytes").alias("data"))
+            inner = _repeats(hot, hot, least, longer, task_bytes, most_contexts)
+            moved = F.flatten(F.transform("spans", lambda s: F.transform(s["runs"], lambda x: x + s["start"])))
+            partial = partial.union(inner.select("k1", "k2", moved))
+        partial = partial.filter(F.size("runs") > 0)
+        verdicts = partial.join(whole.select("anchor", "context"), ["anchor", "context"], "left_anti").union(whole)
+    verdicts = written(verdicts, "suffix-verdicts")
+    return shared.join(verdicts, ["anchor", "context"]).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, k: int = 24, task_bytes: int = 1_000_000, most_contexts: int = 4096) -> DataFrame:
+    """One row per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes).
+
+    A byte goes if some string of ``least`` bytes that covers it starts anywhere else in the table, the same document
+    included; strings never cross documents and are judged on the input. Null and empty texts have no bytes; equal rows
+    count as two documents; null ids are kept; an empty table gives no rows; other columns aren't read. Very long texts are
+    worked through in segments of SEGMENT starts. Texts, and anchors with contexts, are told apart by 128 bits of hashes.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data")).withColumn("k1", F.xxhash64("id", "data")).withColumn("k2", F.xxhash64(F.lit(1), "data", "id"))
+    long_enough = source.filter(F.octet_length("data") >= least).select(*_KEY, "data")
+    repeated = long_enough.groupBy(*_KEY).count().filter("count > 1").limit(1).count()
+    grams = tuple(dict.fromkeys((min(k, least), min(4 * k, least), least)))
+    spans = _repeats(long_enough, long_enough.dropDuplicates(_KEY) if repeated else long_enough, least, grams, task_bytes, most_contexts)
 
     id_type = source.schema["id"].dataType
     kind = to_arrow_type(id_type)
@@ -171,28 +194,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
-            for text, spans_ in zip(batch.column(1), batch.column(2), strict=True):
-                data = (text.as_py() or "").encode()
-                edge = np.zeros(len(data) + 1, dtype=np.int32)
-                for span in spans_.as_py() or []:
-                    runs = span["runs"]
-                    for a, b in zip(runs[::2], runs[1::2], strict=True):
-                        edge[span["start"] + a] += 1
-                        edge[span["start"] + b - 1 + least] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-                for col, x in zip(out, (len(data), len(data) - len(kept), len(_runs(gone)) // 2, kept), strict=True):
+            for data, spans_ in zip(batch.column(1), batch.column(2), strict=True):
+                data = data.as_py() or b""
+                if not spans_.is_valid:
+                    found = (len(data), 0, 0, data)
+                else:
+                    edge = np.zeros(len(data) + 1, dtype=np.int32)
+                    for span in spans_.as_py():
+                        runs = np.asarray(span["runs"], dtype=np.int64) + span["start"]
+                        np.add.at(edge, runs[::2], 1)
+                        np.add.at(edge, runs[1::2] - 1 + least, -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
+                    found = (len(data), len(data) - len(kept), len(_runs(gone)) // 2, kept)
+                for col, x in zip(out, found, strict=True):
                     col.append(x)
             cols = [batch.column(0).cast(kind), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = f"id {id_type.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
-    out = source.join(spans, "key", "left").select("id", "text", "spans").mapInArrow(remove, schema)
+    out = source.join(spans, _KEY, "left").select("id", "data", "spans").mapInArrow(remove, schema)
     return out.withColumnRenamed("id", id_col)
-
-
-def docs_repeat(source: DataFrame) -> bool:
-    """Whether any row (by its key) occurs twice."""
-    counts = source.agg(F.count("*").alias("n")).first()["n"], source.select("key").distinct().count()
-    return counts[0] != counts[1]
-

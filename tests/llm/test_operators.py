@@ -77,11 +77,27 @@ def brute_removed(texts, least):
 def test_substrings_as_by_brute_force(spark, most_contexts):
     from lumenfold.llm.suffix_dedup import dedup_substrings
 
-    texts = [*TEXTS, "ab" * 300, "xab" + "ab" * 200, BASE[0][40:330] + BASE[1][:250] + "!"]
+    texts = [*TEXTS, "ab" * 300, "xab" + "ab" * 200, BASE[0][40:330] + BASE[1][:250] + "!", *[f"{i} " * 20 + BASE[5][100:340] + f" {i}" * 30 for i in range(8)]]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in dedup_substrings(table(spark, texts, list(range(len(texts)))), most_contexts=most_contexts).collect()}
     assert [got[i] for i in range(len(texts))] == brute_removed(texts, 200)
 
 
+def test_substrings_across_the_segments_of_a_long_text(spark, monkeypatch):
+    from lumenfold.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 500)
+    text = prose(700, 44)
+    for at in (0, 301, 499, 900):
+        whole = b"x" + text.encode() + text.encode()[at : at + 700]
+        data = np.frombuffer(whole, np.uint8)
+        strings = {}
+        anchors, _, starts, counts = suffix_dedup.contexts_of(data, 200, 24)
+        for a, s, n in zip(anchors.tolist(), starts.tolist(), counts.tolist(), strict=True):
+            for i in range(s, s + n):
+                strings.setdefault(whole[i : i + 200], set()).add(a)
+        assert sorted(starts.tolist()) == starts.tolist() and counts.sum() == len(whole) - 199 and all(len(a) == 1 for a in strings.values())
+
+
 def test_substrings_of_odd_tables(spark):
     from lumenfold.llm.suffix_dedup import dedup_substrings
 
