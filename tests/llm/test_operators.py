@@ -329,23 +329,53 @@ def test_languages_of_held_out_texts(spark):
     assert identify(empty(spark), samples).count() == 0 and training_samples(empty(spark), fold("doc_id", 3) != 1) == {}
 
 
+def greedy_phrases(text, sample):
+    at = count = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at, count = at + size, count + 1
+    return count
+
+
+@pytest.mark.parametrize("dense", [48_000_000, 0])
 @pytest.mark.parametrize("seed", range(10))
-def test_phrases_are_greedy_longest_matches(seed):
+def test_phrases_are_greedy_longest_matches(seed, dense):
     from lumenfold.llm.language_id import CrossParser
 
     r = random.Random(seed)
     samples = {k: "".join(r.choice("abc ") for _ in range(60)) for k in ("p", "q")}
-    texts = ["".join(r.choice("abcd ") for _ in range(r.randrange(1, 80))) for _ in range(20)]
-    got = CrossParser(samples).phrases(texts)
-    for t, row in zip(texts, got, strict=True):
-        for label, n in zip(("p", "q"), row, strict=True):
-            at = count = 0
-            while at < len(t):
-                size = 1
-                while at + size < len(t) and t[at : at + size + 1] in samples[label]:
-                    size += 1
-                at, count = at + size, count + 1
-            assert n == count
+    texts = ["".join(r.choice("abcd ") for _ in range(r.randrange(1, 80))) for _ in range(20)] + [samples["p"][3:50] * 4]
+    for piece, lead in ((4096, 256), (7, 3), (1, 1), (13, 2)):
+        got = CrossParser(samples, dense).phrases(texts, piece, lead)
+        assert got.tolist() == [[greedy_phrases(t, samples[k]) for k in ("p", "q")] for t in texts]
+
+
+def test_large_alphabets_stay_small():
+    import tracemalloc
+
+    from lumenfold.llm.language_id import CrossParser
+
+    r = random.Random(3)
+    samples = {"han": "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(30_000)), "en": prose(4000, 3)[:30_000]}
+    tracemalloc.start()
+    parser = CrossParser(samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    texts = [samples["han"][100:400], prose(60, 4), samples["han"][5000:9000] + samples["en"][:900]]
+    assert peak < 400_000_000 and parser.phrases(texts, 500).tolist() == [[greedy_phrases(t, samples[k]) for k in parser.labels] for t in texts]
+
+
+def test_every_label_is_learned(spark):
+    from lumenfold.llm.language_id import identify, training_samples
+
+    rows = [(f"l{i}", f"{chr(97 + i % 26)}{chr(97 + i // 26)}qu " * 40) for i in range(60)]
+    docs = table(spark, [t for _, t in rows], list(range(60)), [lang for lang, _ in rows])
+    samples = training_samples(docs, F.lit(True), max_total=6000)
+    assert set(samples) == {lang for lang, _ in rows} and all(len(x) == 100 for x in samples.values())
+    tied = identify(docs.limit(3), {"b": " same ", "a": " same "}).collect()
+    assert {r["lang_pred"] for r in tied} == {"a"} and {r["score"] for r in tied} == {0.0}
 
 
 # ---------- 7 ----------
