@@ -1,10 +1,11 @@
 """Line deduplication by pairwise alignment: a later document loses the blocks it shares, in order, with an earlier one.
 
-Overlapping documents are found through hashes of lines and of runs of adjacent lines that just fill a block: each shared
-line or run names the earliest document that has it, and the later holder is paired with that one. Every line of a shared
-block stands in such a run, so its pair is found wherever its lines stand singly before; none makes more pairs than its
-holders; equal documents are paired with the first of them. Pairs are aligned by patience diff over the hashes. Where it
-finds no order to go by, the heaviest shared runs are taken, and passages that either side repeats go wherever they stand.
+Overlapping documents are found through hashes that few documents share: of lines that fill a block by themselves, and of
+runs of adjacent lines that just fill one. Each names the earliest document that has it, and the later holders are paired
+with that one. Every line of a shared block stands in such a run, so its pair is found wherever its lines stand singly
+before; none makes more pairs than its holders, however many they are; equal documents are paired with the first of them.
+Pairs are aligned by patience diff over the lines. Where it finds no order to go by, the heaviest shared runs are taken, and
+passages that either side repeats go wherever they stand.
 """
 
 from __future__ import annotations
@@ -14,15 +15,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import written
 
-
-SALTS = 16
-
-
 _PRIME, _BASE = (1 << 61) - 1, 0x9E3779B97F4A7C1
 
 
@@ -211,63 +208,67 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
     return sorted(cut)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, part_pairs: int = 1000) -> DataFrame:
     """``docs`` with the shared blocks taken out of ``text_col``, and ``lines_total`` and ``lines_removed`` beside it.
 
     A block is a run of lines, equal but for outer spaces, of ``min_words`` words in all. The smaller id is the earlier
     document (among rows of one id, the smaller text hash), and the earliest holder of a line keeps it. Null texts stay
     null; empty texts and texts without a shared block stay as they are; rows with a null id are neither read nor changed;
-    equal rows of one id stay equal. A text that goes as a whole becomes empty. All columns come back; inner ones are named
-    ``__ld_*``.
+    equal rows of one id stay equal. Very long texts are aligned whole; time and memory grow with their lines. A text that
+    goes as a whole becomes empty. Lines are compared by 96 bits of hashes. All columns come back; inner ones are named
+    ``__ld_*``. The partner of many documents is dealt over tasks of about ``part_pairs`` pairs.
     """
     lines = F.split(F.col(text_col), "\n")
     plain = F.transform(lines, lambda x: F.trim(x))
     marked = docs.withColumn("__ld_hash", F.xxhash64(F.col(text_col)))
+    counted = F.transform("plain", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int"))
     keyed = marked.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("__ld_hash").alias("th"), plain.alias("plain")).select(
-        "id", "th", F.transform("plain", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("plain", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int")).alias("words")
+        "id", "th", F.transform("plain", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("plain", lambda x: F.hash(x)).alias("checks"), counted.alias("words")
     )
     keyed = written(keyed, "lines")
-    held = keyed.select("id", "th", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("id", "th", F.col("l.hashes").alias("h"), F.col("l.words").alias("w")).filter("w > 0").distinct()
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [block_runs(h, w, min_words) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             at = pa.array([k for k, x in enumerate(own) for _ in x], pa.int32())
-            h = pa.array([h for x in own for h in x], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), h, pa.array([min_words] * len(h), pa.int32())], ["id", "th", "h", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([h for x in own for h in x], pa.int64())], ["id", "th", "h"])
 
+    # what fills no block can't be all that two documents share, so it makes no pair
+    filled = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= min_words)
+    held = keyed.select("id", "th", F.explode(F.array_distinct(F.transform(filled, lambda x: x["hashes"]))).alias("h"))
     several = keyed.filter(F.size("hashes") > 1)
-    whole = several.select("id", "th", F.xxhash64("hashes").alias("h"), F.aggregate("words", F.lit(0), lambda s, w: s + w).alias("w")).filter(F.col("w") >= min_words)
-    held = held.union(several.mapInArrow(runs, f"id {id_type}, th long, h long, w int")).union(whole)
+    whole = several.filter(F.aggregate("words", F.lit(0), lambda s, w: s + w) >= min_words).select("id", "th", F.xxhash64("hashes").alias("h"))
+    held = held.union(several.select("id", "th", "hashes", "words").mapInArrow(runs, f"id {id_type}, th long, h long")).union(whole).distinct()
     first = held.groupBy("h").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("df")).filter("df > 1")
     pairs = held.join(first, "h").filter((F.col("first.id") != F.col("id")) | (F.col("first.th") != F.col("th")))
-    pairs = pairs.groupBy("id", "th", F.col("first.id").alias("id0"), F.col("first.th").alias("th0")).agg(F.sum("w").alias("w")).filter(F.col("w") > 0)
-    # blank lines and lines held twice add words to a block but not to this sum, which counts each line once
-    later = pairs.join(keyed, ["id", "th"]).dropDuplicates(["id", "th", "id0", "th0"])
-    # a line that many documents have makes one document the partner of all of them: its pairs are dealt over SALTS parts
-    owners = pairs.select("id0", "th0").distinct().join(keyed.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("hashes").alias("hashes0")).dropDuplicates(["id0", "th0"]), ["id0", "th0"])
-    owners = owners.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    both = later.withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).cast("int")).join(owners, ["id0", "th0", "salt"])
-    both = both.filter(_shared_words("hashes", "hashes0", "words") >= min_words)
+    pairs = written(pairs.select("id", "th", F.col("first.id").alias("id0"), F.col("first.th").alias("th0")).distinct(), "line-pairs")
+    # a frequent line makes one document the partner of many: only such ones are copied, once for each part of their pairs
+    busy = pairs.groupBy("id0", "th0").agg(F.count("*").alias("n")).filter(F.col("n") > part_pairs).select("id0", "th0", F.ceil(F.col("n") / part_pairs).cast("int").alias("parts"))
+    salted = pairs.join(busy, ["id0", "th0"], "left").withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    sequences = keyed.dropDuplicates(["id", "th"])
+    later = salted.join(sequences, ["id", "th"])
+    earlier = sequences.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("hashes").alias("hashes0"), F.col("checks").alias("checks0"))
+    owners = salted.select("id0", "th0", "salt").distinct().join(earlier, ["id0", "th0"])
+    both = later.join(owners, ["id0", "th0", "salt"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, words = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("hashes0", "hashes", "words"))
-            cut = [common_blocks(x, y, w, min_words) for x, y, w in zip(a, b, words, strict=True)]
+            h0, c0, h, c, words = (batch.column(i).to_pylist() for i in range(2, 7))
+            joined = lambda hs, cs: [x << 32 | y & 0xFFFFFFFF for x, y in zip(hs, cs, strict=True)]
+            cut = [common_blocks(joined(h0[i], c0[i]), joined(h[i], c[i]), words[i], min_words) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.list_(pa.int32()))], ["__ld_id", "__ld_hash", "__ld_cut"])
 
-    cuts = both.select("id", "th", "hashes0", "hashes", "words").mapInArrow(align, f"__ld_id {id_type}, __ld_hash long, __ld_cut array<int>")
+    cuts = both.select("id", "th", "hashes0", "checks0", "hashes", "checks", "words").mapInArrow(align, f"__ld_id {id_type}, __ld_hash long, __ld_cut array<int>")
     cuts = cuts.filter(F.size("__ld_cut") > 0).groupBy("__ld_id", "__ld_hash").agg(F.array_distinct(F.flatten(F.collect_list("__ld_cut"))).alias("__ld_cut"))
     joined = marked.join(cuts, (F.col(id_col) == F.col("__ld_id")) & (marked["__ld_hash"] == cuts["__ld_hash"]), "left")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__ld_cut"), i))
-    text = F.when(F.col("__ld_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+
+    def rest(parts: Column) -> Column:
+        """The lines that stay; the split text is a lambda's argument, so that it is made once."""
+        at = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__ld_cut"))
+        return F.array_join(F.transform(at, lambda i: F.get(parts, i)), "\n")
+
+    text = F.when(F.col("__ld_cut").isNull(), F.col(text_col)).otherwise(F.element_at(F.transform(F.array(lines), rest), 1))
     columns = [text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     total = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
     return joined.select(*columns, total.alias("lines_total"), F.coalesce(F.size("__ld_cut"), F.lit(0)).cast("long").alias("lines_removed"))
-
-
-def _shared_words(own: str, other: str, words: str):
-    """Words on lines that the other document has too: an upper bound for any block."""
-    pairs = F.arrays_zip(F.col(own).alias("h"), F.col(words).alias("w"))
-    return F.aggregate(pairs, F.lit(0), lambda s, p: s + F.when(F.array_contains(F.col(other), p["h"]), p["w"]).otherwise(0))

@@ -262,6 +262,49 @@ def test_repeated_passages_and_copies_of_crossed_documents_go(spark):
     assert got[6] in (y, z) and got[9] == f"{s}\nh\n{t}"  # short lines in order don't stand in a block's way
 
 
+def removed_over_all_pairs(texts, min_words=20):
+    """What each document loses to any earlier one, pair by pair."""
+    from lumenfold.llm.line_dedup import common_blocks
+
+    split = [[x.strip(" ") for x in t.split("\n")] for t in texts]
+    words = [[x.count(" ") + 1 if x else 0 for x in s] for s in split]
+    out = []
+    for j, b in enumerate(split):
+        cut = {k for a in split[:j] for k in common_blocks(a, b, words[j], min_words)}
+        out.append("\n".join(x for k, x in enumerate(texts[j].split("\n")) if k not in cut))
+    return out
+
+
+@pytest.mark.parametrize("part_pairs", [1000, 3])
+def test_lines_as_by_all_pairs(spark, part_pairs):
+    from lumenfold.llm.line_dedup import dedup_lines
+
+    r = random.Random(8)
+    blocks = [[prose(r.choice([3, 7, 12, 25]), 1000 * i + k) for k in range(r.randrange(2, 6))] for i in range(12)]
+    hot = prose(30, 99)
+    texts = []
+    for i in range(70):
+        own = [x for b in blocks if r.random() < 0.25 for x in [*b, f"own {i} {r.randrange(10**6)}"]]
+        single = [r.choice([x for b in blocks for x in b if x.count(" ") < 19])]  # a block's line that stands alone
+        texts.append("\n".join([f"head {i}", *own, f"mid {i}", *single, f"tail {i}", *([hot] if i % 2 else [])]))
+    l1, l2, l3 = prose(10, 901), prose(10, 902), prose(9, 903)
+    texts += [f"{l1}\na", f"b\n{l2}", f"c\n{l1}\n{l2}\n{l3}", f"d\n{l1}\n{l2}\ne"]
+    got = {x["doc_id"]: x["text"] for x in dedup_lines(table(spark, texts, list(range(len(texts)))), part_pairs=part_pairs).collect()}
+    assert [got[i] for i in range(len(texts))] == removed_over_all_pairs(texts)  # blocks stand in one order here: none is crossed
+
+
+def test_documents_of_many_lines(spark):
+    import time
+
+    from lumenfold.llm.line_dedup import dedup_lines
+
+    many = [f"line {i} of a long list" for i in range(32_000)]
+    texts = ["\n".join(many), "\n".join(many[:16_000] + ["cut here"] + many[16_000:]), "\n".join(x for i, x in enumerate(many) if i % 50)]
+    began = time.perf_counter()
+    got = {x["doc_id"]: (x["lines_total"], x["lines_removed"]) for x in dedup_lines(table(spark, texts, [0, 1, 2])).collect()}
+    assert got == {0: (32_000, 0), 1: (32_001, 32_000), 2: (31_360, 31_360)} and time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize("seed", range(300))
 def test_common_blocks_leave_only_crossed_ones(seed):
     from lumenfold.llm.line_dedup import common_blocks
