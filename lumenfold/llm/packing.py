@@ -2,11 +2,14 @@
 
 Documents are routed to the smallest tier that holds them; longer ones first give off whole windows of the largest tier.
 Each tier is packed from its own pieces, and the gaps of long windows are filled from shorter tiers: first by whole pieces
-that fit, then by the head of a piece that is cut. Sequences go to step groups of equal token counts.
+that fit, then by the head of a piece that is cut. Sequences go to step groups of equal token counts: full ones of one tier
+each, and at the end of a partition evenly loaded ones of what all tiers have left.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
 import os
 import re
 from array import array
@@ -30,11 +33,22 @@ _PLAIN = re.compile(f"[ -~\\n\\t\\r{_LETTERS}]*")
 _CHUNK = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 
 
+def splits_by_chunk(path: str) -> bool:
+    """Whether a tokenizer file cuts texts as ``_CHUNK`` does and no other step reads over the cuts: byte-level merges behind
+    the usual byte-level split, without a normalizer, added space or truncation of its own."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    added = spec.get("added_tokens") or []
+    return bool(plain) and spec.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not any(t.get("lstrip") or t.get("rstrip") for t in added)
+
+
 class ChunkEncoder:
     """Token ids of texts as the tokenizers library gives them, with a bounded memo of the chunks it splits texts into.
 
     A byte-level vocabulary never merges over a chunk's edge. Texts with special strings, or with signs that engines may
-    class differently, go to the library whole.
+    class differently, go to the library whole; so does every text if the file describes another way to split them.
     """
 
     def __init__(self, path: str, cache_entries: int = 800_000):
@@ -45,6 +59,7 @@ class ChunkEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.by_chunk = splits_by_chunk(path)
         self.held: dict[str, bytes] = {}
         self.cache_entries = cache_entries
 
@@ -57,7 +72,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         end = np.asarray([end_id], dtype="<u4").tobytes()
         held = self.held
-        split: list[list[str] | None] = [_CHUNK.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
+        split: list[list[str] | None] = [_CHUNK.findall(t) if self.by_chunk and _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         own = set(chain.from_iterable(filter(None, split)))
         if len(held) >= self.cache_entries:  # only what these texts use stays, frequent chunks among it
             used = {c: held[c] for c in own if c in held}
@@ -113,9 +128,8 @@ class TierPacker:
             raise ValueError("tiers are rising powers of two")
         self.tiers, self.step_tokens = tiers, step_tokens
         self.pools = {t: Pool() for t in tiers}
-        self.next_id = first_id
-        self.filled = dict.fromkeys(tiers, 0)
-        self.first_id = first_id
+        self.next_id = self.next_group = first_id
+        self.waiting: dict[int, list[list[tuple]]] = {}
         self.out: list[tuple] = []
 
     def route(self, p: Piece) -> None:
@@ -127,15 +141,35 @@ class TierPacker:
             self.pools[next(t for t in self.tiers if t >= len(p.ids))].add(p)
 
     def _emit(self, pieces: list[Piece], tier: int) -> None:
-        per_step = max(1, self.step_tokens // tier)
-        group = self.first_id + (self.filled[tier] // per_step) * len(self.tiers) + self.tiers.index(tier) if tier in self.filled else None
-        if tier in self.filled:
-            self.filled[tier] += 1
-        offset = 0
+        rows, offset = [], 0
         for p in pieces:
-            self.out.append((p.doc_id, p.start, len(p.ids), p.ids.tobytes(), p.doc_tokens, self.next_id, offset, tier, group))
+            rows.append((p.doc_id, p.start, len(p.ids), p.ids.tobytes(), p.doc_tokens, self.next_id, offset, tier))
             offset += len(p.ids)
         self.next_id += 1
+        waiting = self.waiting.setdefault(tier, [])
+        waiting.append(rows)
+        full = max(1, self.step_tokens // tier)
+        if len(waiting) > full:  # one more stays back, so that the end has something to even out
+            self._group(waiting[:full])
+            del waiting[:full]
+
+    def _group(self, sequences: list[list[tuple]]) -> None:
+        self.out += [(*row, self.next_group) for rows in sequences for row in rows]
+        self.next_group += 1
+
+    def _close_groups(self) -> None:
+        """Deals the sequences left over, the longest first, each to the group with the fewest tokens."""
+        left = sorted(((tier, rows) for tier, held in self.waiting.items() for rows in held), key=lambda x: (-x[0], x[1][0][5]))
+        total = sum(tier for tier, _ in left)
+        loads = [(0, g) for g in range(-(-total // self.step_tokens))]
+        groups: list[list] = [[] for _ in loads]
+        for tier, rows in left:
+            load, g = heapq.heappop(loads)
+            groups[g].append(rows)
+            heapq.heappush(loads, (load + tier, g))
+        for g in groups:
+            self._group(g)
+        self.waiting.clear()
 
     def _fill(self, held: list[Piece], gap: int, below: tuple[int, ...]) -> int:
         """Fills a gap from shorter tiers; returns what stays open."""
@@ -181,6 +215,7 @@ class TierPacker:
                 gap -= len(held[-1].ids)
             self._emit(held, want)
             total -= want
+        self._close_groups()
 
 
 def pack_documents(
@@ -191,8 +226,10 @@ def pack_documents(
 
     Each input partition is packed by itself in one pass, without a shuffle; open pieces are bounded, so is memory. Every
     sequence is filled to a power of two, the last ones of a partition by cutting them down, so nothing is padded.
-    ``step_group`` is null for those last short sequences. A null or empty text is the end id alone; null ids and repeated
-    rows are packed like others; an empty table gives no rows; other columns aren't read, so their names can't clash.
+    A step group holds at most ``step_tokens`` tokens: exactly that many of one tier, or at the end of a partition an equal
+    share of what its tiers have left, about half or more where a partition has that much. A null or empty text is the
+    end id alone; very long texts give off windows of the largest tier as they are read; null ids and repeated rows are
+    packed like others; an empty table gives no rows; other columns aren't read, so their names can't clash.
     """
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = picked.schema["id"].dataType

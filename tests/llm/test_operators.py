@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and
 columns whose names clash with inner ones."""
 
+import json
 import math
 import random
 import zlib
@@ -192,6 +193,44 @@ def test_packing_round_trip(spark, encoder):
     assert sum(r["length"] for r in pack_documents(odd_table(spark), queries.tokenizer_path(queries.BYTE_TOKENIZER)).collect()) == sum(len(x) for x in encoder.encode([t or "" for t in [*TEXTS, TEXTS[0], TEXTS[1]]], 1))
 
 
+def test_step_groups_are_even():
+    from lumenfold.llm.packing import Piece, TierPacker
+
+    r = random.Random(12)
+    for n in (0, 3, 40, 900):
+        packer = TierPacker((256, 512, 1024, 2048), 8192, 7)
+        for i in range(n):
+            size = r.choice([r.randrange(1, 300), r.randrange(1, 3000), 9000 if i == 5 else 40])
+            packer.route(Piece(i, 0, np.zeros(size, "<u4"), size))
+            if i % 50 == 0:
+                packer.pack()
+        packer.close()
+        loads, tiers, at = Counter(), defaultdict(set), {}
+        for row in packer.out:
+            loads[row[8]] += row[2]
+            tiers[row[8]].add(row[7])
+            assert at.setdefault(row[5], row[8]) == row[8]  # a sequence is in one group
+        some = [x for x in loads.values() if x < 8192]
+        assert max(loads.values(), default=0) <= 8192 and (len(loads) < 2 or min(loads.values()) >= 4096 - 2048)
+        assert max(some, default=0) - min(some, default=0) <= 2048 and all(loads[g] == 8192 or len(tiers[g]) >= 1 for g in loads)
+        assert sorted(loads) == list(range(7, 7 + len(loads)))
+
+
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    from lumenfold.llm.packing import ChunkEncoder, splits_by_chunk
+
+    source = queries.tokenizer_path(queries.BYTE_TOKENIZER)
+    with open(source, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert splits_by_chunk(source)
+    for name, change in {"lower": {"normalizer": {"type": "Lowercase"}}, "space": {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, "other": {"pre_tokenizer": {"type": "Whitespace"}}}.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps({**spec, **change}), encoding="utf-8")
+        encoder = ChunkEncoder(str(path))
+        texts = ["Some Words, it's 2031!", " a  b\nC", ""]
+        assert not encoder.by_chunk and [x.tolist() for x in encoder.encode(texts, 1)] == [x.ids + [1] for x in encoder.library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing_query_digests(spark, saved, encoder):
     for r in queries.op3_packing(spark, saved).collect():
         ids = encoder.encode([TEXTS[r["doc_id"]] or ""], 1)[0][r["start"] : r["start"] + r["length"]]
