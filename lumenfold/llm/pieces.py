@@ -16,6 +16,7 @@ class PieceTable:
 
     def __init__(self, pieces: Sequence[Sequence[int]]):
         self.longest = max(map(len, pieces))
+        self.lengths = {len(p) for p in pieces}
         hashes = np.asarray([self._hash(p) for p in pieces], dtype=np.uint64)
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces have the same hash")
@@ -57,5 +58,5 @@ class PieceTable:
             prefix[i + 1] = prefix[i] * np.uint64(_MUL) + grid[:, i].astype(np.uint64) + np.uint64(1)
         power = np.cumprod(np.asarray([1] + [_MUL] * length, dtype=np.uint64))
         for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in (s for s in range(max(0, end - self.longest), end) if end - s in self.lengths):
                 yield start, end, self.of(prefix[end] - prefix[start] * power[end - start])
