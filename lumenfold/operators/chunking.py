@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.dates import chunk_dates, date_spans
@@ -61,10 +61,10 @@ def chunk_pages(pages: DataFrame, most: int = 512, overlap: int = 50) -> DataFra
         return texts.map(lambda t: split_text(t or "", most, overlap))
 
     by_page = pages.withColumn("parts", split("text"))
-    order = F.struct(F.coalesce("page", F.lit(0)), F.coalesce("section", F.lit("")))
-    # a document's pages are gathered as sizes only: the number of a page's first chunk is the sum of the sizes before
-    sizes = by_page.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(order.alias("at"), F.size("parts").alias("n")))).alias("sizes"))
-    numbered = by_page.withColumn("at", order).join(sizes, "doc_id").withColumn("first", F.aggregate(F.filter("sizes", lambda s: s["at"] < F.col("at")), F.lit(0), lambda a, s: a + s["n"]))
+    # one branch, so that the splitter runs once; equal places of a document go by their texts
+    order = [F.coalesce("page", F.lit(0)), F.coalesce("section", F.lit("")), F.xxhash64("text")]
+    before = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = by_page.withColumn("first", F.coalesce(F.sum(F.size("parts")).over(before), F.lit(0)))
     rows = numbered.select(*[c for c in pages.columns if c != "text"], "first", F.posexplode("parts").alias("pos", "text")).withColumn("chunk_index", (F.col("first") + F.col("pos")).cast("int"))
     dated = rows.withColumn("spans", date_spans(F.col("text")))
     return dated.select(chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text")).alias("chunk_id"), *[c for c in pages.columns if c != "text"], "chunk_index", "text", token_count(F.col("text")).alias("token_count"), detect_language(F.col("text")).alias("language"), *chunk_dates(F.col("spans")))

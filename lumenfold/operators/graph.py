@@ -102,5 +102,6 @@ def entities_in_chunks(mentions: DataFrame, relations: DataFrame, ranked_chunks:
     """Entities of ranked chunks (chunk_id, chunk_rank) that have relations and are no hubs: entity_id, chunk_rank."""
     from lumenfold.operators.templates import degrees
 
-    calm = degrees(relations).filter(F.col("degree") <= hub).select(F.col("id").alias("entity_id"))
-    return mentions.join(ranked_chunks, "chunk_id").join(calm, "entity_id", "left_semi").select("entity_id", "chunk_rank").distinct()
+    near = mentions.join(ranked_chunks, "chunk_id").select("entity_id", "chunk_rank").distinct()
+    calm = degrees(relations, near.select(F.col("entity_id").alias("id"))).filter(F.col("degree") <= hub).select(F.col("id").alias("entity_id"))
+    return near.join(calm, "entity_id", "left_semi")

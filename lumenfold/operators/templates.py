@@ -24,9 +24,12 @@ def undirected(relations: DataFrame) -> DataFrame:
     return there.unionByName(back)
 
 
-def degrees(relations: DataFrame) -> DataFrame:
-    """Edges at each vertex, of any kind and direction."""
+def degrees(relations: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Edges at each vertex, of any kind and direction. ``among`` (a table with id) names the vertices that matter: the
+    ends of others go before anything is counted."""
     ends = relations.select(F.col("subject_id").alias("id")).unionAll(relations.select(F.col("object_id").alias("id")))
+    if among is not None:
+        ends = ends.join(among.select("id").distinct(), "id", "left_semi")
     return ends.groupBy("id").agg(F.count("*").alias("degree"))
 
 
@@ -49,7 +52,7 @@ def two_hop_pairs(relations: DataFrame, ids: Sequence, hub: int, allowed: DataFr
     """Second relations of seed - m - n: m is no seed and no hub, n is not the seed itself, no relation is used twice."""
     both = undirected(relations)
     first = both.filter(F.col("u").isin(*ids) & ~F.col("v").isin(*ids)).select(F.col("u").alias("seed"), F.col("v").alias("m"), *[F.col(c).alias(f"f_{c}") for c in FACT_KEY])
-    calm = degrees(relations).filter(F.col("degree") <= hub).select(F.col("id").alias("m"))
+    calm = degrees(relations, first.select(F.col("m").alias("id"))).filter(F.col("degree") <= hub).select(F.col("id").alias("m"))
     first = first.join(calm, "m", "left_semi")
     second = undirected(scoped(relations, allowed)).withColumnRenamed("u", "m").withColumnRenamed("v", "n")
     same = reduce(lambda a, b: a & b, [F.col(f"f_{c}").eqNullSafe(F.col(c)) for c in FACT_KEY])
@@ -64,16 +67,19 @@ def two_hop(relations: DataFrame, ids: Sequence, hub: int = 50, limit: int = 100
 def shortest_paths(relations: DataFrame, ids: Sequence, hub: int = 50, most_paths: int = 10) -> DataFrame:
     """All shortest paths of at most three steps between each two seeds: a, b, hops, nodes. Steps ignore direction, no
     inner vertex is a hub, and parallel relations count as one step."""
-    step = undirected(relations).select("u", "v").filter("u <> v").distinct()
-    calm = degrees(relations).filter(F.col("degree") <= hub).select("id")
-    out = step.filter(F.col("u").isin(*ids)).select(F.col("u").alias("a"), F.col("v").alias("x"))
-    into = step.filter(F.col("v").isin(*ids)).select(F.col("u").alias("y"), F.col("v").alias("b"))
+    step = undirected(relations).select("u", "v").filter("u <> v")
+    out = step.filter(F.col("u").isin(*ids)).select(F.col("u").alias("a"), F.col("v").alias("x")).distinct()
+    into = step.filter(F.col("v").isin(*ids)).select(F.col("u").alias("y"), F.col("v").alias("b")).distinct()
+    # a seed's neighbours are the neighbours of a seed, seen from either end: only their degrees count
+    calm = degrees(relations, out.select(F.col("x").alias("id"))).filter(F.col("degree") <= hub).select("id")
     order = F.col("a") < F.col("b")
     one = out.withColumnRenamed("x", "b").filter(F.col("b").isin(*ids) & order).select("a", "b", F.lit(1).alias("hops"), F.array("a", "b").alias("nodes"))
     inner = out.join(calm, F.col("x") == F.col("id"), "left_semi")
     two = inner.join(into, F.col("x") == F.col("y")).filter(order & (F.col("x") != F.col("b"))).select("a", "b", F.lit(2).alias("hops"), F.array("a", "x", "b").alias("nodes"))
     last = into.join(calm, F.col("y") == F.col("id"), "left_semi")
-    mid = step.join(inner, F.col("u") == F.col("x")).join(last, F.col("v") == F.col("y"))
+    # both ends of a middle step stand next to a seed; all others go before the steps are made distinct
+    middle = step.join(inner.select(F.col("x").alias("u")).distinct(), "u", "left_semi").join(last.select(F.col("y").alias("v")).distinct(), "v", "left_semi").select("u", "v").distinct()
+    mid = middle.join(inner, F.col("u") == F.col("x")).join(last, F.col("v") == F.col("y"))
     simple = order & (F.col("x") != F.col("b")) & (F.col("y") != F.col("a"))
     three = mid.filter(simple).select("a", "b", F.lit(3).alias("hops"), F.array("a", "x", "y", "b").alias("nodes"))
     every = one.union(two).union(three)
@@ -145,7 +151,8 @@ def co_mentions(posts: DataFrame, edges: DataFrame, ids: Sequence, where: Column
     kept = posts if where is None else posts.filter(where)
     of_seed = edges.filter(F.col("dst").isin(*ids)).select(F.col("dst").alias("seed"), "src").distinct()
     of_seed = of_seed.join(kept.select(F.col("post_id").alias("src")), "src", "left_semi")
-    others = edges.filter(F.col("rel").isin(*relations) & ~F.col("dst").isin(*ids)).select("src", "dst", "rel").distinct()
+    # only edges of the seeds' own posts are made distinct
+    others = edges.filter(F.col("rel").isin(*relations) & ~F.col("dst").isin(*ids)).select("src", "dst", "rel").join(of_seed.select("src").distinct(), "src", "left_semi").distinct()
     pairs = of_seed.join(others, "src")
     top = pairs.groupBy("seed", "dst", "rel").agg(F.count("*").alias("n"), F.min("src").alias("first_post")).orderBy(F.desc("n"), "dst", "seed", "rel").limit(limit)
     order = Window.partitionBy("seed", "dst", "rel").orderBy("src")

@@ -45,13 +45,18 @@ def centroids(chunks: DataFrame, group_col: str = "doc_id", vector_col: str = "e
 def best_in_groups(chunks: DataFrame, centroid: DataFrame, group_col: str = "doc_id", id_col: str = "chunk_id", vector_col: str = "embedding", limit: int | None = 3, threshold: float | None = 0.90, most_groups: int = 10_000) -> DataFrame:
     """For each centroid (group_col, centroid) the best row of every other group: source, group, id, score (4 digits).
 
-    The first ``limit`` groups are taken before the threshold. Centroids are broadcast behind a check of their number;
-    more of them are an error, to be asked for in portions."""
-    few = centroid.limit(most_groups + 1)
-    if few.count() > most_groups:
-        raise ValueError(f"more than {most_groups} centroids at once")
-    goal = F.broadcast(centroid.select(F.col(group_col).alias("source"), "centroid"))
-    pairs = chunks.join(goal, F.col("source") != F.col(group_col)).select("source", group_col, id_col, dot(F.col(vector_col), F.col("centroid")).alias("score"))
+    The first ``limit`` groups are taken before the threshold. Centroids are broadcast behind a check of their number: more
+    than ``most_groups`` go in portions of about half as many, each of which meets all rows."""
+    portions = max(1, -(-2 * n // most_groups)) if (n := centroid.count()) > most_groups else 1
+    own = chunks.select(F.col(group_col).alias("__group"), F.col(id_col), F.col(vector_col).alias("__vector"))
+    goal = centroid.select(F.col(group_col).alias("source"), "centroid")
+
+    def scored(part: DataFrame) -> DataFrame:
+        return own.join(F.broadcast(part), F.col("source") != F.col("__group")).select("source", F.col("__group").alias(group_col), id_col, dot(F.col("__vector"), F.col("centroid")).alias("score"))
+
+    pairs = scored(goal.filter(F.pmod(F.xxhash64("source"), F.lit(portions)) == 0) if portions > 1 else goal)
+    for i in range(1, portions):
+        pairs = pairs.union(scored(goal.filter(F.pmod(F.xxhash64("source"), F.lit(portions)) == i)))
     best = pairs.groupBy("source", group_col).agg(F.max_by(F.struct("score", id_col), F.struct("score", -F.col(id_col)) if dict(chunks.dtypes)[id_col] in ("bigint", "int") else F.struct("score", id_col)).alias("b"))
     best = best.select("source", group_col, F.col(f"b.{id_col}").alias(id_col), F.round("b.score", 4).alias("score"))
     if limit is not None:

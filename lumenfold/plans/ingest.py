@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.functions.text import normalize_text
 from lumenfold.operators import chunking, extraction, graph, posts, vectors
 from lumenfold.settings import Settings
 from lumenfold.sources.gazetteer import district_table
@@ -34,27 +35,29 @@ class Store:
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
 
-    def path(self, name: str) -> str | None:
+    def _versions(self, name: str) -> list[str]:
+        """The newest version and the one before it."""
         fs, pointer = self._fs(self._pointer(name))
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(self._pointer(name)).first()[0]
+        return self.spark.read.text(self._pointer(name), wholetext=True).first()[0].split() if fs.exists(pointer) else []
+
+    def path(self, name: str) -> str | None:
+        return next(iter(self._versions(name)), None)
 
     def read(self, name: str) -> DataFrame | None:
         path = self.path(name)
         return self.spark.read.parquet(path) if path else None
 
     def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        """The table's next version; the one before it goes once the pointer has moved."""
-        before, path = self.path(name), f"{self.folder}/{name}/v-{uuid.uuid4().hex}"
+        """The table's next version. The one before it stays for plans that read it already; the one before that goes."""
+        before, path = self._versions(name), f"{self.folder}/{name}/v-{uuid.uuid4().hex}"
         writer = df.write.mode("errorifexists")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         fs, pointer = self._fs(self._pointer(name))
         stream = fs.create(pointer, True)
-        stream.write(bytearray(f"{path}\n".encode()))
+        stream.write(bytearray("".join(f"{p}\n" for p in (path, *before[:1])).encode()))
         stream.close()
-        if before:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(before), True)
+        for old in before[1:]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
         return self.spark.read.parquet(path)
 
 
@@ -65,6 +68,7 @@ class Report:
     counts: dict[str, int] = field(default_factory=dict)
     languages: dict[str, int] = field(default_factory=dict)
     skipped: dict[str, int] = field(default_factory=dict)
+    kept_graphs: list[str] = field(default_factory=list)
 
 
 def _tally(df: DataFrame, column: str) -> dict[str, int]:
@@ -72,9 +76,14 @@ def _tally(df: DataFrame, column: str) -> dict[str, int]:
 
 
 def ingest_documents(store: Store, pages: DataFrame, embed: Callable[[str], list[float]], extract: Callable[[str], str] | None = None, settings: Settings | None = None) -> Report:
-    """Pages to chunks, vectors and, with an extractor (chunk text -> JSON), a graph. Each source in ``pages`` replaces its
-    earlier rows; relations of chunks that are gone go, and so do entities nothing mentions."""
+    """Pages to chunks, vectors and a graph: the chunks' documents and neighbours, similar documents and, with an extractor
+    (chunk text -> JSON), entities and relations. Each source in ``pages`` replaces its earlier rows; relations of chunks
+    that are gone go, and so do entities nothing mentions.
+
+    Where the extractor fails (an error, no text, no JSON) on a chunk of a source that has a graph already, that graph stays
+    as it is, with the chunks it was built from; the source is named in ``kept_graphs``."""
     s = settings or Settings()
+    pages = pages.withColumn("text", normalize_text(F.col("text")))
     new = vectors.embedded(chunking.chunk_pages(pages, s.chunk_tokens, s.chunk_overlap), embed)
     old = store.read("chunks")
     sources = pages.select("source").distinct()
@@ -86,23 +95,58 @@ def ingest_documents(store: Store, pages: DataFrame, embed: Callable[[str], list
         removed = 0
     chunks = store.write("chunks", new)
     report = Report({"chunks": chunks.count(), "removed": removed}, _tally(chunks, "language"))
+    fresh = fresh_chunks = chunks.join(sources, "source", "left_semi")
     if extract is not None:
-        fresh = chunks.join(sources, "source", "left_semi")
 
         @F.pandas_udf("string")
         def run(texts: pd.Series) -> pd.Series:
-            return texts.map(extract)
-
-        found = extraction.extract_graph(fresh.withColumn("extraction", run("text")))
-        relations = found.select("chunk_id", F.explode("relations").alias("r")).select("chunk_id", "r.*").withColumn("seq", F.lit(0))
-        entities = found.select(F.explode("entities").alias("e")).select("e.*").groupBy("id").agg(F.first("name").alias("name"), F.first("type").alias("type"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"))
-        mentions = found.select("chunk_id", F.explode("entities").alias("e")).select("chunk_id", F.col("e.id").alias("entity_id")).distinct()
+            def one(text: str) -> str | None:
+                try:
+                    return extract(text)
+                except Exception:  # noqa: BLE001  an extractor that fails is counted, the ingest goes on
+                    return None
+
+            return texts.map(one)
+
+        # written at once: an extractor is asked about each chunk one time only
+        fresh = store.write("extractions", fresh.drop("embedding").withColumn("extraction", run("text")))
+    nodes = ["chunk_id", "doc_id", "source", "chunk_index"]
+    old_nodes = store.read("graph_chunks")
+    if extract is not None and old_nodes is not None:
+        failed = fresh.filter(F.from_json("extraction", extraction.EXTRACTION)["entities"].isNull()).select("source").distinct()
+        kept_sources = failed.join(old_nodes.select("source").distinct(), "source", "left_semi")
+        # a list of sources of one call, as its report
+        report.kept_graphs = sorted(r["source"] for r in kept_sources.collect())
+        fresh = fresh.join(kept_sources, "source", "left_anti")
+        sources = sources.join(kept_sources, "source", "left_anti")
+    live = fresh.select(*nodes) if old_nodes is None else old_nodes.join(sources, "source", "left_anti").join(fresh.select("chunk_id"), "chunk_id", "left_anti").union(fresh.select(*nodes))
+    live = store.write("graph_chunks", live)
+    store.write("chunk_edges", graph.part_of_edges(live).union(graph.next_edges(live).withColumn("rel", F.lit("NEXT"))))
+    # only the documents of this call are compared anew; edges of documents that are gone go
+    near = vectors.best_in_groups(chunks, vectors.centroids(fresh_chunks), limit=s.similar_limit, threshold=s.similar_threshold)
+    edges, old_edges = near.select(F.col("source").alias("a"), F.col("doc_id").alias("b"), "score"), store.read("similar")
+    if old_edges is not None:
+        changed, there = fresh_chunks.select("doc_id").distinct(), live.select("doc_id").distinct()
+        for end in ("a", "b"):
+            at = lambda d, c=end: d.select(F.col("doc_id").alias(c))
+            old_edges = old_edges.join(at(changed), end, "left_anti").join(at(there), end, "left_semi")
+        edges = edges.unionByName(old_edges)
+    store.write("similar", graph.similar_edges(edges))
+    if extract is not None:
+        found = store.write("extracted", extraction.extract_graph(fresh).join(live.select("chunk_id", "doc_id", "chunk_index"), "chunk_id"))
+        relations = found.select("chunk_id", F.posexplode("relations").alias("seq", "r")).select("chunk_id", "r.*", "seq")
+        # the first name in the order of the corpus counts, whatever order rows come in
+        named = found.select("chunk_id", "doc_id", "chunk_index", F.posexplode("entities").alias("pos", "e")).select(F.struct("doc_id", "chunk_index", "chunk_id", "pos").alias("at"), "chunk_id", "e.*")
+        aliases = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "aliases"))), lambda x: x["aliases"])))
+        entities = named.groupBy("id").agg(F.min_by("name", "at").alias("name"), F.min_by("type", "at").alias("type"), aliases.alias("aliases"))
+        mentions = named.select("chunk_id", F.col("id").alias("entity_id")).distinct()
         none = store.spark.createDataFrame([], "id string, name string, type string, labels array<string>, aliases array<string>")
         old_e, old_r, old_m = store.read("entities"), store.read("relations"), store.read("mentions")
         all_m = mentions if old_m is None else old_m.join(fresh.select("chunk_id"), "chunk_id", "left_anti").union(mentions)
-        live_m = all_m.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-        all_r = relations.drop("seq") if old_r is None else graph.merge_relations(old_r.join(fresh.select("chunk_id"), "chunk_id", "left_anti"), relations)
-        all_e, live_r = graph.collect_garbage(graph.merge_entities(none if old_e is None else old_e, entities), all_r, live_m, chunks)
+        live_m = all_m.join(live.select("chunk_id"), "chunk_id", "left_semi")
+        before = relations.drop("seq").limit(0) if old_r is None else old_r.join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+        all_r = graph.merge_relations(before, relations)
+        all_e, live_r = graph.collect_garbage(graph.merge_entities(none if old_e is None else old_e, entities), all_r, live_m, live)
         report.counts |= {"relations": store.write("relations", live_r).count(), "entities": store.write("entities", all_e).count(), "mentions": store.write("mentions", live_m).count(), "dropped": found.agg(F.coalesce(F.sum("dropped"), F.lit(0))).first()[0]}
     return report
 

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import filters as flt
-from lumenfold.functions.text import fact_text, plain_token_count
+from lumenfold.functions.text import fact_text, plain_token_count, plain_words
 from lumenfold.operators import fulltext, fusion, graph, templates, vectors
 from lumenfold.plans import lexicon
 from lumenfold.plans.analyze import Analysis, NameIndex, analyze_posts, is_generic, language_of, time_filter
@@ -23,8 +24,6 @@ Scorer = Callable[[str, list[str]], list[float]]
 
 def overlap_scorer(question: str, texts: list[str]) -> list[float]:
     """Offline stand-in for a relevance model, 0 .. 1: the share of the question's words that a text holds."""
-    from lumenfold.functions.text import plain_words
-
     asked = {w for w in plain_words(question) if w not in lexicon.STOP}
     return [len(asked & set(plain_words(t))) / len(asked) if asked else 0.0 for t in texts]
 
@@ -50,28 +49,42 @@ class DocumentEngine:
     """The document corpus: chunks (with embedding), relations, entities (id, name, type, aliases), mentions (chunk_id,
     entity_id)."""
 
-    def __init__(self, chunks: DataFrame, relations: DataFrame, entities: DataFrame, mentions: DataFrame, embed: Callable[[str], list[float]], settings: Settings | None = None, scorer: Scorer | None = overlap_scorer):
-        self.chunks, self.relations, self.entities, self.mentions = chunks, relations, entities, mentions
+    def __init__(self, chunks: DataFrame, relations: DataFrame, entities: DataFrame, mentions: DataFrame, embed: Callable[[str], list[float]], settings: Settings | None = None, scorer: Scorer | None = overlap_scorer, analyzer: Callable[[str], dict] | None = None):
+        self.chunks, self.relations, self.entities, self.mentions, self.analyzer = chunks, relations, entities, mentions, analyzer
         self.embed, self.settings, self.scorer = embed, settings or Settings(), scorer
 
     def analyze(self, question: str, names: list[str] = (), query_type: str = "lookup", predicate: str | None = None, target_type: str | None = None) -> Analysis:
-        """An analysis from what an outside reader found in the question; names are resolved against the entities."""
+        """An analysis from what an outside reader (``analyzer``: names, query_type, predicate, target_type; or the arguments)
+        found in the question; names are resolved against the entities. Without a reader, or where it fails, the entities
+        that the question's own words find best count."""
         from lumenfold.operators.extraction import entity_key
 
+        if self.analyzer is not None and not names:
+            try:
+                read = self.analyzer(question)
+                names, query_type, predicate, target_type = read.get("names", ()), read.get("query_type", query_type), read.get("predicate", predicate), read.get("target_type", target_type)
+            except Exception:  # noqa: BLE001  the reader is someone else's service; the question's words remain
+                names = ()
         searchable = self.entities.select("id", "name", "type", F.concat_ws(" ", F.col("name"), F.array_join("aliases", " ")).alias("names"))
         out = Analysis(language_of(question), query_type, predicate=predicate, target_type=target_type, time=time_filter(question))
         for name in names:
             if not is_generic(name) and (hit := fulltext.resolve(searchable, name, lambda n: entity_key(n, "Organization"))):
                 out.entities.append((hit["id"], hit["name"]))
+        asked = [w for w in dict.fromkeys(plain_words(question)) if w not in lexicon.STOP]
+        if not names and asked:
+            hits = fulltext.near_best(fulltext.bm25(searchable, asked, "id", "names", self.settings.seed_entities)).join(self.entities.select("id", "name"), "id")
+            out.entities = [(r["id"], r["name"]) for r in hits.orderBy(F.desc("score"), "id").collect()]
         return out
 
-    def relaxed(self, analysis: Analysis, explicit: dict[str, str]) -> Analysis:
-        """Without a matching chunk the time goes first, then all inferred filters at once; explicit ones stay."""
+    def relaxed(self, analysis: Analysis, explicit: dict[str, str], asked_time: flt.TimeFilter | None = None) -> Analysis:
+        """Without a matching chunk the time goes first, then all inferred filters at once; explicit ones stay, a time that
+        was asked for too."""
         own = {**analysis.filters, **explicit}
-        tests = {"time": flt.conjunction(flt.overlaps(analysis.time)), "rest": flt.conjunction(flt.exact(self.chunks, {k: v for k, v in own.items() if k not in explicit})), "fixed": flt.conjunction(flt.exact(self.chunks, explicit))}
+        inferred = None if asked_time else analysis.time
+        tests = {"time": flt.conjunction(flt.overlaps(inferred)), "rest": flt.conjunction(flt.exact(self.chunks, {k: v for k, v in own.items() if k not in explicit})), "fixed": flt.conjunction(flt.exact(self.chunks, explicit) + flt.overlaps(asked_time))}
         steps = [["time", "rest", "fixed"], ["rest", "fixed"], ["fixed"]] if own or analysis.time else [["fixed"]]
         kept = flt.first_that_matches(self.chunks, tests, steps)
-        return replace(analysis, filters=own if "rest" in kept else dict(explicit), time=analysis.time if "time" in kept else None, dropped=[n for n in ("time", "rest") if n not in kept and own])
+        return replace(analysis, filters=own if "rest" in kept else dict(explicit), time=asked_time or (analysis.time if "time" in kept else None), dropped=[n for n in ("time", "rest") if n not in kept and own])
 
     def facts(self, analysis: Analysis, hops: int, allowed: DataFrame | None) -> tuple[DataFrame | None, list[dict], list[str]]:
         s, rel, ids = self.settings, self.relations, analysis.ids
@@ -97,12 +110,13 @@ class DocumentEngine:
             rows = rows.unionByName(f)
         return rows, counts, names
 
-    def retrieve(self, question: str, mode: str = "hybrid", analysis: Analysis | None = None, top_k: int | None = None, hops: int = 2, explicit: dict[str, str] | None = None) -> Result:
+    def retrieve(self, question: str, mode: str = "hybrid", analysis: Analysis | None = None, top_k: int | None = None, hops: int = 2, explicit: dict[str, str] | None = None, date_from: date | None = None, date_to: date | None = None) -> Result:
         s, explicit = self.settings, explicit or {}
         top_k = top_k or s.top_k
+        asked_time = flt.TimeFilter(date_from, date_to) if date_from or date_to else None
         # vector mode reads nothing out of the question
         analysis = replace(analysis or Analysis(language_of(question)), filters={}, time=None) if mode == "vector" else analysis or self.analyze(question)
-        analysis = self.relaxed(analysis, explicit)
+        analysis = self.relaxed(analysis, explicit, asked_time)
         tests = flt.exact(self.chunks, analysis.filters) + flt.overlaps(analysis.time)
         where = flt.conjunction(tests) if tests else None
         out = Result(question, mode, analysis)
@@ -124,7 +138,12 @@ class DocumentEngine:
 
     def _ranked(self, rows: DataFrame, question: str, analysis: Analysis) -> list[dict]:
         named = lambda c, n: self.entities.select(F.col("id").alias(c), F.col("name").alias(n))
-        few = rows.withColumn("sources", F.array().cast("array<string>")).withColumn("evidence", F.lit(None).cast("string")).withColumn("seq", F.xxhash64(*fusion.KEY))
+        # a template's facts are few; their evidence and their chunks' sources are looked up behind its limit
+        evidence = F.col("evidence") if "evidence" in self.relations.columns else F.lit(None).cast("string")
+        said = self.relations.select(*templates.FACT_KEY, evidence.alias("evidence")).dropDuplicates(list(templates.FACT_KEY))
+        few = rows.withColumn("chunk_id", F.element_at("chunk_ids", 1)).join(said.withColumn("chunk_id", F.col("chunk_id").cast("string")), list(templates.FACT_KEY), "left")
+        of_chunk = self.chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("source") if "source" in self.chunks.columns else F.lit(None).cast("string").alias("source"))
+        few = few.join(of_chunk, "chunk_id", "left").withColumn("sources", F.array_compact(F.array("source"))).withColumn("seq", F.struct("hops", "chunk_id"))
         merged = fusion.dedupe_facts(few).join(named("subject_id", "subject"), "subject_id").join(named("object_id", "object"), "object_id")
         rows_ = [r.asDict() for r in merged.withColumn("text", fact_text(F.col("subject"), F.col("predicate"), F.col("object"))).collect()]  # bounded by the templates' limits
         if not rows_:
@@ -177,10 +196,10 @@ class PostEngine:
             out["time"] = flt.conjunction(flt.posted_within(analysis.time))
         return out
 
-    def relaxed(self, analysis: Analysis, explicit: dict[str, str]) -> tuple[Analysis, list]:
+    def relaxed(self, analysis: Analysis, explicit: dict[str, str], fixed: tuple[str, ...] = ()) -> tuple[Analysis, list]:
         analysis = replace(analysis, filters={**analysis.filters, **explicit})
         tests = self.tests(analysis)
-        kept = flt.first_that_matches(self.posts, tests, flt.levels(list(tests), fixed=frozenset(explicit)))
+        kept = flt.first_that_matches(self.posts, tests, flt.levels(list(tests), fixed=frozenset((*explicit, *fixed))))
         slim = replace(analysis, filters={k: v for k, v in analysis.filters.items() if k in kept}, time=analysis.time if "time" in kept else None, dropped=[k for k in tests if k not in kept])
         return slim, [tests[k] for k in kept]
 
@@ -198,9 +217,11 @@ class PostEngine:
             out += [{"dim": dim, "name": r["name"], "n": r["n"], "samples": [r["sample_min"], r["sample_max"]]} for r in rows.collect()]
         return out
 
-    def retrieve(self, question: str, mode: str = "hybrid", top_k: int | None = None, explicit: dict[str, str] | None = None, today=None) -> Result:
+    def retrieve(self, question: str, mode: str = "hybrid", top_k: int | None = None, explicit: dict[str, str] | None = None, today=None, date_from: date | None = None, date_to: date | None = None) -> Result:
         s, explicit = self.settings, explicit or {}
-        analysis, tests = self.relaxed(analyze_posts(question, self.index, today), explicit)
+        asked_time = flt.TimeFilter(date_from, date_to) if date_from or date_to else None
+        read = analyze_posts(question, self.index, today)
+        analysis, tests = self.relaxed(replace(read, time=asked_time) if asked_time else read, explicit, fixed=("time",) if asked_time else ())
         where = flt.conjunction(tests) if tests else None
         out = Result(question, mode, analysis)
         allowed = self.posts if where is None else self.posts.filter(where)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from lumenfold import reachable
 from lumenfold.functions import citations, dates, filters, text
 from lumenfold.operators import chunking, fulltext, fusion, graph, templates, vectors
-from lumenfold.plans import evalkit
-from lumenfold.sources import mysqldump
+from lumenfold.plans import evalkit, retrieve
+from lumenfold.sources import files, mysqldump
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,14 +166,15 @@ def facet_property_top(spark, sf_dir):
 
 
 @query(f"""WITH {POSTS}, p AS (SELECT * FROM posts WHERE sentiment = 'F')
-SELECT 'total' AS dim, NULL AS name, count(*) AS n FROM p
-UNION ALL SELECT 'category', category, count(*) FROM p GROUP BY category UNION ALL SELECT 'district', district, count(*) FROM p GROUP BY district""")
+SELECT 'total' AS dim, 'matching posts' AS name, count(*) AS n FROM p
+UNION ALL SELECT 'platform', platform, count(*) FROM p GROUP BY platform UNION ALL SELECT 'district', district, count(*) FROM p GROUP BY district""")
 def facet_two_dims(spark, sf_dir):
-    """The total and two facets from one scan: grouping sets over the posts' own columns."""
-    kept = posts(spark, sf_dir).filter(F.col("sentiment") == "F")
-    sets = kept.groupingSets([[], [F.col("category")], [F.col("district")]], F.col("category"), F.col("district")).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
-    dim = F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "category").otherwise("district")
-    return sets.select(dim.alias("dim"), F.coalesce("category", "district").alias("name"), "n")
+    """The total and two facets, one of linked vertices and one of the posts' own columns, as the post engine counts them."""
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("d"), F.col("n_nationkey")).alias("id"), F.lit("District").alias("label"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("kind"))
+    engine = retrieve.PostEngine(posts(spark, sf_dir), edges(spark, sf_dir), nations, None, None)
+    asked = retrieve.Analysis("en", "aggregation", group_by=["district", "platform"], top_n=25)
+    found = engine.counts(asked, F.col("sentiment") == "F")
+    return spark.createDataFrame([(r["dim"], r["name"], r["n"]) for r in found], "dim string, name string, n long")
 
 
 @query(f"WITH {EDGES} SELECT district AS name, count(*) AS n, min(post_id) AS sample_min, max(post_id) AS sample_max FROM posts WHERE EXISTS (SELECT 1 FROM edges WHERE src = post_id AND dst IN ('p1', 'p2', 'p3')) GROUP BY district ORDER BY n DESC, name LIMIT 10")
@@ -192,14 +193,14 @@ def post_context(spark, sf_dir):
 
 
 @query(f"""WITH {EDGES}, s AS (SELECT DISTINCT dst AS seed, src FROM edges WHERE dst IN ('p1', 'p2')), o AS (SELECT DISTINCT src, dst, rel FROM edges WHERE rel IN ('MENTIONS', 'STANCE', 'POSTED_BY') AND dst NOT IN ('p1', 'p2'))
-SELECT seed, dst, rel, count(DISTINCT src) AS n, min(src) AS first_post FROM s JOIN o USING (src) GROUP BY ALL ORDER BY n DESC, dst, seed, rel LIMIT 100""")
+SELECT seed, dst, rel, count(DISTINCT src) AS n, min(src) AS first_post, array_to_string(list_slice(list(DISTINCT src ORDER BY src), 1, 5), ',') AS samples FROM s JOIN o USING (src) GROUP BY ALL ORDER BY n DESC, dst, seed, rel LIMIT 100""")
 def co_mentions(spark, sf_dir):
-    return templates.co_mentions(posts(spark, sf_dir), edges(spark, sf_dir), ["p1", "p2"]).drop("samples")
+    return templates.co_mentions(posts(spark, sf_dir), edges(spark, sf_dir), ["p1", "p2"]).withColumn("samples", F.array_join(F.col("samples").cast("array<string>"), ","))
 
 
-@query(f"WITH {EDGES} SELECT dst AS id, stance, count(DISTINCT src) AS n, list_slice(list(DISTINCT src ORDER BY src), 1, 3)[1] AS first_post FROM edges WHERE rel = 'STANCE' AND dst IN ('s1', 's2', 's3') GROUP BY dst, stance")
+@query(f"WITH {EDGES} SELECT dst AS id, stance, count(DISTINCT src) AS n, array_to_string(list_slice(list(DISTINCT src ORDER BY src), 1, 3), ',') AS samples FROM edges WHERE rel = 'STANCE' AND dst IN ('s1', 's2', 's3') GROUP BY dst, stance")
 def stance_counts(spark, sf_dir):
-    return templates.stance_counts(posts(spark, sf_dir), edges(spark, sf_dir), ["s1", "s2", "s3"]).select("id", "stance", "n", F.element_at("samples", 1).alias("first_post"))
+    return templates.stance_counts(posts(spark, sf_dir), edges(spark, sf_dir), ["s1", "s2", "s3"]).withColumn("samples", F.array_join(F.col("samples").cast("array<string>"), ","))
 
 
 @query(f"WITH {POSTS} SELECT post_id, posted_at FROM posts WHERE {_SQL_WHERE} ORDER BY posted_at DESC NULLS FIRST, post_id LIMIT 8")
@@ -248,9 +249,10 @@ def intersection(spark, sf_dir):
     return templates.linked_to_all(relations(spark, sf_dir), ["s1", "s2", "s3"])
 
 
-@query(f"WITH {RELATIONS} SELECT subject_id AS entity_id, s_name AS name, count(DISTINCT object_id) AS n FROM relations JOIN supplier ON subject_id = 's' || s_suppkey WHERE predicate = 'SUPPLIES' GROUP BY ALL ORDER BY n DESC, name LIMIT 10")
+@query(f"""WITH {RELATIONS}, near AS (SELECT subject_id, object_id, min(chunk_id) AS chunk_id FROM relations WHERE predicate = 'SUPPLIES' GROUP BY ALL)
+SELECT subject_id AS entity_id, s_name AS name, count(*) AS n, array_to_string(list_slice(list(object_id || '#' || chunk_id ORDER BY object_id), 1, 5), ',') AS samples FROM near JOIN supplier ON subject_id = 's' || s_suppkey GROUP BY ALL ORDER BY n DESC, name LIMIT 10""")
 def graph_aggregation(spark, sf_dir):
-    return templates.aggregation(relations(spark, sf_dir), vertices(spark, sf_dir), predicate="SUPPLIES", kind="Organization").drop("samples")
+    return templates.aggregation(relations(spark, sf_dir), vertices(spark, sf_dir), predicate="SUPPLIES", kind="Organization").withColumn("samples", F.array_join(F.transform("samples", lambda f: F.concat(f["object_id"], F.lit("#"), f["chunk_id"])), ","))
 
 
 @query(f"""WITH {EDGES} SELECT 'node' AS what, label, n FROM (SELECT 'Organization' AS label, count(*) AS n FROM supplier UNION ALL SELECT 'Concept', count(*) FROM part UNION ALL SELECT 'Event', 0)
@@ -356,7 +358,7 @@ def graph_chunk_order(spark, sf_dir):
 
 @query(f"WITH {RANKED}, c AS (SELECT rank, sum(length(subject_id || predicate || object_id) + 4) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM ranked) SELECT CAST(rank AS BIGINT) AS rank, CAST(used AS BIGINT) AS used FROM c WHERE used <= 3000 // 4")
 def budget_prefix(spark, sf_dir):
-    ranked = fusion.rank_facts(merged_facts(spark, sf_dir), "LEADS")
+    ranked = fusion.rank_facts(merged_facts(spark, sf_dir), "LEADS", top=fusion.most_facts(3000))
     return fusion.facts_within(ranked, F.length(F.concat("subject_id", "predicate", "object_id")), 3000).select(F.col("rank").cast("long").alias("rank"), F.col("used").cast("long").alias("used"))
 
 
@@ -366,11 +368,14 @@ def evidence_gate(spark, sf_dir):
     return fusion.has_evidence(scores)
 
 
-@query("""WITH w AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(lower(p_name), '[\\p{P}\\p{S}\\p{Z}\\s]+'), lambda x: x <> '') AS t FROM part), n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM w),
+BM25 = """WITH w AS (SELECT p_partkey AS id, list_filter(regexp_split_to_array(lower(p_name), '[\\p{P}\\p{S}\\p{Z}\\s]+'), lambda x: x <> '') AS t FROM part), n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM w),
 q AS (SELECT DISTINCT unnest(list_sort(list_distinct(list_filter(regexp_split_to_array(lower((SELECT min(p_name) || ' ' || max(p_name) FROM part)), '[\\p{P}\\p{S}\\p{Z}\\s]+'), lambda x: x <> '')))[1:3]) AS term),
 tf AS (SELECT id, term, len(t) AS length, len(list_filter(t, lambda x: x = term)) AS tf FROM w, q), df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term)
 SELECT id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score, count(*) FILTER (tf > 0) AS terms FROM tf JOIN df USING (term), n
-GROUP BY id HAVING count(*) FILTER (tf > 0) > 0 ORDER BY score DESC, id LIMIT 50""")
+GROUP BY id HAVING count(*) FILTER (tf > 0) > 0 ORDER BY score DESC, id LIMIT 50"""
+
+
+@query(BM25)
 def bm25_search(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     names = parts.agg(F.min("p_name").alias("a"), F.max("p_name").alias("b")).first()
@@ -381,15 +386,19 @@ def bm25_search(spark, sf_dir):
 # ---------- text ----------
 
 
-@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || '|user ' || (user_id % 7) WHEN 1 THEN '' ELSE 'Plain name' END AS names FROM events")
 def json_props(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+    """Name lists kept as JSON text: repeated spellings, empty texts, and text that is no list."""
+    listed = F.concat(F.lit('["'), "event_type", F.lit(' ", "'), F.upper("event_type"), F.lit('", "user  '), F.col("user_id") % 7, F.lit('", "--"]'))
+    made = F.when(F.col("event_id") % 3 == 0, listed).when(F.col("event_id") % 3 == 1, "").otherwise("Plain  name.")
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(text.json_names(made), "|").alias("names"))
 
 
-@query("SELECT doc_id, md5(replace(trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ', '_')) AS key_md5, len(list_filter(regexp_split_to_array(lower(text), '[\\p{P}\\p{S}\\p{Z}\\s]+'), lambda x: x <> '')) AS n_words FROM documents")
+@query("SELECT doc_id, md5(replace(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')), ' ', '_')) AS key_md5, len(list_filter(regexp_split_to_array(lower(text), '[\\p{P}\\p{S}\\p{Z}\\s]+'), lambda x: x <> '')) AS n_words, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(nfc_normalize(chr(9) || replace(text, ' ', '  ') || chr(13) || chr(10) || ' ' || chr(10) || chr(10) || ' ' || chr(64257) || 'n '), chr(64257), 'fi'), '\r\n?', chr(10), 'g'), '[ \t\\x{00a0}]+', ' ', 'g'), '(?m)^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g').trim(' ' || chr(10) || chr(9))) AS tidy_md5 FROM documents")
 def text_normalize(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.md5(text.key_of_folded(F.lower("text"))).alias("key_md5"), F.size(text.words(F.col("text"))).cast("long").alias("n_words"))
+    messy = F.concat(F.lit("\t"), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\r\n \n\n ﬁn "))
+    return docs.select("doc_id", F.md5(text.name_key(F.col("text"))).alias("key_md5"), F.size(text.words(F.col("text"))).cast("long").alias("n_words"), F.md5(text.normalize_text(messy)).alias("tidy_md5"))
 
 
 @query("SELECT o_orderkey, 'call [phone removed] or id 21' || lpad(CAST(o_custkey AS VARCHAR), 17, '0') || ' now' AS masked FROM orders")
@@ -404,9 +413,12 @@ def doc_ids_hash(spark, sf_dir):
     return docs.select("doc_id", text.chunk_id(F.col("doc_id").cast("string"), F.lit(0), F.col("text")).alias("chunk_id"), text.doc_id(F.col("text")).alias("hashed_id"))
 
 
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+@query("""WITH t AS (SELECT CASE doc_id % 5 WHEN 0 THEN text || repeat('क', n_chars // 2) WHEN 1 THEN '1234 ...' ELSE text END AS t FROM documents),
+c AS (SELECT len(regexp_extract_all(t, '[\\x{0900}-\\x{097F}]')) AS dev, len(regexp_extract_all(t, '[A-Za-z]')) AS latin FROM t)
+SELECT CASE WHEN dev = 0 AND latin = 0 THEN 'unknown' WHEN dev > latin THEN 'hi' ELSE 'en' END AS language, count(*) AS n FROM c GROUP BY 1""")
 def lang_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    mixed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.expr("repeat('क', CAST(n_chars DIV 2 AS INT))"))).when(F.col("doc_id") % 5 == 1, "1234 ...").otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").groupBy(text.detect_language(mixed).alias("language")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH a AS (SELECT o_orderkey, 'Order total is ' || o_orderkey || ' units in all [C' || (o_orderkey % 4 + 1) || ', G' || (o_orderkey % 3 + 1) || ']. It was placed by a customer that nobody cited here.' AS answer FROM orders),
@@ -434,9 +446,10 @@ def date_spans(spark, sf_dir):
 # ---------- more operators of the inventory ----------
 
 
-@query(f"WITH {EDGES} SELECT src AS post_id, count(DISTINCT dst) AS n FROM edges WHERE dst IN ('p1', 'p2', 's1', 's2') GROUP BY src")
+@query(f"WITH {EDGES} SELECT src AS post_id, count(DISTINCT dst) AS n FROM edges WHERE dst IN ('p1', 'p2', 's1', 's2', 'd3') AND src BETWEEN 1 AND 400 GROUP BY src")
 def entity_mention_counts(spark, sf_dir):
-    return edges(spark, sf_dir).filter(F.col("dst").isin("p1", "p2", "s1", "s2")).groupBy(F.col("src").alias("post_id")).agg(F.count_distinct("dst").alias("n"))
+    found = templates.entity_mentions(edges(spark, sf_dir), list(range(1, 401)), ["p1", "p2", "s1", "s2", "d3"])
+    return found.withColumnRenamed("src", "post_id")
 
 
 @query("""WITH x AS (SELECT label, i AS pos, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS size FROM x GROUP BY label)
@@ -491,3 +504,111 @@ def chunk_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("section"), "source", "text")
     return chunking.chunk_pages(pages, 128, 20).select("chunk_id", "doc_id", "chunk_index", "token_count", "language", "date_start", "date_end")
+
+
+@query(f"WITH b AS ({BM25}) SELECT id, score, terms FROM b WHERE score >= 0.5::DOUBLE * (SELECT max(score) FROM b)")
+def near_best_hits(spark, sf_dir):
+    """Full-text hits with at least half of the best score."""
+    return fulltext.near_best(bm25_search(spark, sf_dir))
+
+
+@query(f"""WITH {RELATIONS}, t AS (SELECT * FROM ways WHERE v IN ('s1', 's2', 's3') AND u NOT IN ('s1', 's2', 's3')), f AS (SELECT u FROM t GROUP BY u HAVING count(DISTINCT v) = 3)
+SELECT DISTINCT subject_id, predicate, object_id, chunk_id, confidence, 1 AS hops FROM t WHERE u IN (FROM f) ORDER BY confidence DESC, subject_id, predicate, object_id, chunk_id LIMIT 100""")
+def intersection_facts(spark, sf_dir):
+    """The relations between three seeds and whatever all of them are linked to."""
+    return templates.intersection(relations(spark, sf_dir), ["s1", "s2", "s3"])
+
+
+@query(f"WITH {FACTS} SELECT subject_id, predicate, object_id, row_number() OVER (ORDER BY hops, confidence DESC, len(chunk_ids) DESC, subject_id, predicate, object_id) AS rank FROM merged")
+def rank_facts_unscored(spark, sf_dir):
+    return fusion.rank_facts_unscored(merged_facts(spark, sf_dir).withColumn("predicate", F.lit("SUPPLIES"))).select("subject_id", "predicate", "object_id", "rank")
+
+
+@query("""WITH x AS (SELECT label, i AS pos, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS size FROM x GROUP BY label),
+c AS (SELECT label AS source, list(m / size ORDER BY pos) AS v FROM x JOIN n USING (label) GROUP BY label), s AS (SELECT source, label, round(max(list_dot_product(embedding::DOUBLE[], v)), 4) AS score FROM embeddings JOIN c ON source <> label GROUP BY ALL),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, label) <= 3)
+SELECT least(source, label) AS a, greatest(source, label) AS b, max(score) AS score FROM k WHERE score >= 0.2 GROUP BY ALL""")
+def similar_documents(spark, sf_dir):
+    """The three nearest other groups of each, those above a threshold, as one edge a pair."""
+    rows = table(spark, sf_dir, "embeddings")
+    near = vectors.best_in_groups(rows, vectors.centroids(rows, "label"), "label", "vec_id", limit=3, threshold=0.2)
+    return graph.similar_edges(near.select(F.col("source").alias("a"), F.col("label").alias("b"), "score"))
+
+
+@query("""WITH o AS (SELECT p_partkey AS id, p_name AS name, 'Concept' AS type, ['Concept'] AS labels, [p_brand, 'x'] AS aliases FROM part WHERE p_partkey % 2 = 0),
+n AS (SELECT p_partkey AS id, upper(p_name) AS name, 'Event' AS type, [p_type, p_brand] AS aliases FROM part WHERE p_partkey % 3 = 0)
+SELECT coalesce(o.id, n.id) AS id, coalesce(o.name, n.name) AS name, coalesce(n.type, o.type) AS type, array_to_string(list_concat(coalesce(o.labels, []), CASE WHEN n.type IS NULL THEN [] ELSE [n.type] END), ',') AS labels,
+ array_to_string(list_concat(list_filter(coalesce(o.aliases, []), lambda a: NOT list_contains(coalesce(n.aliases, []), a)), coalesce(n.aliases, [])), ',') AS aliases FROM o FULL JOIN n ON o.id = n.id""")
+def merge_entities(spark, sf_dir):
+    """Entities after a merge: the first name stays, the newest type holds, labels and aliases pile up."""
+    part = table(spark, sf_dir, "part")
+    old = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("Concept").alias("type"), F.array(F.lit("Concept")).alias("labels"), F.array("p_brand", F.lit("x")).alias("aliases"))
+    new = part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("name"), F.lit("Event").alias("type"), F.array("p_type", "p_brand").alias("aliases"))
+    return graph.merge_entities(old, new).withColumns({c: F.array_join(c, ",") for c in ("labels", "aliases")})
+
+
+@query(f"""WITH {RELATIONS} SELECT subject_id, object_id, predicate, chunk_id, CASE WHEN chunk_id % 3 = 0 THEN 0.25::DOUBLE ELSE confidence END AS confidence FROM relations WHERE chunk_id % 2 = 0 OR chunk_id % 3 = 0""")
+def merge_relations(spark, sf_dir):
+    """Relations written again: of two new ones with the same ends, predicate and chunk the later counts."""
+    rel = relations(spark, sf_dir)
+    again = rel.filter("chunk_id % 3 = 0").withColumn("w", F.explode(F.array(F.struct(F.lit(2).alias("seq"), F.lit(0.25).alias("confidence")), F.struct(F.lit(1).alias("seq"), F.lit(0.75).alias("confidence")))))
+    new = again.select("subject_id", "object_id", "predicate", "chunk_id", "w.confidence", "w.seq")
+    return graph.merge_relations(rel.filter("chunk_id % 2 = 0"), new)
+
+
+@query("""WITH o AS (SELECT c_custkey AS id, c_name AS name, NULL AS seg FROM customer), n AS (SELECT c_custkey + 3 AS id, NULL AS name, c_mktsegment AS seg FROM customer WHERE c_custkey % 4 = 0)
+SELECT * FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n""")
+def upsert_rows(spark, sf_dir):
+    """New rows instead of old ones with the same key; a column that one side lacks is null there."""
+    customer = table(spark, sf_dir, "customer")
+    new = customer.filter("c_custkey % 4 = 0").select((F.col("c_custkey") + 3).alias("id"), F.col("c_mktsegment").alias("seg"))
+    return graph.upsert(customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), new, ["id"])
+
+
+@query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk:' || doc_id)) AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""")
+def point_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.point_id(F.concat(F.lit("chunk:"), F.col("doc_id").cast("string"))).alias("point_id"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'WORKS_FOR' WHEN 1 THEN 'LOCATED_IN' WHEN 2 THEN 'SUPPLIES' ELSE 'RELATED_TO' END AS predicate, CASE p_partkey % 4 WHEN 0 THEN 'Ann works for ' || p_name WHEN 1 THEN p_name || ' located in Ann' WHEN 2 THEN p_name || ' supplies Ann' ELSE p_name || ' related to Ann' END AS sentence FROM part""")
+def fact_forms(spark, sf_dir):
+    """Predicates as models spell them, facts put the right way round by their types, and as a sentence."""
+    raw = F.element_at(F.array(F.lit("works for"), F.lit("Located-In"), F.lit(" supplies!"), F.lit("dances with")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    predicate = text.normalize_predicate(raw)
+    ends = text.orient(predicate, F.struct(F.col("p_name").alias("name"), F.lit("Organization").alias("type")), F.struct(F.lit("Ann").alias("name"), F.lit("Person").alias("type")))
+    return table(spark, sf_dir, "part").select("p_partkey", predicate.alias("predicate"), text.fact_sentence(ends["s"]["name"], predicate, ends["o"]["name"]).alias("sentence"))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents) SELECT doc_id, md5(CASE WHEN length(t) <= 350 THEN t ELSE regexp_replace(substr(t, 1, 350), ' [^ ]*$', '') || ' …' END) AS excerpt_md5, CASE WHEN doc_id % 2 = 0 THEN 'src ' || source END AS name FROM t JOIN documents USING (doc_id)""")
+def excerpts(spark, sf_dir):
+    """Texts cut at a word, and names freed of stray punctuation; names that are too long or hold no letter are null."""
+    spaced = F.regexp_replace("text", "\\s+", " ")
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" - src  "), "source", F.lit(" ;"))).otherwise(F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("x"), F.lit(81))).otherwise(" -- "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.cut_at_word(spaced, 350)).alias("excerpt_md5"), text.clean_name(name).alias("name"))
+
+
+@query("""SELECT n_nationkey, unnest([n_name, n_name || ' > Inner', n_name || ' > Inner > Deep', 'Last']) AS section, unnest(['# ' || n_name, '## Inner', '### Deep', '# Last']) AS first_line, unnest([2, 2, 6, 2]) AS n_lines FROM nation""")
+def markdown_sections(spark, sf_dir):
+    """Sections of Markdown texts; what stands in a fence is no heading, and headings without text go."""
+    made = F.concat(F.lit("# "), "n_name", F.lit("\nlead\n## Inner\nbody\n### Deep\nmore\n```\n# not one\n```\nrest\n# Last\nend"))
+    parts = files.markdown_sections(table(spark, sf_dir, "nation").select("n_nationkey", made.alias("text")))
+    return parts.select("n_nationkey", "section", F.substring_index("text", "\n", 1).alias("first_line"), F.size(F.split("text", "\n")).alias("n_lines"))
+
+
+@query(f"""WITH {EDGES}, v AS (SELECT 's' || s_suppkey AS id, s_name AS name FROM supplier), c AS (SELECT dst, count(DISTINCT src) AS posts FROM edges GROUP BY dst)
+SELECT id, name, coalesce(posts, 0) AS posts FROM v LEFT JOIN c ON id = dst""")
+def nameable_nodes(spark, sf_dir):
+    """Vertices that a question can name, with the posts that link to them."""
+    nodes = vertices(spark, sf_dir).withColumnRenamed("type", "label")
+    return graph.name_index(nodes, edges(spark, sf_dir), ["Organization"]).select("id", "name", "posts")
+
+
+@query("""SELECT o_orderpriority AS priority, count(*) AS n FROM orders WHERE o_orderdate + INTERVAL 30 DAY >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1997-07-01' GROUP BY 1""")
+def overlapping_spans(spark, sf_dir):
+    """Rows whose span of thirty days touches some months."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    spans = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), stamp("o_orderdate").alias("date_start"), stamp(F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("date_end"))
+    kept = spans.filter(filters.conjunction(filters.overlaps(filters.TimeFilter(date(1997, 3, 1), date(1997, 6, 30)))))
+    return kept.groupBy("priority").agg(F.count("*").alias("n"))
