@@ -1,6 +1,7 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-DataFrame functions only. A unit of text (each line, and each whole document) is compared with those templates whose
+DataFrame functions only. A unit of text (each line, each block of lines between lines without words, and each whole
+document) is compared with those templates whose
 bigram counts its own allow: with a smaller set of a and a larger of b bigrams the coefficient is at most 2a / (a + b).
 """
 
@@ -12,13 +13,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Notices by which texts state a licence, and some short public licence texts (MIT, ISC). Only these are recognised.
+# Notices by which texts state a licence, and some short public licence texts (MIT, ISC), whole and by their
+# paragraphs, as a wrapped text stands in a file. Only these are recognised.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "This project is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -27,10 +32,23 @@ TEMPLATES: dict[str, list[str]] = {
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License."],
     "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
@@ -47,6 +65,10 @@ TEMPLATES: dict[str, list[str]] = {
 }
 
 
+#: Lines without a word between two blocks of lines.
+BLOCK_END = "\n(?:[^A-Za-z0-9\n]*\n)+"
+
+
 def plain_words(text: str) -> list[str]:
     """``words_of`` for a template on the driver."""
     return "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()
@@ -113,12 +135,15 @@ def template_table(spark, templates: dict[str, list[str]]) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_templates: int = 1000) -> DataFrame:
-    """One row for each unit and licence that reach ``threshold``: id, ``unit`` (0: the whole document, n: its n-th line),
-    ``license_id``, ``dice`` (its best template's) and ``n_bigrams`` of the unit.
+    """One row for each unit and licence that reach ``threshold``: id, ``unit`` (0: the whole document, n: its n-th line,
+    -n: its n-th block of lines), ``license_id``, ``dice`` (its best template's) and ``n_bigrams`` of the unit.
 
+    Blocks are parted by lines without a word, so a text wrapped over several lines is compared as one. A document of one
+    line is compared once, as the document; one of a single block has no block units, and blocks of one line are lines.
     Null and empty texts, and units of fewer than two words, match nothing. Equal templates of two licences give a row for
-    each. Repeated rows give repeated findings, null ids stay null; only the two named columns are read. A document of one
-    line is compared once, as the document. The template table is broadcast; ``max_templates`` bounds it.
+    each. Rows that repeat an id and its text give each finding once, null ids stay null and count as one id; only the two
+    named columns are read. Very long texts are compared like others; what is no unit (a notice inside a longer line, or
+    in a block with other text) is not found. The template table is broadcast; ``max_templates`` bounds it.
     """
     templates = TEMPLATES if templates is None else templates
     if sum(map(len, templates.values())) > max_templates:
@@ -131,7 +156,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("text").isNotNull() & _may_match(F.col("text"), templates, threshold))
     lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct((i + 1).alias("unit"), line.alias("part")))
-    units = F.when(F.instr("text", "\n") > 0, F.concat(F.array(F.struct(F.lit(0).alias("unit"), F.col("text").alias("part"))), lines)).otherwise(F.array(F.struct(F.lit(0).alias("unit"), F.col("text").alias("part"))))
+    whole = F.array(F.struct(F.lit(0).alias("unit"), F.col("text").alias("part")))
+    cut = F.filter(F.transform(F.split("text", BLOCK_END), lambda b, i: F.struct((-i - 1).alias("unit"), b.alias("part"))), lambda b: F.instr(b["part"], "\n") > 0)
+    blocks = F.when(F.col("text").rlike(BLOCK_END), cut).otherwise(F.slice(whole, 1, 0))
+    units = F.when(F.instr("text", "\n") > 0, F.concat(whole, lines, blocks)).otherwise(whole)
     # a unit of n words has at most n - 1 bigrams, so one too short for the smallest template goes before it is split
     spaces = F.length(F.col("u.part")) >= 3
     parts = rows.select("id", F.explode(units).alias("u")).filter(spaces).select("id", F.col("u.unit").alias("unit"), words_of(F.col("u.part")).alias("words"))
@@ -163,6 +191,10 @@ parts AS (
   UNION ALL
   SELECT doc_id, i AS unit, lines[i] AS part FROM (
     SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE contains(text, chr(10))))
+  UNION ALL
+  SELECT doc_id, -i AS unit, blocks[i] AS part FROM (
+    SELECT doc_id, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{BLOCK_END}') AS blocks FROM documents WHERE regexp_matches(text, '{BLOCK_END}')))
+  WHERE contains(blocks[i], chr(10))
 ),
 units AS (SELECT doc_id, unit, {grams('part')} AS own FROM parts),
 scored AS (

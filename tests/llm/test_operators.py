@@ -4,6 +4,8 @@ columns whose names clash with inner ones."""
 import json
 import math
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -128,6 +130,13 @@ def brute_dice(text, templates, threshold):
     from lumenfold.llm.license_scan import plain_bigrams
 
     units = [] if text is None else [(0, text)] + ([(i, x) for i, x in enumerate(text.split("\n"), 1)] if "\n" in text else [])
+    blocks = [[]]
+    for line in (text or "").split("\n"):
+        if any(c.isascii() and c.isalnum() for c in line):
+            blocks[-1].append(line)
+        elif blocks[-1]:
+            blocks.append([])
+    found = ["\n".join(b) for b in blocks if len(b) > 1]
     out = {}
     for unit, part in units:
         own = plain_bigrams(part)
@@ -136,7 +145,8 @@ def brute_dice(text, templates, threshold):
                 other = plain_bigrams(t)
                 if own and other and (dice := 2 * len(own & other) / (len(own) + len(other))) >= threshold:
                     out[unit, name] = max(out.get((unit, name), 0), round(dice, 6))
-    return out
+    in_blocks = sorted((name, round(d, 6)) for part in found if len(found) > 1 or "\n".join(blocks[0]) != text for own in [plain_bigrams(part)] for name, texts in templates.items() if (d := max((2 * len(own & g) / (len(own) + len(g)) for t in texts if (g := plain_bigrams(t))), default=0)) >= threshold)
+    return out, in_blocks
 
 
 def test_licenses_as_by_brute_force(spark):
@@ -144,11 +154,21 @@ def test_licenses_as_by_brute_force(spark):
 
     mit = TEMPLATES["MIT"][3]
     texts = [None, "", "MIT", "Released under the MIT License.", "x\nLICENSED under the Apache-License, version 2.0\ny", mit, mit.replace("Software", "Program"), f"Copyright 2020 A\n\n{mit}", "all rights\nreserved", "A.\nAll rights reserved.", "Licensed under CC BY-NC 4.0!", *BASE]
+    code = "\n".join(f"x{i} = compute(x{i - 1}, {i})" for i in range(1, 60))
+    wrapped = "\n\n".join(textwrap.fill(p, 70) for p in TEMPLATES["MIT"][4:7])
+    header = "\n".join("# " + x for x in textwrap.wrap(TEMPLATES["GPL-3.0"][1], 60))
+    texts += [f"Copyright 2020 A\n\n{wrapped}\n\n{code}", f"#!/usr/bin/tool\n#\n{header}\n#\n{code}", "All rights reserved."]
     got = defaultdict(dict)
     for r in scan_licenses(table(spark, texts, list(range(len(texts))))).collect():
         got[r["doc_id"]][r["unit"], r["license_id"]] = r["dice"]
     for i, t in enumerate(texts):
-        assert got[i] == brute_dice(t, TEMPLATES, 0.8), t
+        lines, blocks = brute_dice(t, TEMPLATES, 0.8)
+        assert {k: v for k, v in got[i].items() if k[0] >= 0} == lines, t
+        if t and re.search("\n[^A-Za-z0-9\n]*\n", t):
+            assert sorted((name, d) for (unit, name), d in got[i].items() if unit < 0) == blocks, t
+    # a wrapped licence above code is found by its blocks; rows that repeat give a finding once
+    assert {n for u, n in got[len(texts) - 3] if u < 0} == {"MIT"} and max((d, n) for (u, n), d in got[len(texts) - 2].items() if u < 0) == (1.0, "GPL-3.0")
+    assert got[len(texts) - 1][0, "Proprietary"] and scan_licenses(table(spark, ["All rights reserved."] * 3, [1, 1, 2])).count() == 2
     assert scan_licenses(empty(spark)).count() == 0 and scan_licenses(odd_table(spark)).count() == 0
     with pytest.raises(ValueError, match="templates"):
         scan_licenses(empty(spark), max_templates=3)
