@@ -48,9 +48,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Those with a null id can't be told apart: they are searched by their text."""
     reachable(spark)
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key").select("__key").distinct()
-    return keyed.join(found, "__key", "left_anti").select(docs.columns)
+    key = next(name for i in range(len(docs.columns) + 1) if (name := f"__key{i}") not in docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = contaminated(keyed.select(key, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key).select(key).distinct()
+    return keyed.join(found, key, "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
