@@ -3,7 +3,7 @@
 1. Documents with equal shingle sets form a class; only classes go on. Each gets its minima, a signature and band keys.
 2. In each band bucket one member, drawn by a hash, is the centre; members whose signatures agree with it join its family.
    Buckets that still hold several families compare those outside their largest one with all members.
-3. Links are confirmed on full sets within families: small families as a whole; large ones first against a few centres
+3. Links are confirmed on full sets within families: small families as a whole; large ones (by members or shingles) first against a few centres
    and then, for what is left outside the largest component, against every chunk. Tasks emit no more links than they hold
    documents: enough to connect what is linked.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import resident, text_groups, written
+from lumenfold.llm.common import blocks_for, resident, text_groups, written
 from lumenfold.llm.components import connected_components
 from lumenfold.llm.minhash import Minima, Shingler, equal_minima
 
@@ -81,13 +81,27 @@ def _agreeing(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
+def _salted(rows: DataFrame, keyed: DataFrame, key: str, by: str, weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keyed`` (a written table: one row a key, ``weight`` of its rows each). Keys that hold over a 64th
+    of all rows, 64 at most, are dealt over 64 salts by the hash of ``by``."""
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(keyed.filter(F.col(weight) * 64 > total).select(key, F.lit(64).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
+    right = keyed.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts", weight)
+    return left.join(right, [key, "salt"], how).drop("salt")
+
+
 def _bucket_rest(rows: DataFrame, least: int, chunk: int) -> DataFrame:
     """Agreeing pairs (enough to connect them) between families that share a bucket.
 
     ``rows``: key, cid, sig, family. Those outside a bucket's largest family meet all of its members, chunk by chunk."""
     size = rows.groupBy("key", "family").agg(F.count("*").alias("n"))
-    top = size.groupBy("key").agg(F.max_by("family", F.struct("n", "family")).alias("top"), F.count("*").alias("families"), F.sum("n").alias("total")).filter("families > 1")
-    mixed = rows.join(top, "key").withColumn("chunks", F.ceil(F.col("total") / chunk)).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("chunks")))
+    top = size.groupBy("key").agg(F.max_by("family", F.struct("n", "family")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("total")).filter("total > most")
+    top = written(top.withColumn("chunks", F.ceil(F.col("total") / chunk)), "near-mixed")
+    minority = F.col("total") - F.col("most")
+    n_dealt = top.agg(F.sum(minority * F.col("chunks") + F.col("total") * F.least(minority, "chunks"))).first()[0] or 0
+    mixed = _salted(rows, top, "key", "cid", "total").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("chunks")))
     # a chunk of the minority is dealt to each chunk of all: the key names both
     every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
     left = mixed.filter("family <> top").select("key", F.col("mine").alias("i"), F.explode(every).alias("j"), "cid", "sig", "family", F.lit(True).alias("minority"))
@@ -114,7 +128,7 @@ def _bucket_rest(rows: DataFrame, least: int, chunk: int) -> DataFrame:
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     dealt = left.unionByName(right).withColumn("bin", F.xxhash64("key", "i", "j"))
-    bins = F.pmod(F.col("bin"), F.lit(4096))
+    bins = F.pmod(F.col("bin"), F.lit(blocks_for(n_dealt, 16_384)))
     return dealt.withColumn("bin", bins).groupBy("bin").applyInPandas(work, "a long, b long")
 
 
@@ -169,7 +183,7 @@ def _confirmed(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, rows: int = 4, sigmas: float = 4.5, chunk: int = 512, centres: int = 8
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = 32, rows: int = 4, sigmas: float = 4.5, chunk: int = 512, centres: int = 8, heaviest: int = 4_000_000
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (the smallest id that links reach) and ``kept``.
 
@@ -178,13 +192,14 @@ def near_duplicates(
     ``sigmas`` deviations; every link is confirmed on full sets. Texts that are null, empty or without words have no
     shingles and are linked with nothing; rows with a null id take no part (component and kept null, unless a reader
     fills them); repeated rows of one id have one component; an empty table gives no rows. Ids must be integers; other
-    columns aren't read. Large buckets, families and classes of copies are worked through in chunks of ``chunk``.
+    columns aren't read. Large buckets, families and classes of copies are worked through in chunks of ``chunk``, families
+    of long texts in more of them, of ``heaviest`` shingles; a single very long text is taken whole.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     minima = Minima(bands, rows)
     least = equal_minima(percent / 100, bands * rows, sigmas)
     feats = written(_features(source, width, minima), "near-features")
-    classes = feats.filter("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("cid"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = feats.filter("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.min("id").alias("cid"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     # one id with several texts stands for several sets: classes are told apart by their own number
     classes = written(classes.withColumn("set", F.xxhash64("fp")), "near-classes")
     buckets = classes.select(F.explode("keys").alias("key"), F.col("set").alias("cid"))
@@ -200,18 +215,20 @@ def near_duplicates(
     families = written(connected_components(likely.union(rest)), "near-families").withColumnRenamed("node", "cid").withColumnRenamed("component", "family")
 
     # full sets are rebuilt from the texts of the documents that stand for their classes
-    size = families.groupBy("family").agg(F.count("*").alias("size"))
-    wanted = families.join(size, "family").join(classes.select(F.col("set").alias("cid"), F.col("fp")), "cid")
+    of_family = written(families.join(classes.select(F.col("set").alias("cid"), "fp", "n"), "cid"), "near-members")
+    chunks = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / heaviest))
+    size = written(of_family.groupBy("family").agg(F.count("*").alias("members"), chunks.alias("chunks")), "near-sizes")
+    wanted = _salted(of_family, size, "family", "cid", "members")
     stands = feats.filter("n > 0 AND id IS NOT NULL").join(classes.select("fp", F.col("cid").alias("id")), ["fp", "id"]).select("fp", "id").distinct()
-    texts = source.filter("id IS NOT NULL").join(wanted.join(stands, "fp").select("cid", "family", "size", "id").distinct(), "id")
+    texts = source.filter("id IS NOT NULL").join(wanted.join(stands, "fp").select("cid", "family", "chunks", "id").distinct(), "id")
     if feats.groupBy("id").count().filter("count > 1").limit(1).count():
         # repeated ids: keep the text that has the class's set
         texts = _matching(texts, width)
-    texts = written(texts.select("cid", "family", "size", "text").dropDuplicates(["cid"]), "near-texts")
-    bins = max(1, -(-texts.count() // 1000))
-    small = texts.filter(F.col("size") <= chunk).select(F.pmod(F.xxhash64("family"), F.lit(bins)).alias("bin"), F.col("family").alias("grp"), "cid", "text", F.lit(0).alias("side"))
+    texts = written(texts.select("cid", "family", "chunks", "text").dropDuplicates(["cid"]), "near-texts")
+    bins = blocks_for(of_family.agg(F.sum("n")).first()[0] or 0, 300_000)
+    small = texts.filter("chunks = 1").select(F.pmod(F.xxhash64("family"), F.lit(bins)).alias("bin"), F.col("family").alias("grp"), "cid", "text", F.lit(0).alias("side"))
     links = written(_confirmed(small, width, percent), "near-links-small")
-    large = texts.filter(F.col("size") > chunk).withColumn("chunks", F.ceil(F.col("size") / chunk)).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("chunks")))
+    large = texts.filter("chunks > 1").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("chunks")))
     every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
     order = Window.partitionBy("family").orderBy(F.xxhash64(F.lit(1), "cid"))
     middle = large.select("family", "cid", "chunks", F.col("text")).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= centres)
@@ -222,8 +239,8 @@ def near_duplicates(
     links1 = written(_confirmed(round1.withColumn("grp", group).withColumn("bin", F.col("grp")), width, percent), "near-links-centres")
     part = connected_components(links1).select(F.col("node").alias("cid"), "component")
     state = written(large.join(part, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "near-large")
-    top = state.groupBy("family", "component").count().groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
-    state = state.join(top, "family")
+    top = state.groupBy("family", "component").count().groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("top"), F.sum("count").alias("members"))
+    state = _salted(state, written(top, "near-tops"), "family", "cid", "members")
     lone = state.filter("component <> top")
     sides = lone.select("family", F.col("mine").alias("i"), F.explode(every).alias("j"), "cid", "text", F.lit(0).alias("side")).union(
         state.join(lone.select("family", F.col("mine").alias("i")).distinct(), "family").select("family", "i", F.col("mine").alias("j"), "cid", "text", F.lit(1).alias("side"))
@@ -231,10 +248,13 @@ def near_duplicates(
     links2 = _confirmed(sides.withColumn("grp", group).withColumn("bin", F.col("grp")), width, percent)
     final = connected_components(links.union(links1).union(links2))
 
-    ids = classes.select(F.col("set").alias("node"), "fp", "cid").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = ids.groupBy("component").agg(F.min("cid").alias("component_id"))
-    of_class = ids.join(smallest, "component").select("fp", "component_id")
-    out = feats.select("id", "n", "fp").join(of_class, "fp", "left")
+    ids = classes.select(F.col("set").alias("node"), "fp", "cid", "copies").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = written(ids, "near-components")
+    smallest = written(ids.groupBy("component").agg(F.min("cid").alias("component_id"), F.count("*").alias("members")), "near-smallest")
+    of_class = written(_salted(ids, smallest, "component", "node", "members").select("fp", "component_id", "copies"), "near-ids")
+    # texts without words have no class: their ids spread them
+    spread = F.when(F.col("n") > 0, F.col("fp")).otherwise(F.encode(F.col("id").cast("string"), "utf-8"))
+    out = _salted(feats.select("id", "n", spread.alias("fp")), of_class, "fp", "id", "copies", "left")
     alone = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
     out = out.select("id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
     return out.withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", id_col)
@@ -251,6 +271,6 @@ def _matching(texts: DataFrame, width: int) -> DataFrame:
             fps = [hashlib.blake2b(own.sets(t).tobytes(), digest_size=16).digest() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary())], [*batch.schema.names, "found"])
 
-    picked = texts.select("text", "cid", "family", "size")
-    marked = picked.mapInArrow(work, "text string, cid long, family long, size long, found binary")
+    picked = texts.select("text", "cid", "family", "chunks")
+    marked = picked.mapInArrow(work, "text string, cid long, family long, chunks long, found binary")
     return marked.filter(F.xxhash64("found") == F.col("cid"))

@@ -537,8 +537,8 @@ def brute_components(texts, width, percent=80):
     return [len(s) for s in sets], [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize(("width", "chunk"), [(2, 512), (5, 512), (2, 8)])
-def test_near_duplicates_as_by_brute_force(spark, width, chunk):
+@pytest.mark.parametrize(("width", "chunk", "heaviest"), [(2, 512, 4_000_000), (5, 512, 4_000_000), (2, 8, 4_000_000), (2, 512, 100)])
+def test_near_duplicates_as_by_brute_force(spark, width, chunk, heaviest):
     from lumenfold.llm.near_dup import near_duplicates
 
     def changed(text, n, seed):
@@ -548,7 +548,7 @@ def test_near_duplicates_as_by_brute_force(spark, width, chunk):
         return " ".join(w)
 
     texts = [*TEXTS, *[changed(BASE[0], i % 12, i) for i in range(40)], *[changed(BASE[1], 3, i) for i in range(15)], BASE[3], BASE[3]]
-    got = {r["doc_id"]: r for r in near_duplicates(table(spark, texts, list(range(len(texts)))), width=width, chunk=chunk, centres=2).collect()}
+    got = {r["doc_id"]: r for r in near_duplicates(table(spark, texts, list(range(len(texts)))), width=width, chunk=chunk, centres=2, heaviest=heaviest).collect()}
     sizes, roots = brute_components(texts, width)
     assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
     assert [got[i]["component_id"] for i in range(len(texts))] == roots
