@@ -1,8 +1,10 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
 Each vector's components are split into slices; a slice gives one score list a query, and a candidate's score is the sum
-over its lists. Phase 1 gathers every list's highest entries and completes their scores: the k-th highest of these is a
-safe cutoff. Phase 2 hands cutoff / slices back to all lists: a candidate that reaches the cutoff must reach that share in
+over its lists. Vectors are dealt to blocks by bands of their norm. Phase 1 gathers the lists' highest entries in every
+``stride``-th block, from the highest norms down, and completes their scores: the k-th highest of them is a safe cutoff, for
+the k-th highest of all can't be lower. Phase 2 covers all blocks but those of bands whose norms can't reach a query's
+cutoff: no product is made there. It hands cutoff / slices back to all lists: a candidate that reaches the cutoff must reach that share in
 one list at least, so the entries above it suffice. Phase 3 resolves these candidates' remaining scores exactly, in the
 block that holds them, and passes on what reaches the cutoff.
 """
@@ -38,24 +40,38 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def exact_top_k(
-    vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "v", slices: int = 4, query_block: int = 2048, candidate_block: int = 8192
+    vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "v", slices: int = 4, query_block: int = 2048, candidate_block: int = 8192, stride: int = 4
 ) -> DataFrame:
     """``query_id, rank, id, score``: each query's k highest integer inner products with other rows' vectors.
 
     ``vectors`` holds integer vectors; ``is_query`` is a condition on its rows. Ties go to the smaller id; a query is no
     candidate of its own. Rows with a null id or vector take no part, shorter vectors count as padded with zeros, repeated
     rows of one id count once, an empty table gives no rows. Products must stay below 2**53 (doubles are exact there).
-    Queries against candidates run in blocks of fixed size, so no task or broadcast grows with the table.
+    Queries against candidates run in blocks of fixed size, so no task or broadcast grows with the table; at most 64 bands of
+    norms are told apart. ``stride`` changes the work, never the result.
     """
     base = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     base = written(base.withColumn("key", F.sha2(F.array_join("v", ","), 256)).dropDuplicates(["id", "key"]), "topk-rows")
     classes = written(_classes(base.select("id", "v", "key"), k), "topk-classes")
     queries = base.filter("q").select(F.col("id").alias("query_id"), "key")
     asked = written(queries.select("key").distinct().join(classes.select("key", F.col("cid").alias("qid"), F.col("v").alias("qv")), "key"), "topk-queries")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double") * x, F.lit(0.0))))
     counts = classes.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
     n_q = asked.count()
     dim = max(1, counts["d"])
-    n_blocks, q_blocks = max(1, -(-counts["n"] // candidate_block)), max(1, -(-n_q // query_block))
+    q_blocks = max(1, -(-n_q // query_block))
+    # bands run from the highest norms (0) down; each has as many blocks as its vectors fill
+    n_bands = max(1, min(64, -(-counts["n"] // candidate_block)))
+    edges = classes.agg(F.percentile_approx(norm, [1 - i / n_bands for i in range(1, n_bands)], 1000)).first()[0] or [] if n_bands > 1 else []
+    banded = classes.withColumn("norm", norm)
+    band = sum((F.when(F.col("norm") < e, 1).otherwise(0) for e in edges), F.lit(0))
+    sizes = {r["band"]: r for r in banded.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}
+    filled = [-(-sizes[b]["n"] // candidate_block) if b in sizes else 0 for b in range(n_bands)]
+    first = [sum(filled[:b]) for b in range(n_bands)]
+    n_blocks = max(1, sum(filled))
+    firsts, counted = (F.array(*[F.lit(x) for x in xs]) for xs in (first, filled))
+    # double precision rounds: the bound is widened a little, so that nothing that reaches the cutoff is passed over
+    tops = F.array(*[F.lit((sizes[b]["top"] if b in sizes else 0.0) * (1 + 1e-9)) for b in range(n_bands)])
     parts = np.array_split(np.arange(dim), min(slices, dim))
 
     def blocked(cutoff: DataFrame | None, mode: str, schema: str):
@@ -91,11 +107,19 @@ def exact_top_k(
             qid, sl, cid, part = (np.concatenate(x) for x in zip(*found, strict=True))
             return pd.DataFrame({"qid": qid, "slice": sl, "cid": cid, "part": part.astype("int64")})
 
-        left = classes.select("cid", "v", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("cb")).withColumn("qb", _numbered(q_blocks))
+        within = F.pmod(F.xxhash64("key"), F.get(counted, "band").cast("long"))
+        left = banded.withColumn("band", band).select("cid", "v", (F.get(firsts, "band") + within).alias("cb"))
         right = asked.select("qid", "qv", F.pmod(F.xxhash64("key"), F.lit(q_blocks)).alias("qb"))
-        if cutoff is not None:
-            right = right.join(cutoff, "qid")
-        right = right.withColumn("cb", _numbered(n_blocks))
+        if cutoff is None:
+            left = left.filter(F.col("cb") % stride == 0)
+            right = right.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"), F.lit(stride).cast("long"))))
+        else:
+            q_norm = F.sqrt(F.aggregate("qv", F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double") * x, F.lit(0.0))))
+            reach = F.filter(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: (F.get(counted, b) > 0) & (F.col("q_norm") * F.get(tops, b) >= F.col("cutoff")))
+            right = right.join(cutoff, "qid").withColumn("q_norm", q_norm).withColumn("band", F.explode(reach)).drop("q_norm")
+            low = F.get(firsts, "band").cast("long")
+            right = right.withColumn("cb", F.explode(F.sequence(low, low + F.get(counted, "band") - 1))).drop("band")
+        left = left.withColumn("qb", _numbered(q_blocks))
         return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(work, schema)
 
     schema = "qid long, slice int, cid long, part long"

@@ -398,6 +398,23 @@ def test_top_k_as_by_brute_force(spark, saved):
     assert got == want
 
 
+@pytest.mark.parametrize(("block", "stride"), [(8, 1), (8, 3), (40, 2), (1000, 4)])
+def test_top_k_passes_over_low_norms_only(spark, block, stride):
+    """Norms from 0 to large, equal vectors, negative scores: the same rows for every size of blocks."""
+    from lumenfold.llm.topk import exact_top_k
+
+    r = random.Random(5)
+    own = {i: [r.randrange(-9, 10) * (i % 7) ** 2 for _ in range(6)] for i in range(150)}
+    own |= {i: [3, -4, 0, 5, 1, 2] for i in range(150, 190)}
+    want = {}
+    for q in (i for i in own if i % 10 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(own[q], v, strict=True)), c) for c, v in own.items() if c != q)[:5]
+        want |= {(q, i): (c, -s) for i, (s, c) in enumerate(scores, 1)}
+    vectors = spark.createDataFrame(list(own.items()), "vec_id long, v array<bigint>")
+    got = exact_top_k(vectors, F.col("vec_id") % 10 == 0, candidate_block=block, query_block=7, stride=stride).collect()
+    assert {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in got} == want
+
+
 def test_top_k_small_tables(spark):
     from lumenfold.llm.topk import exact_top_k
 
