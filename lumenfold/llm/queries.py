@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold import reachable
-from lumenfold.llm import license_scan
+from lumenfold.llm import license_scan, merkle
 from lumenfold.llm.common import fold
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -106,6 +106,14 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the checksum of a document's id, ``n_chars`` is presented one too high."""
+    off = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    presented = {"n_chars": F.col("n_chars") + F.coalesce(off, F.lit(False)).cast("int")}
+    proofs = merkle.authenticated(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", presented)
+    return proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
@@ -117,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_lattice_lm": op10_lattice_lm,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op5_exact_top_k": OP5_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op5_exact_top_k": OP5_SQL, "op11_merkle_manifest": merkle.ORACLE}
