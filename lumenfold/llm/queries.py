@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold import reachable
-from lumenfold.llm import license_scan, merkle
+from lumenfold.llm import license_scan, merkle, spelling
 from lumenfold.llm.common import fold
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -114,6 +114,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir), slip=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
@@ -126,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_lattice_lm": op10_lattice_lm,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op5_exact_top_k": OP5_SQL, "op11_merkle_manifest": merkle.ORACLE}
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op5_exact_top_k": OP5_SQL, "op11_merkle_manifest": merkle.ORACLE, "op13_spelling_variants": spelling.ORACLE}
