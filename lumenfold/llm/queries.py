@@ -114,6 +114,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenfold.llm.toxicity import labelled_sample, score_documents, train
+
+    docs, held_out = documents(spark, sf_dir), fold("doc_id", 5) == 0
+    net = train(*labelled_sample(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return score_documents(docs.select("doc_id", "text"), net).select("doc_id", held_out.alias("held_out"), "score", "predicted", "worst_word", "n_windows")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(documents(spark, sf_dir), slip=199)
 
@@ -130,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_lattice_lm": op10_lattice_lm,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_toxicity": op12_toxicity,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
