@@ -36,7 +36,7 @@ def words_of(text: str | None) -> list[str]:
 def grams_of(word: str) -> list[str]:
     """Character n-grams of 4 and 5 signs with the word's ends marked, each once."""
     marked = f"^{word}$"
-    return list({marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)})
+    return list(dict.fromkeys(marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)))
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -191,7 +191,7 @@ def _tables(texts: list[list[str]], label: np.ndarray, fold: np.ndarray, least:
         for words, y, f in zip(texts, label, fold, strict=True):
             found = {g for w in set(words) for g in memo.setdefault(w, of(w))}
             counts[f][y].update(found)
-        names = [g for g in set().union(*counts[0], *counts[1]) if sum(c[g] for x in counts for c in x) >= least]
+        names = sorted(g for g in set().union(*counts[0], *counts[1]) if sum(c[g] for x in counts for c in x) >= least)
         array = np.array([[[c[g] for c in x] for x in counts] for g in names], dtype=float).reshape(len(names), 2, 2)
         totals = np.array([[((fold == f) & (label == y)).sum() for y in (0, 1)] for f in (0, 1)])
         whole = evidence(array[:, :, 1].sum(1), array[:, :, 0].sum(1), totals[:, 1].sum(), totals[:, 0].sum())
