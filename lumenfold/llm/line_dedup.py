@@ -6,6 +6,9 @@ with that one. Every line of a shared block stands in such a run, so its pair is
 before; none makes more pairs than its holders, however many they are; equal documents are paired with the first of them.
 Pairs are aligned by patience diff over the lines. Where it finds no order to go by, the heaviest shared runs are taken, and
 passages that either side repeats go wherever they stand.
+
+Two blocks can cross between a document and the earliest holder, so that one of them stays. A run that stays is held against
+its other holders before the document, from the nearest backwards, twice as many a round, until one has it in order.
 """
 
 from __future__ import annotations
@@ -13,19 +16,21 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import written
+from lumenfold.llm.merkle import numbered
 
 _PRIME, _BASE = (1 << 61) - 1, 0x9E3779B97F4A7C1
 
 
-def block_runs(hashes: list[int], words: list[int], min_words: int) -> set[int]:
-    """Hashes of the runs of two lines or more that reach ``min_words`` and would not without their last or their first
-    line, which are not blank: the shortest from each line on and the shortest up to each line."""
+def block_spans(hashes: list[int], words: list[int], min_words: int) -> Iterator[tuple[int, int, int]]:
+    """The hash and the ends of each run of two lines or more that reaches ``min_words`` and would not without its last or its
+    first line, which are not blank: the shortest from each line on and the shortest up to each line."""
     n = len(hashes)
     sums, rolled, powers = [0], [0], [1]
     for h, w in zip(hashes, words, strict=True):
@@ -47,7 +52,22 @@ def block_runs(hashes: list[int], words: list[int], min_words: int) -> set[int]:
             lo += 1
         if words[hi - 1] and hi > lo + 1 and sums[hi] - sums[lo] >= min_words:
             spans.add((lo, hi))
-    return {(rolled[hi] - rolled[lo] * powers[hi - lo]) % _PRIME for lo, hi in spans}
+    for lo, hi in spans:
+        yield (rolled[hi] - rolled[lo] * powers[hi - lo]) % _PRIME, lo, hi
+
+
+def block_runs(hashes: list[int], words: list[int], min_words: int) -> set[int]:
+    return {h for h, _, _ in block_spans(hashes, words, min_words)}
+
+
+def left_over(a: list[int], words_a: list[int], b: list[int], words: list[int], cut: list[int], min_words: int) -> set[int]:
+    """Hashes of the lines and runs of b that fill a block, that a holds too, and that aren't cut whole: those that cross."""
+    gone, known = set(cut), set(a)
+    if all(j in gone or not w or x not in known for j, (x, w) in enumerate(zip(b, words, strict=True))):
+        return set()
+    single = {x for j, (x, w) in enumerate(zip(b, words, strict=True)) if w >= min_words and x in known and j not in gone}
+    runs = {h for h, lo, hi in block_spans(b, words, min_words) if any(words[j] and j not in gone for j in range(lo, hi))}
+    return single | (runs & block_runs(a, words_a, min_words) if runs else runs)
 
 
 class Runs:
@@ -215,14 +235,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document (among rows of one id, the smaller text hash), and the earliest holder of a line keeps it. Null texts stay
     null; empty texts and texts without a shared block stay as they are; rows with a null id are neither read nor changed;
     equal rows of one id stay equal. Very long texts are aligned whole; time and memory grow with their lines. A text that
-    goes as a whole becomes empty. Lines are compared by 96 bits of hashes. All columns come back; inner ones are named
-    ``__ld_*``. The partner of many documents is dealt over tasks of about ``part_pairs`` pairs.
+    goes as a whole becomes empty. Lines are compared by 96 bits of hashes. All columns come back, whatever
+    their names. A block that crosses another one between a document and every earlier holder stays. The partner of many
+    documents is dealt over tasks of about ``part_pairs`` pairs.
     """
     lines = F.split(F.col(text_col), "\n")
     plain = F.transform(lines, lambda x: F.trim(x))
-    marked = docs.withColumn("__ld_hash", F.xxhash64(F.col(text_col)))
+    free = next(i for i in range(len(docs.columns) + 1) if not any(c.lower().startswith(f"__ld{i}_") for c in docs.columns))
+    own = lambda name: f"__ld{free}_{name}"
+    marked = docs.withColumn(own("mark"), F.xxhash64(F.col(text_col)))
     counted = F.transform("plain", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int"))
-    keyed = marked.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("__ld_hash").alias("th"), plain.alias("plain")).select(
+    keyed = marked.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(own("mark")).alias("th"), plain.alias("plain")).select(
         "id", "th", F.transform("plain", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("plain", lambda x: F.hash(x)).alias("checks"), counted.alias("words")
     )
     keyed = written(keyed, "lines")
@@ -242,33 +265,54 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = held.union(several.select("id", "th", "hashes", "words").mapInArrow(runs, f"id {id_type}, th long, h long")).union(whole).distinct()
     first = held.groupBy("h").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("df")).filter("df > 1")
     pairs = held.join(first, "h").filter((F.col("first.id") != F.col("id")) | (F.col("first.th") != F.col("th")))
-    pairs = written(pairs.select("id", "th", F.col("first.id").alias("id0"), F.col("first.th").alias("th0")).distinct(), "line-pairs")
-    # a frequent line makes one document the partner of many: only such ones are copied, once for each part of their pairs
-    busy = pairs.groupBy("id0", "th0").agg(F.count("*").alias("n")).filter(F.col("n") > part_pairs).select("id0", "th0", F.ceil(F.col("n") / part_pairs).cast("int").alias("parts"))
-    salted = pairs.join(busy, ["id0", "th0"], "left").withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     sequences = keyed.dropDuplicates(["id", "th"])
-    later = salted.join(sequences, ["id", "th"])
-    earlier = sequences.select(F.col("id").alias("id0"), F.col("th").alias("th0"), F.col("hashes").alias("hashes0"), F.col("checks").alias("checks0"))
-    owners = salted.select("id0", "th0", "salt").distinct().join(earlier, ["id0", "th0"])
-    both = later.join(owners, ["id0", "th0", "salt"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = lambda hs, cs: [x << 32 | y & 0xFFFFFFFF for x, y in zip(hs, cs, strict=True)]
         for batch in batches:
-            h0, c0, h, c, words = (batch.column(i).to_pylist() for i in range(2, 7))
-            joined = lambda hs, cs: [x << 32 | y & 0xFFFFFFFF for x, y in zip(hs, cs, strict=True)]
+            h0, c0, w0, h, c, words = (batch.column(i).to_pylist() for i in range(4, 10))
             cut = [common_blocks(joined(h0[i], c0[i]), joined(h[i], c[i]), words[i], min_words) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.list_(pa.int32()))], ["__ld_id", "__ld_hash", "__ld_cut"])
+            left = [list(left_over(h0[i], w0[i], h[i], words[i], cut[i], min_words)) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cut, pa.list_(pa.int32())), pa.array(left, pa.list_(pa.int64()))], ["id", "th", "id0", "th0", "cut", "left"])
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        """Pairs (id, th, id0, th0) with what the first loses to the second, and what they share but can't align."""
+        # a frequent line makes one document the partner of many: only such ones are copied, once for each part of their pairs
+        busy = pairs.groupBy("id0", "th0").agg(F.count("*").alias("n")).filter(F.col("n") > part_pairs).select("id0", "th0", F.ceil(F.col("n") / part_pairs).cast("int").alias("parts"))
+        salted = pairs.join(busy, ["id0", "th0"], "left").withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        later = salted.join(sequences, ["id", "th"])
+        earlier = sequences.select(F.col("id").alias("id0"), F.col("th").alias("th0"), *[F.col(c).alias(f"{c}0") for c in ("hashes", "checks", "words")])
+        owners = salted.select("id0", "th0", "salt").distinct().join(earlier, ["id0", "th0"])
+        both = later.join(owners, ["id0", "th0", "salt"]).select("id", "th", "id0", "th0", "hashes0", "checks0", "words0", "hashes", "checks", "words")
+        return written(both.mapInArrow(align, f"id {id_type}, th long, id0 {id_type}, th0 long, cut array<int>, left array<long>"), "line-cuts")
 
-    cuts = both.select("id", "th", "hashes0", "checks0", "hashes", "checks", "words").mapInArrow(align, f"__ld_id {id_type}, __ld_hash long, __ld_cut array<int>")
-    cuts = cuts.filter(F.size("__ld_cut") > 0).groupBy("__ld_id", "__ld_hash").agg(F.array_distinct(F.flatten(F.collect_list("__ld_cut"))).alias("__ld_cut"))
-    joined = marked.join(cuts, (F.col(id_col) == F.col("__ld_id")) & (marked["__ld_hash"] == cuts["__ld_hash"]), "left")
+    pairs = written(pairs.select("id", "th", F.col("first.id").alias("id0"), F.col("first.th").alias("th0")).distinct(), "line-pairs")
+    cuts = [aligned(pairs)]
+    open_ = written(cuts[0].select("id", "th", F.explode("left").alias("h")).distinct(), "line-left")
+    if not open_.isEmpty():
+        holders = written(numbered(held.join(open_.select("h").distinct(), "h", "left_semi").withColumn("part", F.col("h").cast("string")), "part", ["id", "th"], "line-holders").select("h", "id", "th", "at"), "line-holders")
+        open_ = open_.join(holders, ["h", "id", "th"])
+        back = 0
+    while not open_.isEmpty():
+        # from the nearest holder before the document backwards, twice as many in each round; holder 0 came first of all
+        reach = 2 * back + 2
+        steps = F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("at") - reach), F.col("at") - back - 1)).alias("at0")
+        asked = open_.filter(F.col("at") > back + 1).select("h", "id", "th", "at", steps)
+        asked = written(asked.join(holders.select("h", F.col("at").alias("at0"), F.col("id").alias("id0"), F.col("th").alias("th0")), ["h", "at0"]), "line-asked")
+        cuts.append(aligned(asked.select("id", "th", "id0", "th0").distinct()))
+        still = asked.join(cuts[-1], ["id", "th", "id0", "th0"]).groupBy("h", "id", "th", "at").agg(F.min(F.array_contains("left", F.col("h"))).alias("open"))
+        open_, back = written(still.filter("open").drop("open"), "line-left"), reach
+
+    every = reduce(DataFrame.union, [c.select("id", "th", "cut") for c in cuts]).filter(F.size("cut") > 0)
+    every = every.groupBy(F.col("id").alias(own("id")), F.col("th").alias(own("hash"))).agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias(own("cut")))
+    joined = marked.join(every, (F.col(id_col) == F.col(own("id"))) & (marked[own("mark")] == every[own("hash")]), "left")
 
     def rest(parts: Column) -> Column:
         """The lines that stay; the split text is a lambda's argument, so that it is made once."""
-        at = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__ld_cut"))
+        at = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(own("cut")))
         return F.array_join(F.transform(at, lambda i: F.get(parts, i)), "\n")
 
-    text = F.when(F.col("__ld_cut").isNull(), F.col(text_col)).otherwise(F.element_at(F.transform(F.array(lines), rest), 1))
+    text = F.when(F.col(own("cut")).isNull(), F.col(text_col)).otherwise(F.element_at(F.transform(F.array(lines), rest), 1))
     columns = [text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     total = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return joined.select(*columns, total.alias("lines_total"), F.coalesce(F.size("__ld_cut"), F.lit(0)).cast("long").alias("lines_removed"))
+    return joined.select(*columns, total.alias("lines_total"), F.coalesce(F.size(own("cut")), F.lit(0)).cast("long").alias("lines_removed"))
