@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import written
+from lumenfold.llm.merkle import numbered
 
 
 def _matrix(col: pd.Series, dim: int) -> np.ndarray:
@@ -32,11 +33,12 @@ def _numbered(n: int):
 
 
 def _classes(rows: DataFrame, k: int) -> DataFrame:
-    """Equal vectors as one class: its key, smallest id, vector and k + 1 smallest ids (no query needs more of them).
+    """Equal vectors as one class: its key, smallest id, vector and k + 1 smallest ids (no query needs more of them), each with
+    how often it stands there.
 
     The ids are ranked behind a partial limit, so a class that holds a third of all rows sends a few from each partition."""
     ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("rn") <= k + 1)
-    return ranked.groupBy("key").agg(F.min("id").alias("cid"), F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("members"))
+    return ranked.groupBy("key").agg(F.min("id").alias("least"), F.first("v").alias("v"), F.sort_array(F.collect_list(F.struct("id", "n"))).alias("members"))
 
 
 def exact_top_k(
@@ -45,15 +47,20 @@ def exact_top_k(
     """``query_id, rank, id, score``: each query's k highest integer inner products with other rows' vectors.
 
     ``vectors`` holds integer vectors; ``is_query`` is a condition on its rows. Ties go to the smaller id; a query is no
-    candidate of its own. Rows with a null id or vector take no part, shorter vectors count as padded with zeros, repeated
-    rows of one id count once, an empty table gives no rows. Products must stay below 2**53 (doubles are exact there).
+    candidate of its own. Rows with a null id or vector take no part, shorter vectors count as padded with zeros, very long ones
+    are multiplied whole, an empty table gives no rows. A candidate that stands several times fills as many ranks; an id that
+    asks several times, with one vector or with more, gets the best of all its pairs, each as often as it is asked for. Products must stay below 2**53 (doubles are exact there).
     Queries against candidates run in blocks of fixed size, so no task or broadcast grows with the table; at most 64 bands of
     norms are told apart. ``stride`` changes the work, never the result.
     """
     base = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    base = written(base.withColumn("key", F.sha2(F.array_join("v", ","), 256)).dropDuplicates(["id", "key"]), "topk-rows")
-    classes = written(_classes(base.select("id", "v", "key"), k), "topk-classes")
-    queries = base.filter("q").select(F.col("id").alias("query_id"), "key")
+    keyed = base.withColumn("key", F.sha2(F.array_join("v", ","), 256)).groupBy("id", "key")
+    base = written(keyed.agg(F.first("v").alias("v"), F.count("*").alias("n"), F.count_if("q").alias("asks")), "topk-rows")
+    classes = numbered(_classes(base.select("id", "v", "key", "n"), k).withColumn("part", F.lit("")), "part", ["least", "key"], "topk")
+    classes = written(classes.select(F.col("at").alias("cid"), "key", "v", "members"), "topk-classes")  # classes in the order of their smallest ids
+    queries = base.filter("asks > 0").select(F.col("id").alias("query_id"), "key", "asks")
+    # so many of the best classes can hold rows of the query's id alone
+    wide = k + (base.groupBy("id").agg(F.count("*").alias("n"), F.max("asks").alias("asks")).filter("asks > 0").agg(F.max("n")).first()[0] or 1)
     asked = written(queries.select("key").distinct().join(classes.select("key", F.col("cid").alias("qid"), F.col("v").alias("qv")), "key"), "topk-queries")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double") * x, F.lit(0.0))))
     counts = classes.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
@@ -88,7 +95,7 @@ def exact_top_k(
                 qa, ids = q[at : at + 256], qids[at : at + 256]
                 lists = [qa[:, p] @ c[:, p].T for p in parts]
                 if mode == "lists":
-                    top = min(k + 1, len(cids))
+                    top = min(wide, len(cids))
                     for j, s in enumerate(lists):
                         best = np.argpartition(-s, top - 1, axis=1)[:, :top]
                         found.append((np.repeat(ids, top), np.full(best.size, j, "int32"), cids[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
@@ -131,18 +138,21 @@ def exact_top_k(
 
     # phase 1: each list's highest entries, completed
     lists = blocked(None, "lists", schema)
-    heads = lists.withColumn("rn", F.row_number().over(Window.partitionBy("qid", "slice").orderBy(F.desc("part"), "cid"))).filter(F.col("rn") <= k + 1)
+    heads = lists.withColumn("rn", F.row_number().over(Window.partitionBy("qid", "slice").orderBy(F.desc("part"), "cid"))).filter(F.col("rn") <= wide)
     heads = scored(heads.select("qid", "cid").distinct())
     by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    nth = heads.withColumn("rn", F.row_number().over(by_score)).filter(F.col("rn") == k + 1).select("qid", F.col("score").cast("double").alias("cutoff"))
-    # a query with fewer candidates than k + 1 has no cutoff: all of them are resolved
+    nth = heads.withColumn("rn", F.row_number().over(by_score)).filter(F.col("rn") == wide).select("qid", F.col("score").cast("double").alias("cutoff"))
+    # a query with fewer candidates than that has no cutoff: all of them are resolved
     cutoff = asked.select("qid").join(nth, "qid", "left").select("qid", F.coalesce("cutoff", F.lit(-1e300)).alias("cutoff"))
     cutoff = written(cutoff, "topk-cutoff")
     # phases 2 and 3
     above = blocked(cutoff, "above", schema).select("qid", "cid", F.col("part").alias("score"))
-    best = above.withColumn("rn", F.row_number().over(by_score)).filter(F.col("rn") <= k + 1)
-    best = best.join(classes.select("cid", "members"), "cid").join(asked.select("qid", "key"), "qid").select("key", "score", F.explode("members").alias("id"))
-    pairs = queries.join(best, "key").filter(F.col("id") != F.col("query_id"))
+    best = above.withColumn("rn", F.row_number().over(by_score)).filter(F.col("rn") <= wide)
+    best = best.join(classes.select("cid", "members"), "cid").join(asked.select("qid", "key"), "qid").select("key", "score", F.explode("members").alias("m"))
+    # every pair once a key: a query and a class meet once for each key of the query's id
+    pairs = queries.join(best, "key").filter(F.col("m.id") != F.col("query_id")).withColumn("id", F.col("m.id"))
+    times = F.least(F.lit(k).cast("long"), F.col("m.n") * F.col("asks"))
+    pairs = pairs.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("query_id", "id", "score")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return pairs.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score").withColumnRenamed("id", id_col)
 

@@ -415,13 +415,32 @@ def test_top_k_passes_over_low_norms_only(spark, block, stride):
     assert {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in got} == want
 
 
+@pytest.mark.parametrize("block", [2, 1000])
+def test_top_k_of_repeated_rows_as_its_sql(spark, tmp_path, block):
+    """Repeated candidates, repeated queries, an id with several vectors: the operator and the registered SQL agree."""
+    import duckdb
+
+    from lumenfold.llm.topk import exact_top_k, quantised
+
+    r = random.Random(2)
+    rows = [(50, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0])]
+    rows += [(i, [r.randrange(3), r.randrange(3)]) for i in range(90, 130) for _ in range(r.randrange(1, 4))] + [(100, [float(i), 1.0]) for i in range(9)] + [(150, [2.0, 2.0])] * 7
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    frame.coalesce(1).write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = sorted(con.execute(queries.OP5_SQL).fetchall())
+    got = exact_top_k(quantised(frame), F.col("vec_id") % 50 == 0, candidate_block=block, query_block=block).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == want and len([x for x in want if x[0] == 50]) == 5
+
+
 def test_top_k_small_tables(spark):
     from lumenfold.llm.topk import exact_top_k
 
     schema = "vec_id long, v array<bigint>, q boolean, key string, cid long"
     few = spark.createDataFrame([(1, [1, 2], True, "a", 0), (2, [3, 4], False, "b", 0), (2, [3, 4], False, "b", 0), (3, None, True, "c", 0), (4, [5], None, "d", 0)], schema)
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_top_k(few, F.col("q")).orderBy("query_id", "rank").collect()]
-    assert got == [(1, 1, 2, 11), (1, 2, 4, 5)]
+    assert got == [(1, 1, 2, 11), (1, 2, 2, 11), (1, 3, 4, 5)]  # a row that stands twice is two candidates
     assert exact_top_k(spark.createDataFrame([], schema), F.col("q")).count() == 0
 
 
