@@ -69,6 +69,7 @@ class Report:
     languages: dict[str, int] = field(default_factory=dict)
     skipped: dict[str, int] = field(default_factory=dict)
     kept_graphs: list[str] = field(default_factory=list)
+    extractions: dict[str, int] = field(default_factory=dict)
 
 
 def _tally(df: DataFrame, column: str) -> dict[str, int]:
@@ -108,12 +109,18 @@ def ingest_documents(store: Store, pages: DataFrame, embed: Callable[[str], list
 
             return texts.map(one)
 
-        # written at once: an extractor is asked about each chunk one time only
-        fresh = store.write("extractions", fresh.drop("embedding").withColumn("extraction", run("text")))
+        # written at once: an extractor is asked about each chunk one time, and once more where its answer is broken
+        asked = store.write("extractions", fresh.drop("embedding").withColumn("extraction", run("text")))
+        first = extraction.read_extractions(asked)
+        again = store.write("extractions_again", first.filter("broken").drop("said", "broken").withColumn("extraction", run("text")))
+        second = extraction.read_extractions(again)
+        fresh = first.filter("NOT broken").unionByName(second)
+        tries = second.agg(F.count("*").alias("asked"), F.count_if("broken").alias("failed")).first()
+        report.extractions = {"asked_again": tries["asked"], "failed": tries["failed"]}
     nodes = ["chunk_id", "doc_id", "source", "chunk_index"]
     old_nodes = store.read("graph_chunks")
     if extract is not None and old_nodes is not None:
-        failed = fresh.filter(F.from_json("extraction", extraction.EXTRACTION)["entities"].isNull()).select("source").distinct()
+        failed = fresh.filter("broken").select("source").distinct()
         kept_sources = failed.join(old_nodes.select("source").distinct(), "source", "left_semi")
         # a list of sources of one call, as its report
         report.kept_graphs = sorted(r["source"] for r in kept_sources.collect())
@@ -133,21 +140,16 @@ def ingest_documents(store: Store, pages: DataFrame, embed: Callable[[str], list
         edges = edges.unionByName(old_edges)
     store.write("similar", graph.similar_edges(edges))
     if extract is not None:
-        found = store.write("extracted", extraction.extract_graph(fresh).join(live.select("chunk_id", "doc_id", "chunk_index"), "chunk_id"))
-        relations = found.select("chunk_id", F.posexplode("relations").alias("seq", "r")).select("chunk_id", "r.*", "seq")
-        # the first name in the order of the corpus counts, whatever order rows come in
-        named = found.select("chunk_id", "doc_id", "chunk_index", F.posexplode("entities").alias("pos", "e")).select(F.struct("doc_id", "chunk_index", "chunk_id", "pos").alias("at"), "chunk_id", "e.*")
-        aliases = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "aliases"))), lambda x: x["aliases"])))
-        entities = named.groupBy("id").agg(F.min_by("name", "at").alias("name"), F.min_by("type", "at").alias("type"), aliases.alias("aliases"))
-        mentions = named.select("chunk_id", F.col("id").alias("entity_id")).distinct()
-        none = store.spark.createDataFrame([], "id string, name string, type string, labels array<string>, aliases array<string>")
         old_e, old_r, old_m = store.read("entities"), store.read("relations"), store.read("mentions")
+        found = extraction.extract_graph(fresh.filter("NOT broken"), old_e)
+        relations, entities, mentions = store.write("extracted", found.relations), found.entities, found.mentions
+        none = store.spark.createDataFrame([], "id string, name string, type string, labels array<string>, aliases array<string>")
         all_m = mentions if old_m is None else old_m.join(fresh.select("chunk_id"), "chunk_id", "left_anti").union(mentions)
         live_m = all_m.join(live.select("chunk_id"), "chunk_id", "left_semi")
         before = relations.drop("seq").limit(0) if old_r is None else old_r.join(fresh.select("chunk_id"), "chunk_id", "left_anti")
         all_r = graph.merge_relations(before, relations)
         all_e, live_r = graph.collect_garbage(graph.merge_entities(none if old_e is None else old_e, entities), all_r, live_m, live)
-        report.counts |= {"relations": store.write("relations", live_r).count(), "entities": store.write("entities", all_e).count(), "mentions": store.write("mentions", live_m).count(), "dropped": found.agg(F.coalesce(F.sum("dropped"), F.lit(0))).first()[0]}
+        report.counts |= {"relations": store.write("relations", live_r).count(), "entities": store.write("entities", all_e).count(), "mentions": store.write("mentions", live_m).count(), "dropped": found.dropped.agg(F.coalesce(F.sum("dropped"), F.lit(0))).first()[0]}
     return report
 
 
