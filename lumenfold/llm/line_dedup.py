@@ -305,7 +305,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     every = reduce(DataFrame.union, [c.select("id", "th", "cut") for c in cuts]).filter(F.size("cut") > 0)
     every = every.groupBy(F.col("id").alias(own("id")), F.col("th").alias(own("hash"))).agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias(own("cut")))
-    joined = marked.join(every, (F.col(id_col) == F.col(own("id"))) & (marked[own("mark")] == every[own("hash")]), "left")
+    # small or large, the cuts meet the texts by a shuffle: a table that is broadcast while it is small moves nothing at first
+    joined = marked.join(every.hint("merge"), (F.col(id_col) == F.col(own("id"))) & (marked[own("mark")] == every[own("hash")]), "left")
 
     def rest(parts: Column) -> Column:
         """The lines that stay; the split text is a lambda's argument, so that it is made once."""
