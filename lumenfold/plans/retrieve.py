@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import filters as flt
@@ -45,6 +45,12 @@ def _fact_rows(found: DataFrame, template: str, hops: int | None = None) -> Data
     return found.select("subject_id", "predicate", "object_id", hop.alias("hops"), "confidence", F.array(F.col("chunk_id").cast("string")).alias("chunk_ids"), F.lit(template).alias("template"))
 
 
+def _fitting(spark: SparkSession, chunk_costs: list[int], fact_costs: list[int], budget: int) -> Row:
+    """``fusion.within_budget`` for the final rows of one question."""
+    listed = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
+    return spark.range(1).select(fusion.within_budget(listed(chunk_costs), listed(fact_costs), budget).alias("fit")).first()["fit"]
+
+
 class DocumentEngine:
     """The document corpus: chunks (with embedding), relations, entities (id, name, type, aliases), mentions (chunk_id,
     entity_id)."""
@@ -177,8 +183,8 @@ class DocumentEngine:
                 c["rerank"] = round(float(x), 4)
             pool.sort(key=lambda c: -c["rerank"])
         pool = pool[:top_k]
-        chunks, facts, out.context_tokens = fusion.fit_budget([c.get("token_count") or plain_token_count(c["text"]) for c in pool], [plain_token_count(f["text"]) for f in ranked], s.context_tokens)
-        out.chunks, out.facts = [pool[i] for i in chunks], [ranked[i] for i in facts]
+        fit = _fitting(spark, [c.get("token_count") or plain_token_count(c["text"]) for c in pool], [plain_token_count(f["text"]) for f in ranked], s.context_tokens)
+        out.chunks, out.facts, out.context_tokens = [pool[i] for i in fit["chunks"]], [ranked[i] for i in fit["facts"]], fit["used"]
 
 
 class PostEngine:
@@ -255,8 +261,8 @@ class PostEngine:
                 c["rerank"] = round(float(x), 4)
             pool.sort(key=lambda c: -c["rerank"])
         pool = pool[: top_k or s.top_k]
-        chunks, kept, out.context_tokens = fusion.fit_budget([plain_token_count(c["text"]) for c in pool], [plain_token_count(f["text"]) for f in facts], 1800)
-        out.chunks, out.facts = [pool[i] for i in chunks], [facts[i] for i in kept][:12]
+        fit = _fitting(spark, [plain_token_count(c["text"]) for c in pool], [plain_token_count(f["text"]) for f in facts], s.post_context_tokens)
+        out.chunks, out.facts, out.context_tokens = [pool[i] for i in fit["chunks"]], [facts[i] for i in fit["facts"]][: s.post_facts], fit["used"]
         return out
 
 

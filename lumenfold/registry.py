@@ -362,6 +362,27 @@ def budget_prefix(spark, sf_dir):
     return fusion.facts_within(ranked, F.length(F.concat("subject_id", "predicate", "object_id")), 3000).select(F.col("rank").cast("long").alias("rank"), F.col("used").cast("long").alias("used"))
 
 
+@query("""WITH RECURSIVE items AS (
+  SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS BIGINT), l_partkey % 30) AS i, CAST(l_quantity AS BIGINT) AS c, l_partkey % 30 AS f, l_orderkey % 160 + 40 AS budget FROM lineitem),
+facts(q, i, budget, used, full_, kept) AS (
+  SELECT DISTINCT q, CAST(0 AS BIGINT), budget, CAST(0 AS BIGINT), false, '' FROM items
+  UNION ALL SELECT s.q, x.i, s.budget, CASE WHEN NOT full_ AND used + f + 4 <= s.budget // 4 THEN used + f + 4 ELSE used END, full_ OR used + f + 4 > s.budget // 4,
+    CASE WHEN NOT full_ AND used + f + 4 <= s.budget // 4 THEN kept || (x.i - 1) || ',' ELSE kept END FROM facts s JOIN items x ON x.q = s.q AND x.i = s.i + 1),
+begun AS (SELECT q, budget, arg_max(used, i) AS used, arg_max(kept, i) AS facts FROM facts GROUP BY q, budget),
+chunks(q, i, budget, used, facts, kept) AS (
+  SELECT q, CAST(0 AS BIGINT), budget, used, facts, '' FROM begun
+  UNION ALL SELECT s.q, x.i, s.budget, CASE WHEN used + c + 12 <= s.budget THEN used + c + 12 ELSE used END, facts, CASE WHEN used + c + 12 <= s.budget THEN kept || (x.i - 1) || ',' ELSE kept END
+    FROM chunks s JOIN items x ON x.q = s.q AND x.i = s.i + 1)
+SELECT q AS question, rtrim(arg_max(facts, i), ',') AS facts, rtrim(arg_max(kept, i), ',') AS chunks, arg_max(used, i) AS used FROM chunks GROUP BY q""")
+def budget_fold(spark, sf_dir):
+    """An order is a question, its lines are its ranked chunks and facts: what fits, for all questions in one plan."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.col("l_quantity").cast("long").alias("c"), (F.col("l_partkey") % 30).alias("f")).alias("x"))
+    asked = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    fit = fusion.within_budget(F.col("x.c"), F.col("x.f"), F.col("l_orderkey") % 160 + 40).alias("fit")
+    listed = lambda c: F.array_join(F.col(f"fit.{c}").cast("array<string>"), ",").alias(c)
+    return asked.select(F.col("l_orderkey").alias("question"), fit).select("question", listed("facts"), listed("chunks"), "fit.used")
+
+
 @query("WITH s AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 20 - 6 AS rerank, CAST(NULL AS DOUBLE) AS relevance FROM embeddings) SELECT round(max(1 / (1 + exp(-rerank))), 6) AS best, max(1 / (1 + exp(-rerank))) >= 0.05 AS evidence FROM s")
 def evidence_gate(spark, sf_dir):
     scores = table(spark, sf_dir, "embeddings").select((F.element_at("embedding", 1).cast("double") * 20 - 6).alias("rerank"), F.lit(None).cast("double").alias("relevance"))
@@ -430,7 +451,8 @@ def citation_validate(spark, sf_dir):
     answer = F.concat(F.lit("Order total is "), key, F.lit(" units in all [C"), key % 4 + 1, F.lit(", G"), key % 3 + 1, F.lit("]. It was placed by a customer that nobody cited here."))
     known = F.array(F.lit("C1"), F.lit("C2"), F.lit("G1"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", answer.alias("answer"))
-    return rows.select("o_orderkey", F.array_join(citations.used(F.col("answer"), known), ",").alias("used"), F.array_join(citations.invalid(F.col("answer"), known), ",").alias("invalid"), F.size(citations.uncited(citations.cleaned(F.col("answer"), known))).alias("n_uncited"))
+    told = rows.select("o_orderkey", citations.checked(F.col("answer"), known).alias("c"))
+    return told.select("o_orderkey", F.array_join("c.used", ",").alias("used"), F.array_join("c.invalid", ",").alias("invalid"), F.size("c.uncited").cast("long").alias("n_uncited"))
 
 
 @query("""SELECT o_orderkey, 4 AS n, CAST(least(o_orderdate::DATE, date_trunc('month', o_orderdate)::DATE) AS VARCHAR) AS first_day, CAST(last_day(o_orderdate) AS VARCHAR) AS last_day,

@@ -25,4 +25,6 @@ class Settings:
     seed_entities: int = 5
     post_chars: int = 2000
     preview_chars: int = 300
+    post_context_tokens: int = 1800
+    post_facts: int = 12
     embedding_dim: int = 384

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.operators import fusion, graph, templates, vectors
 from lumenfold.plans.answer import check
@@ -46,10 +47,11 @@ def test_chunk_order(spark):
     assert [r["chunk_id"] for r in fusion.chunk_order(rows).orderBy("pos").collect()] == ["c2", "c1"]
 
 
-def test_budget_stops_at_facts_and_skips_chunks():
-    assert fusion.fit_budget([400] * 5, [], 1000) == ([0, 1], [], 824)
-    assert fusion.fit_budget([900, 50], [300, 10], 1000)[:2] == ([0, 1], [])
-    assert fusion.fit_budget([990, 50], [], 1000)[0] == [1]
+def test_budget_stops_at_facts_and_skips_chunks(spark):
+    asked = [([400] * 5, [], 1000), ([900, 50], [300, 10], 1000), ([990, 50], [], 1000), ([], [1, 2, 500, 1], 100), (None, None, 9)]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(asked)], "q int, chunks array<int>, facts array<int>, budget int")
+    got = rows.select("q", fusion.within_budget(F.col("chunks"), F.col("facts"), F.col("budget")).alias("fit")).orderBy("q").select("fit.*").collect()
+    assert [tuple(r) for r in got] == [([], [0, 1], 824), ([], [0, 1], 974), ([], [1], 62), ([0, 1], [], 11), ([], [], 0)]
 
 
 @pytest.mark.parametrize(
@@ -115,6 +117,6 @@ def test_evidence(spark):
     assert fusion.has_evidence(empty).first()["evidence"] is False
 
 
-def test_answers_are_checked():
+def test_answers_are_checked(spark):
     got = check("Leads the north zone of the company [G1][C7]. Founded long before any of the others were. More [C1].", {"G1", "C1"})
     assert (got.used, got.invalid, got.uncited) == (["G1", "C1"], ["C7"], ["Founded long before any of the others were."])
