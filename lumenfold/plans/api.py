@@ -83,7 +83,7 @@ class Engine:
             "entities": "id string, name string, type string, aliases array<string>",
             "mentions": "chunk_id string, entity_id string",
         }
-        rest = [self.store.read(t) if self.store.path(t) else none([], schema) for t, schema in tables.items()]
+        rest = [self.store.read(t) if self.store.has(t) else none([], schema) for t, schema in tables.items()]
         return DocumentEngine(self.store.read("chunks"), *rest, self.embed, self.settings)
 
     def posts(self) -> PostEngine:
@@ -100,7 +100,7 @@ class Engine:
 
     def stats(self) -> dict[str, int]:
         names = ("chunks", "entities", "relations", "mentions", "posts", "stances", "vertices", "edges", "post_chunks")
-        return {n: self.store.read(n).count() if self.store.path(n) else 0 for n in names}
+        return {n: self.store.read(n).count() if self.store.has(n) else 0 for n in names}
 
     def health(self) -> dict[str, bool]:
-        return {"spark": self.store.spark.range(1).count() == 1, "docs": self.store.path("chunks") is not None, "sql": self.store.path("posts") is not None}
+        return {"spark": self.store.spark.range(1).count() == 1, "docs": self.store.has("chunks"), "sql": self.store.has("posts")}

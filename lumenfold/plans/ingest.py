@@ -1,66 +1,23 @@
-"""Ingest of documents and dumps into versioned tables.
-
-A table's version is a folder; writers read the newest one and write the next, and a small pointer file names what is
-current. So a plan never overwrites what it reads, a failed write leaves the old version, and a second run of the same input
-ends with the same rows.
-"""
+"""Ingest of documents and dumps into stored tables. All tables of one ingest become visible together; an ingest that fails
+leaves the ones before it, and a second run of the same input ends with the same rows."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import normalize_text
 from lumenfold.operators import chunking, extraction, graph, posts, vectors
+from lumenfold.plans.store import Store
 from lumenfold.settings import Settings
 from lumenfold.sources.gazetteer import district_table
 from lumenfold.sources.mysqldump import one_table, read_dump
 
 
-class Store:
-    """Named tables under one folder of any file system Spark knows."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.folder}/{name}/current"
-
-    def _fs(self, path: str):
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
-
-    def _versions(self, name: str) -> list[str]:
-        """The newest version and the one before it."""
-        fs, pointer = self._fs(self._pointer(name))
-        return self.spark.read.text(self._pointer(name), wholetext=True).first()[0].split() if fs.exists(pointer) else []
-
-    def path(self, name: str) -> str | None:
-        return next(iter(self._versions(name)), None)
-
-    def read(self, name: str) -> DataFrame | None:
-        path = self.path(name)
-        return self.spark.read.parquet(path) if path else None
-
-    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        """The table's next version. The one before it stays for plans that read it already; the one before that goes."""
-        before, path = self._versions(name), f"{self.folder}/{name}/v-{uuid.uuid4().hex}"
-        writer = df.write.mode("errorifexists")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        fs, pointer = self._fs(self._pointer(name))
-        stream = fs.create(pointer, True)
-        stream.write(bytearray("".join(f"{p}\n" for p in (path, *before[:1])).encode()))
-        stream.close()
-        for old in before[1:]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
-        return self.spark.read.parquet(path)
-
-
 @dataclass
 class Report:
     """What an ingest did."""
@@ -77,6 +34,12 @@ def _tally(df: DataFrame, column: str) -> dict[str, int]:
 
 
 def ingest_documents(store: Store, pages: DataFrame, embed: Callable[[str], list[float]], extract: Callable[[str], str] | None = None, settings: Settings | None = None) -> Report:
+    """``_ingest_documents`` as one transaction."""
+    with store.transaction():
+        return _ingest_documents(store, pages, embed, extract, settings)
+
+
+def _ingest_documents(store: Store, pages: DataFrame, embed: Callable[[str], list[float]], extract: Callable[[str], str] | None = None, settings: Settings | None = None) -> Report:
     """Pages to chunks, vectors and a graph: the chunks' documents and neighbours, similar documents and, with an extractor
     (chunk text -> JSON), entities and relations. Each source in ``pages`` replaces its earlier rows; relations of chunks
     that are gone go, and so do entities nothing mentions.
@@ -154,6 +117,12 @@ def ingest_documents(store: Store, pages: DataFrame, embed: Callable[[str], list
 
 
 def ingest_dump(store: Store, path: str, embed: Callable[[str], list[float]], settings: Settings | None = None, limit: int = 0) -> Report:
+    """``_ingest_dump`` as one transaction."""
+    with store.transaction():
+        return _ingest_dump(store, path, embed, settings, limit)
+
+
+def _ingest_dump(store: Store, path: str, embed: Callable[[str], list[float]], settings: Settings | None = None, limit: int = 0) -> Report:
     """A dump of analysed posts to posts, chunks with vectors, and the posts' graph. Posts are upserted: those that a newer
     dump lacks stay."""
     s, spark = settings or Settings(), store.spark
@@ -165,10 +134,9 @@ def ingest_dump(store: Store, path: str, embed: Callable[[str], list[float]], se
         one_table(dump, "thana_matrix", ["district", "thana", "commissionarate", "dist_range", "zone"]), one_table(dump, "broad_category", ["id", "broad_category"]), one_table(dump, "sub_category", ["sub_category", "broad_category_id", "hint"]),
         one_table(dump, "keywords", ["sub_category_name", "hindi_keyword", "english_keyword", "hinglish_keyword"]), names,
     )
-    old = store.read("posts")
-    all_posts = store.write("posts", new if old is None else graph.upsert(old, new, ["post_id"]))
-    old_stances = store.read("stances")
-    all_stances = store.write("stances", stances if old_stances is None else graph.upsert(old_stances, stances, ["post_id"]))
+    all_posts, all_stances = store.upsert("posts", new, ["post_id"]), store.upsert("stances", stances, ["post_id"])
+    # stations and categories pile up over dumps: one without their tables takes none away
+    stations, subs = store.upsert("stations", stations, ["id"]), store.upsert("categories", subs, ["id"])
     vertices, edges = posts.post_graph(all_posts, all_stances)
     places = stations.select("id", F.lit("Thana").alias("label"), "name", F.col("district").alias("kind")).union(subs.select("id", F.lit("SubCategory").alias("label"), "name", F.lit(None).cast("string").alias("kind")))
     aliases = subs.select("id", "aliases").union(district_table(spark).groupBy(F.concat(F.lit("district:"), posts.key(F.col("name"))).alias("id")).agg(F.sort_array(F.collect_list("alias")).alias("aliases")))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators.graph import upsert
-from lumenfold.plans.ingest import Store
+from lumenfold.plans.store import Store
 
 
 def upsert_stream(rows: DataFrame, store: Store, table: str, keys: list[str], order_col: str, checkpoint: str):
@@ -15,8 +14,7 @@ def upsert_stream(rows: DataFrame, store: Store, table: str, keys: list[str], or
 
     def merge(batch: DataFrame, _: int) -> None:
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order_col).alias("r")).select(*keys, "r.*")
-        old = store.read(table)
-        store.write(table, last if old is None else upsert(old, last, keys))
+        store.upsert(table, last, keys)  # of the stored table only the buckets of these keys are written anew
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
