@@ -90,6 +90,23 @@ def plain_words(text: str) -> list[str]:
     return "".join(" " if c == "_" or unicodedata.category(c)[0] in "PSZ" else c for c in folded).split()
 
 
+def _accents() -> dict[str, str]:
+    """Latin letters with marks to the letter alone, by their decomposition."""
+    parts = ((chr(c), unicodedata.normalize("NFKD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))
+    return {sign: form[0] for sign, form in parts if len(form) > 1 and form[0].isascii() and form[0].isalpha() and all(unicodedata.combining(x) for x in form[1:])}
+
+
+def search_words(text: Column) -> Column:
+    """``words`` without the accents of Latin letters; marks of other scripts stay."""
+    bare = _accents()
+    return words(F.translate(F.lower(text), "".join(bare), "".join(bare.values())))
+
+
+def plain_search_words(text: str) -> list[str]:
+    """``search_words`` on the driver."""
+    return plain_words(text.lower().translate(str.maketrans(_accents())))
+
+
 def entity_key(text: Column, keep_marks: bool = True) -> Column:
     """Key of an organisation or other entity: folded words without trailing company suffixes (one word always stays)."""
     parts = F.regexp_replace(text, "[^\\p{L}\\p{M}\\p{N}_]+" if keep_marks else "[^\\p{L}\\p{N}_]+", "_")

@@ -1,19 +1,16 @@
-"""Full-text search by BM25 over an inverted index."""
+"""Full-text search by BM25: over a table's rows, or over a stored inverted index of which a question reads its terms' buckets
+alone."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import words
-
-
-def inverted_index(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf, length: one row for each document and term."""
-    split = rows.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("terms"))
-    return split.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+from lumenfold.functions.text import plain_search_words, search_words, words
+from lumenfold.scratch import written
 
 
 def _times(term: str):
@@ -42,27 +39,79 @@ def bm25(rows: DataFrame, query: Sequence[str], id_col: str, text_col: str, limi
     return out.orderBy(F.desc("score"), "id").limit(limit)
 
 
+class StoredIndex:
+    """An inverted index kept in a store's tables, by source of the texts.
+
+    ``<name>_postings`` (term, id, tf, length) lies in buckets of the term, ``<name>_texts`` (id, source, length, terms) in
+    buckets of the source, ``<name>_stats`` is one row. An update reads the texts of its sources, takes their postings back
+    and puts the new ones in; only buckets of terms that either has are written. Words are folded (``search_words``)."""
+
+    def __init__(self, store, name: str, buckets: int = 64):
+        self.store, self.name, self.buckets = store, name, buckets
+
+    def replace(self, rows: DataFrame, sources: DataFrame | None = None) -> None:
+        """The index with ``rows`` (id, source, text) in place of all rows of their sources, and of ``sources`` (source)."""
+        split = rows.select(F.col("id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), search_words(F.coalesce("text", F.lit(""))).alias("words"))
+        counted = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.size(F.filter("words", lambda x: x == w)).alias("tf")))
+        fresh = written(split.select("id", "source", F.size("words").alias("length"), counted.alias("terms")), "index-texts")
+        gone = fresh.select("source") if sources is None else fresh.select("source").union(sources.select(F.col("source").cast("string")))
+        gone = written(gone.distinct(), "index-sources")
+        with self.store.transaction():
+            texts = f"{self.name}_texts"
+            old = self.store.read(texts)
+            old = None if old is None else written(old.join(gone, "source", "left_semi"), "index-old")
+            keep = lambda was: fresh if was is None else was.join(gone, "source", "left_anti").unionByName(fresh)
+            self.store.rewrite(texts, gone, keep, ["source"], self.buckets)
+            new = fresh.select("id", "length", F.explode("terms").alias("t")).select("t.term", "id", "t.tf", "length")
+            touched = new.select("term") if old is None else new.select("term").union(old.select(F.explode("terms.term").alias("term")))
+            ids = None if old is None else old.select("id").distinct()
+            merged = lambda was: new if was is None or ids is None else was.join(ids, "id", "left_anti").unionByName(new)
+            self.store.rewrite(f"{self.name}_postings", touched, merged, ["term"], self.buckets)
+            stats = self.store.read(texts).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+            self.store.write(f"{self.name}_stats", stats)
+
+    def search(self, terms: Sequence[str], limit: int | None = 10, all_terms: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """``id``, ``score`` (6 digits) and ``terms`` (how many of the asked ones) by BM25. Documents and lengths come from the
+        postings of the asked terms; counts of documents are one row a term."""
+        asked = list(dict.fromkeys(w for t in terms for w in plain_search_words(t)))
+        buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in asked})
+        snapshot = self.store.snapshot()
+        found = snapshot.read(f"{self.name}_postings", buckets)
+        if found is None or not asked:
+            return self.store.spark.createDataFrame([], "id string, score double, terms long")
+        hits = found.filter(F.col("term").isin(*asked))
+        df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each asked term
+        both = hits.join(df, "term").join(F.broadcast(snapshot.read(f"{self.name}_stats")))
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+        out = both.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("terms"))
+        out = out.filter(F.col("terms") == len(asked)) if all_terms else out
+        return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)
+
+
 def near_best(hits: DataFrame, share: float = 0.5) -> DataFrame:
     """Hits with at least a share of the best score."""
     best = hits.agg(F.max("score").alias("best"))
     return hits.join(F.broadcast(best)).filter(F.col("score") >= share * F.col("best")).drop("best")
 
 
-def resolve(entities: DataFrame, name: str, key, types: Sequence[str] = (), coverage: float = 0.6):
+def resolve(entities: DataFrame, name: str, key, types: Sequence[str] = (), coverage: float = 0.6, index: StoredIndex | None = None):
     """The one entity (id, name, type, names: its name and aliases as one text) that a name means, or None.
 
     All words must be found; an exact key wins by the order of types, a single hit is taken, several are ambiguous. Failing
-    that, a hit with most of the words is taken. ``key`` maps a name to its comparison key."""
+    that, a hit with most of the words is taken. ``key`` maps a name and a type to its comparison key. With a stored index,
+    hits come from its postings and their entities are looked up by id."""
     from lumenfold.functions.text import plain_words
 
-    query = plain_words(name)
+    query = (plain_words if index is None else plain_search_words)(name)
     if not query:
         return None
     for every in (True, False):
-        hits = bm25(entities, query, "id", "names", 10, all_terms=every).join(entities.select("id", "name", "type"), "id").orderBy(F.desc("score"), "id").collect()
+        found = bm25(entities, query, "id", "names", 10, all_terms=every) if index is None else index.search(query, 10, all_terms=every)
+        hits = found.join(entities.select("id", "name", "type"), "id").orderBy(F.desc("score"), "id").collect()
         if not hits:
             continue
-        exact = sorted((h for h in hits if key(h["name"]) == key(name)), key=lambda h: (types.index(h["type"]) if h["type"] in types else len(types), h["id"]))
+        exact = sorted((h for h in hits if key(h["name"], h["type"]) == key(name, h["type"])), key=lambda h: (types.index(h["type"]) if h["type"] in types else len(types), h["id"]))
         if exact:
             return exact[0]
         if every:

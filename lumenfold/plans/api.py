@@ -7,6 +7,7 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.text import cache_key
 from lumenfold.operators.vectors import HashedEmbedder
 from lumenfold.plans.answer import Answer, AnswerEngine, LanguageModel, extractive
-from lumenfold.plans.ingest import Report, Store, ingest_documents, ingest_dump
+from lumenfold.plans.ingest import Report, Store, entity_index, ingest_documents, ingest_dump
 from lumenfold.plans.retrieve import DocumentEngine, PostEngine, Result
 from lumenfold.settings import Settings
 from lumenfold.sources.files import load_files
@@ -84,16 +85,17 @@ class Engine:
             "mentions": "chunk_id string, entity_id string",
         }
         rest = [self.store.read(t) if self.store.has(t) else none([], schema) for t, schema in tables.items()]
-        return DocumentEngine(self.store.read("chunks"), *rest, self.embed, self.settings)
+        index = entity_index(self.store) if self.store.has("entity_index_stats") else None
+        return DocumentEngine(self.store.read("chunks"), *rest, self.embed, self.settings, index=index)
 
     def posts(self) -> PostEngine:
         return PostEngine(*[self.store.read(t) for t in ("posts", "edges", "vertices", "post_chunks")], self.embed, self.settings)
 
-    def retrieve(self, question: str, corpus: str = "docs", mode: str = "hybrid", top_k: int | None = None, filters: dict[str, str] | None = None) -> Result:
+    def retrieve(self, question: str, corpus: str = "docs", mode: str = "hybrid", top_k: int | None = None, filters: dict[str, str] | None = None, date_from: date | None = None, date_to: date | None = None) -> Result:
         if not 2 <= len(question) <= 2000:
             raise ValueError("a question has 2 to 2000 signs")
         engine = self.posts() if corpus == "sql" else self.documents()
-        return engine.retrieve(question, mode, top_k=top_k, explicit=filters)
+        return engine.retrieve(question, mode, top_k=top_k, explicit=filters, date_from=date_from, date_to=date_to)
 
     def query(self, question: str, corpus: str = "docs", mode: str = "hybrid", **options) -> Answer:
         return AnswerEngine(lambda q: self.retrieve(q, corpus, mode, **options), self.model, self.settings.min_evidence).answer(question)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import normalize_text
-from lumenfold.operators import chunking, extraction, graph, posts, vectors
+from lumenfold.operators import chunking, extraction, fulltext, graph, posts, vectors
 from lumenfold.plans.store import Store
 from lumenfold.settings import Settings
 from lumenfold.sources.gazetteer import district_table
@@ -29,6 +29,11 @@ class Report:
     extractions: dict[str, int] = field(default_factory=dict)
 
 
+def entity_index(store: Store) -> fulltext.StoredIndex:
+    """The stored index of entity names and aliases; an entity is a source of its own."""
+    return fulltext.StoredIndex(store, "entity_index")
+
+
 def _tally(df: DataFrame, column: str) -> dict[str, int]:
     return {r[column]: r["n"] for r in df.groupBy(column).agg(F.count("*").alias("n")).collect()}
 
@@ -112,7 +117,12 @@ def _ingest_documents(store: Store, pages: DataFrame, embed: Callable[[str], lis
         before = relations.drop("seq").limit(0) if old_r is None else old_r.join(fresh.select("chunk_id"), "chunk_id", "left_anti")
         all_r = graph.merge_relations(before, relations)
         all_e, live_r = graph.collect_garbage(graph.merge_entities(none if old_e is None else old_e, entities), all_r, live_m, live)
-        report.counts |= {"relations": store.write("relations", live_r).count(), "entities": store.write("entities", all_e).count(), "mentions": store.write("mentions", live_m).count(), "dropped": found.dropped.agg(F.coalesce(F.sum("dropped"), F.lit(0))).first()[0]}
+        spelt = lambda e: e.select("id", F.col("id").alias("source"), F.concat_ws(" ", F.col("name"), F.array_join("aliases", " ")).alias("text"))
+        all_e = store.write("entities", all_e)
+        now, was = spelt(all_e), spelt(none if old_e is None else old_e)
+        # only entities that are new, gone or called otherwise than before
+        entity_index(store).replace(now.exceptAll(was), was.exceptAll(now).select("source"))
+        report.counts |= {"relations": store.write("relations", live_r).count(), "entities": all_e.count(), "mentions": store.write("mentions", live_m).count(), "dropped": found.dropped.agg(F.coalesce(F.sum("dropped"), F.lit(0))).first()[0]}
     return report
 
 

@@ -5,7 +5,7 @@ Everything up to the last few rows is a DataFrame; what is collected is bounded
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import date
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import filters as flt
-from lumenfold.functions.text import fact_text, plain_token_count, plain_words
+from lumenfold.functions.text import ENTITY_TYPES, fact_text, plain_token_count, plain_words
 from lumenfold.operators import fulltext, fusion, graph, templates, vectors
 from lumenfold.plans import lexicon
 from lumenfold.plans.analyze import Analysis, NameIndex, analyze_posts, is_generic, language_of, time_filter
@@ -55,11 +55,11 @@ class DocumentEngine:
     """The document corpus: chunks (with embedding), relations, entities (id, name, type, aliases), mentions (chunk_id,
     entity_id)."""
 
-    def __init__(self, chunks: DataFrame, relations: DataFrame, entities: DataFrame, mentions: DataFrame, embed: Callable[[str], list[float]], settings: Settings | None = None, scorer: Scorer | None = overlap_scorer, analyzer: Callable[[str], dict] | None = None):
+    def __init__(self, chunks: DataFrame, relations: DataFrame, entities: DataFrame, mentions: DataFrame, embed: Callable[[str], list[float]], settings: Settings | None = None, scorer: Scorer | None = overlap_scorer, analyzer: Callable[[str], dict] | None = None, index: fulltext.StoredIndex | None = None):
         self.chunks, self.relations, self.entities, self.mentions, self.analyzer = chunks, relations, entities, mentions, analyzer
-        self.embed, self.settings, self.scorer = embed, settings or Settings(), scorer
+        self.embed, self.settings, self.scorer, self.index = embed, settings or Settings(), scorer, index
 
-    def analyze(self, question: str, names: list[str] = (), query_type: str = "lookup", predicate: str | None = None, target_type: str | None = None) -> Analysis:
+    def analyze(self, question: str, names: list[str] = (), query_type: str = "lookup", predicate: str | None = None, target_type: str | None = None, types: Sequence[str] = ENTITY_TYPES) -> Analysis:
         """An analysis from what an outside reader (``analyzer``: names, query_type, predicate, target_type; or the arguments)
         found in the question; names are resolved against the entities. Without a reader, or where it fails, the entities
         that the question's own words find best count."""
@@ -69,16 +69,18 @@ class DocumentEngine:
             try:
                 read = self.analyzer(question)
                 names, query_type, predicate, target_type = read.get("names", ()), read.get("query_type", query_type), read.get("predicate", predicate), read.get("target_type", target_type)
+                types = read.get("types", types)
             except Exception:  # noqa: BLE001  the reader is someone else's service; the question's words remain
                 names = ()
         searchable = self.entities.select("id", "name", "type", F.concat_ws(" ", F.col("name"), F.array_join("aliases", " ")).alias("names"))
         out = Analysis(language_of(question), query_type, predicate=predicate, target_type=target_type, time=time_filter(question))
         for name in names:
-            if not is_generic(name) and (hit := fulltext.resolve(searchable, name, lambda n: entity_key(n, "Organization"))):
+            if not is_generic(name) and (hit := fulltext.resolve(searchable, name, entity_key, types, index=self.index)):
                 out.entities.append((hit["id"], hit["name"]))
         asked = [w for w in dict.fromkeys(plain_words(question)) if w not in lexicon.STOP]
         if not names and asked:
-            hits = fulltext.near_best(fulltext.bm25(searchable, asked, "id", "names", self.settings.seed_entities)).join(self.entities.select("id", "name"), "id")
+            found = fulltext.bm25(searchable, asked, "id", "names", self.settings.seed_entities) if self.index is None else self.index.search(asked, self.settings.seed_entities)
+            hits = fulltext.near_best(found).join(self.entities.select("id", "name"), "id")
             out.entities = [(r["id"], r["name"]) for r in hits.orderBy(F.desc("score"), "id").collect()]
         return out
 

@@ -17,6 +17,8 @@ from lumenfold import reachable
 from lumenfold.functions import citations, dates, filters, text
 from lumenfold.operators import chunking, fulltext, fusion, graph, templates, vectors
 from lumenfold.plans import evalkit, retrieve
+from lumenfold.plans.store import Store
+from lumenfold.scratch import scratch_dir
 from lumenfold.sources import files, mysqldump
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -528,6 +530,19 @@ def chunk_documents(spark, sf_dir):
     return chunking.chunk_pages(pages, 128, 20).select("chunk_id", "doc_id", "chunk_index", "token_count", "language", "date_start", "date_end")
 
 
+@query("""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[\\p{P}\\p{S}\\p{Z}\\s]+'), lambda x: x <> '') AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM w),
+tf AS (SELECT id, term, len(t) AS length, len(list_filter(t, lambda x: x = term)) AS tf FROM w, (SELECT unnest(['thanes', 'uber', 'reou', 'cion']) AS term)), df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term)
+SELECT CAST(id AS VARCHAR) AS id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score, count(*) FILTER (tf > 0) AS terms
+FROM tf JOIN df USING (term), n GROUP BY id HAVING count(*) FILTER (tf > 0) > 0""")
+def stored_index_search(spark, sf_dir):
+    """All documents of four terms, from an index that is built first and then updated by the sources of a few names."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    index = fulltext.StoredIndex(Store(spark, scratch_dir(spark, "index")), "documents", 32)
+    index.replace(docs.withColumn("text", F.when(F.col("source") == "src3", F.concat("text", F.lit(" uber uber cion"))).otherwise(F.col("text"))))
+    index.replace(docs.filter("source = 'src3'"))
+    return index.search(["thanes", "über", "réou", "ción"], limit=None)
+
+
 @query(f"WITH b AS ({BM25}) SELECT id, score, terms FROM b WHERE score >= 0.5::DOUBLE * (SELECT max(score) FROM b)")
 def near_best_hits(spark, sf_dir):
     """Full-text hits with at least half of the best score."""

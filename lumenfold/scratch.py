@@ -6,19 +6,23 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table under ``spark.checkpoint.dir``: it cuts the lineage and outlives any executor. Without that
-    setting a folder of this machine serves a session whose tasks all run inside the driver; elsewhere it is an error."""
-    spark = df.sparkSession
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``. Without that setting a folder of this machine serves a session whose tasks
+    all run inside the driver; elsewhere it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of that folder: it cuts the lineage and outlives any executor."""
+    path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -81,7 +81,7 @@ def test_filters_are_given_up_in_order(spark):
 def test_names_resolve_to_one_entity(spark):
     rows = [("org:shakti", "Shakti Steel", "Organization", "Shakti Steel Shakti"), ("org:ganga", "Ganga Roadways", "Organization", "Ganga Roadways"), ("loc:ganga", "Ganga River", "Location", "Ganga River")]
     entities = spark.createDataFrame(rows, "id string, name string, type string, names string")
-    find = lambda name: (hit := fulltext.resolve(entities, name, lambda n: entity_key(n, "Organization"))) and hit["id"]
+    find = lambda name: (hit := fulltext.resolve(entities, name, entity_key)) and hit["id"]
     assert find("Ganga Roadways Ltd") == "org:ganga" and find("shakti steel") == "org:shakti" and find("Ganga") is None and find("") is None and find("unknown") is None
 
 
