@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold import reachable
 from lumenfold.functions import citations, dates, filters, text
-from lumenfold.operators import chunking, fulltext, fusion, graph, templates, vectors
+from lumenfold.operators import ann, chunking, fulltext, fusion, graph, templates, vectors
 from lumenfold.plans import evalkit, retrieve
 from lumenfold.plans.store import Store
 from lumenfold.scratch import scratch_dir
@@ -310,6 +311,21 @@ def vector_topk(spark, sf_dir):
     return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH a AS (SELECT vec_id AS anchor, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < 16),
+cells AS (SELECT vec_id, arg_min(anchor, (-s, anchor)) AS cell FROM (SELECT e.vec_id, anchor, list_dot_product(e.embedding::DOUBLE[], c) AS s FROM embeddings e, a) GROUP BY vec_id),
+near AS (SELECT anchor FROM a ORDER BY list_dot_product(c, {_unit(0)}::DOUBLE[]) DESC, anchor LIMIT 10)
+SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], {_unit(0)}::DOUBLE[]), 6) AS score FROM embeddings JOIN cells USING (vec_id) WHERE cell IN (SELECT anchor FROM near)
+ORDER BY list_dot_product(embedding::DOUBLE[], {_unit(0)}::DOUBLE[]) DESC, vec_id LIMIT 20""")
+def ann_topk(spark, sf_dir):
+    """The best 20 of the 10 nearest of 16 cells. The cells lie around the first 16 vectors, so that SQL can say them; tests
+    measure the recall of fitted ones."""
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull())
+    anchors = [r["embedding"] for r in rows.filter(F.col("vec_id") < 16).orderBy("vec_id").collect()]
+    index = ann.CellIndex(Store(spark, scratch_dir(spark, "cells")), "v", 16, id_col="vec_id")
+    index.build(rows, np.array(anchors, dtype=np.float64))
+    return index.search(_vector(spark, sf_dir, 0), 20, 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], {_unit(1)}::DOUBLE[]), 6) AS score FROM embeddings WHERE label = 3 ORDER BY list_dot_product(embedding::DOUBLE[], {_unit(1)}::DOUBLE[]) DESC, vec_id LIMIT 20")
 def vector_topk_filtered(spark, sf_dir):
     found = vectors.search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 1), 20, F.col("label") == 3, id_col="vec_id")
