@@ -194,6 +194,37 @@ def facet_property(posts: DataFrame, edges: DataFrame, column: str, where: Colum
     return counts if top is None else counts.orderBy(F.desc("n"), "name").limit(top)
 
 
+def facets(posts: DataFrame, edges: DataFrame, vertices: DataFrame, node_dims: dict[str, tuple[str, str, str | None]], columns: Sequence[str] = (), where: Column | None = None, ids: Sequence = (), top: int | None = 10) -> DataFrame:
+    """The total and any number of facets from one plan: dim ("total" for the total), id (of a vertex; else null), name, n,
+    sample_min, sample_max, place (1 .. top within the dim).
+
+    node_dims: dim -> (label, relation, kind or None); columns: the posts' own. The total and all own columns are grouping
+    sets of one aggregation, all linked vertices another one over the links of the posts that fit."""
+    own = [c for c in columns if c not in node_dims]
+    kept = seeded(posts if where is None else posts.filter(where), edges, ids)
+    values = kept.select("post_id", *[F.col(c).cast("string").alias(f"by_{c}") for c in own])
+    counts = [F.count("*").alias("n"), F.min("post_id").alias("sample_min"), F.max("post_id").alias("sample_max")]
+    if own:
+        names = [f"by_{c}" for c in own]
+        sets = values.groupingSets([[], *[[c] for c in names]], *names).agg(F.grouping_id().alias("set"), *counts)
+        # in the set of one column its bit is 0 and all others are 1
+        full = (1 << len(own)) - 1
+        bits = {c: full ^ (1 << (len(own) - 1 - i)) for i, c in enumerate(own)}
+        cases = [F.when(F.col("set") == b, F.struct(F.lit(c).alias("dim"), F.col(f"by_{c}").alias("name"))) for c, b in bits.items()]
+        sets = sets.select(F.coalesce(*cases, F.when(F.col("set") == full, F.struct(F.lit("total").alias("dim"), F.lit("matching posts").alias("name")))).alias("d"), "n", "sample_min", "sample_max")
+        out = sets.filter("d.name IS NOT NULL").select("d.dim", F.lit(None).cast("string").alias("id"), "d.name", "n", "sample_min", "sample_max")
+    else:
+        out = values.agg(*counts).select(F.lit("total").alias("dim"), F.lit(None).cast("string").alias("id"), F.lit("matching posts").alias("name"), "n", "sample_min", "sample_max")
+    if node_dims:
+        links = edges.filter(F.col("rel").isin(*sorted({rel for _, rel, _ in node_dims.values()}))).select("src", "dst", "rel").distinct().join(kept.select(F.col("post_id").alias("src")), "src", "left_semi")
+        linked = links.groupBy("dst", "rel").agg(F.count("*").alias("n"), F.min("src").alias("sample_min"), F.max("src").alias("sample_max"))
+        named = linked.join(vertices.select(F.col("id").alias("dst"), "name", "label", "kind"), "dst")
+        fit = F.array_compact(F.array(*[F.when((F.col("label") == label) & (F.col("rel") == rel) & (F.lit(True) if kind is None else F.col("kind") == kind), F.lit(dim)) for dim, (label, rel, kind) in node_dims.items()]))
+        out = out.unionByName(named.select(F.explode(fit).alias("dim"), F.col("dst").alias("id"), "name", "n", "sample_min", "sample_max"))
+    placed = out.withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("n"), "name", "id")))
+    return placed if top is None else placed.filter(F.col("place") <= top)
+
+
 def total(posts: DataFrame, edges: DataFrame, where: Column | None = None, ids: Sequence = ()) -> DataFrame:
     return seeded(posts if where is None else posts.filter(where), edges, ids).agg(F.count("*").alias("n"))
 

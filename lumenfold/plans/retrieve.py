@@ -215,14 +215,10 @@ class PostEngine:
         """The total and up to two facets."""
         dims = analysis.group_by or (["sub_category"] if "district" in analysis.filters else ["district"])
         top, ids = min(analysis.top_n or 10, 25), analysis.ids
-        out = [{"dim": "total", "name": "matching posts", "n": templates.total(self.posts, self.edges, where, ids).first()["n"], "samples": []}]
-        for dim in dims[:2]:
-            if dim in lexicon.NODE_FACETS:
-                label, rel, kind = lexicon.NODE_FACETS[dim]
-                rows = templates.facet_nodes(self.posts, self.edges, self.vertices.filter(F.col("label") == label), rel, kind, where, ids, top)
-            else:
-                rows = templates.facet_property(self.posts, self.edges, dim, where, ids, top)
-            out += [{"dim": dim, "name": r["name"], "n": r["n"], "samples": [r["sample_min"], r["sample_max"]]} for r in rows.collect()]
+        nodes = {d: lexicon.NODE_FACETS[d] for d in dims[:2] if d in lexicon.NODE_FACETS}
+        found = templates.facets(self.posts, self.edges, self.vertices, nodes, [d for d in dims[:2] if d not in nodes], where, ids, top).collect()  # 1 + 2 * 25 rows at most
+        order = {"total": 0, **{d: i for i, d in enumerate(dims[:2], 1)}}
+        out = [{"dim": r["dim"], "name": r["name"], "n": r["n"], "samples": [] if r["dim"] == "total" else [r["sample_min"], r["sample_max"]]} for r in sorted(found, key=lambda r: (order[r["dim"]], r["place"]))]
         return out
 
     def retrieve(self, question: str, mode: str = "hybrid", top_k: int | None = None, explicit: dict[str, str] | None = None, today=None, date_from: date | None = None, date_to: date | None = None) -> Result:

@@ -120,3 +120,27 @@ def test_evidence(spark):
 def test_answers_are_checked(spark):
     got = check("Leads the north zone of the company [G1][C7]. Founded long before any of the others were. More [C1].", {"G1", "C1"})
     assert (got.used, got.invalid, got.uncited) == (["G1", "C1"], ["C7"], ["Founded long before any of the others were."])
+
+
+def test_all_facets_from_one_plan(spark):
+    """Twelve kinds of linked vertices and five columns at once, the same as one by one."""
+    import random
+
+    from lumenfold.plans.lexicon import NODE_FACETS, PROPERTY_FACETS
+
+    r = random.Random(6)
+    rows = [(f"p{i:02}", *[r.choice(["a", "b", "c", None]) for _ in PROPERTY_FACETS]) for i in range(60)]
+    posts = spark.createDataFrame(rows, "post_id string, " + ", ".join(f"{c} string" for c in PROPERTY_FACETS))
+    vertices = spark.createDataFrame([(f"{d}{i}", label, f"name {i % 3}", kind) for d, (label, _, kind) in NODE_FACETS.items() for i in range(5)], "id string, label string, name string, kind string")
+    edges = spark.createDataFrame([(p[0], f"{d}{r.randrange(5)}", rel, None) for p in rows for d, (_, rel, _) in NODE_FACETS.items() for _ in range(r.randrange(3))], "src string, dst string, rel string, stance string")
+    seeds, where = ["person1", "topic2"], F.col("sentiment") == "a"
+    got = templates.facets(posts, edges, vertices, NODE_FACETS, PROPERTY_FACETS, where, seeds, 3).collect()
+    by = lambda dim: [(x["id"], x["name"], x["n"], x["sample_min"], x["sample_max"]) for x in sorted(got, key=lambda x: x["place"]) if x["dim"] == dim]
+    assert [x[2] for x in by("total")] == [templates.total(posts, edges, where, seeds).first()["n"]]
+    for dim, (label, rel, kind) in NODE_FACETS.items():
+        want = templates.facet_nodes(posts, edges, vertices.filter(F.col("label") == label), rel, kind, where, seeds, 3).collect()
+        assert by(dim) == [tuple(x) for x in want]
+    for c in PROPERTY_FACETS:
+        assert [x[1:] for x in by(c)] == [tuple(x) for x in templates.facet_property(posts, edges, c, where, seeds, 3).collect()]
+    alone = templates.facets(posts, edges, vertices, {}, [], F.lit(False)).collect()
+    assert [(x["dim"], x["n"]) for x in alone] == [("total", 0)]
