@@ -16,7 +16,7 @@ from lumenfold.functions import filters as flt
 from lumenfold.functions.text import ENTITY_TYPES, fact_text, plain_token_count, plain_words
 from lumenfold.operators import fulltext, fusion, graph, templates, vectors
 from lumenfold.plans import lexicon
-from lumenfold.plans.analyze import Analysis, NameIndex, analyze_posts, is_generic, language_of, time_filter
+from lumenfold.plans.analyze import Analysis, NameIndex, analyze_posts, document_filters, is_generic, language_of, time_filter
 from lumenfold.settings import Settings
 
 Scorer = Callable[[str, list[str]], list[float]]
@@ -28,6 +28,16 @@ def overlap_scorer(question: str, texts: list[str]) -> list[float]:
     return [len(asked & set(plain_words(t))) / len(asked) if asked else 0.0 for t in texts]
 
 
+def cosine_scorer(embed: Callable[[str], list[float]]) -> Scorer:
+    """Where there is no relevance model: the inner product of unit vectors of the question and a text, at least 0."""
+
+    def score(question: str, texts: list[str]) -> list[float]:
+        asked = embed(question)
+        return [max(0.0, sum(a * b for a, b in zip(asked, embed(t), strict=True))) for t in texts]
+
+    return score
+
+
 @dataclass
 class Result:
     question: str
@@ -65,15 +75,19 @@ class DocumentEngine:
         that the question's own words find best count."""
         from lumenfold.operators.extraction import entity_key
 
+        document = doc_type = None
         if self.analyzer is not None and not names:
             try:
                 read = self.analyzer(question)
                 names, query_type, predicate, target_type = read.get("names", ()), read.get("query_type", query_type), read.get("predicate", predicate), read.get("target_type", target_type)
-                types = read.get("types", types)
+                types, document, doc_type = read.get("types", types), read.get("document"), read.get("doc_type")
             except Exception:  # noqa: BLE001  the reader is someone else's service; the question's words remain
                 names = ()
         searchable = self.entities.select("id", "name", "type", F.concat_ws(" ", F.col("name"), F.array_join("aliases", " ")).alias("names"))
         out = Analysis(language_of(question), query_type, predicate=predicate, target_type=target_type, time=time_filter(question))
+        if document or doc_type:
+            kinds = [F.col(c) if c in self.chunks.columns else F.lit(None).cast("string").alias(c) for c in ("source", "doc_type")]
+            out.filters = document_filters(question, [tuple(r) for r in graph.document_sources(self.chunks.select(*kinds)).collect()], document, doc_type)
         for name in names:
             if not is_generic(name) and (hit := fulltext.resolve(searchable, name, entity_key, types, index=self.index)):
                 out.entities.append((hit["id"], hit["name"]))
@@ -221,6 +235,33 @@ class PostEngine:
         out = [{"dim": r["dim"], "name": r["name"], "n": r["n"], "samples": [] if r["dim"] == "total" else [r["sample_min"], r["sample_max"]]} for r in sorted(found, key=lambda r: (order[r["dim"]], r["place"]))]
         return out
 
+    def _names(self, ids: Sequence[str]) -> dict[str, str]:
+        """What posts and vertices are called: a post by its author or platform and its day, a vertex by its name."""
+        asked = sorted(set(map(str, ids)))
+        if not asked:
+            return {}
+        value = lambda c: F.col(c) if c in self.posts.columns else F.lit(None).cast("string")
+        who = F.coalesce(F.concat(F.lit("@"), value("author")), value("platform"), F.lit("post"))
+        post = F.concat(F.lit("Post "), F.col("post_id").cast("string"), F.lit(" ("), who, F.lit(", "), F.coalesce("date", F.lit("undated")), F.lit(")"))
+        rows = self.posts.filter(F.col("post_id").isin(*asked)).select(F.col("post_id").cast("string").alias("id"), post.alias("name"))
+        posts, others = rows.collect(), self.vertices.filter(F.col("id").isin(*asked)).select("id", "name").collect()
+        return {i: i for i in ids} | {r["id"]: r["name"] for r in (*others, *posts) if r["name"]}
+
+    def _named(self, rows: list[tuple]) -> list[dict]:
+        """Facts of (template, subject, predicate, object or None, posts, number of posts or None) with names for ids."""
+        names = self._names([x for _, s, _, o, _, _ in rows for x in (s, o) if x is not None])
+        called = lambda o, n: f"{n} posts" if o is None else names[o] + (f" ({n} posts)" if n is not None else "")
+        return [{"text": f"{names[s]} -[{p}]-> {called(o, n)}", "subject": names[s], "predicate": p, "object": called(o, n), "chunk_ids": posts, "template": t} for t, s, p, o, posts, n in rows]
+
+    def _in_order(self, question: str, facts: list[dict]) -> list[dict]:
+        """Counts as they were counted, then the others by relevance (of ties as they were found)."""
+        counts, rest = [f for f in facts if f["template"] == "count"], [f for f in facts if f["template"] != "count"]
+        if self.scorer and rest:
+            for f, x in zip(rest, self.scorer(question, [f["text"] for f in rest]), strict=True):
+                f["relevance"] = round(float(x), 4)
+            rest.sort(key=lambda f: -f["relevance"])
+        return counts + rest
+
     def retrieve(self, question: str, mode: str = "hybrid", top_k: int | None = None, explicit: dict[str, str] | None = None, today=None, date_from: date | None = None, date_to: date | None = None) -> Result:
         s, explicit = self.settings, explicit or {}
         asked_time = flt.TimeFilter(date_from, date_to) if date_from or date_to else None
@@ -235,16 +276,17 @@ class PostEngine:
                 out.aggregates, out.templates = self.counts(analysis, where), ["count"]
                 facts += [{"text": f"{a['name']} -[MATCHING_POSTS]-> {a['n']} posts", "chunk_ids": a["samples"], "template": "count"} for a in out.aggregates]
             if analysis.ids:
-                found = templates.entity_posts(self.posts, self.edges, analysis.ids, where, 60).collect()
-                facts += [{"text": f"{r['post_id']} -[{r['rel']}]-> {r['dst']}", "chunk_ids": [r["post_id"]], "template": "entity_posts"} for r in found]
-                together = templates.co_mentions(self.posts, self.edges, analysis.ids, where, 60).collect()
-                facts += [{"text": f"{r['seed']} -[{lexicon.CO_PREDICATES[r['rel']]}]-> {r['dst']} ({r['n']} posts)", "chunk_ids": list(r["samples"]), "template": "co_mentions"} for r in together]
-                held = templates.stance_counts(self.posts, self.edges, analysis.ids, where).collect()
-                facts += [{"text": f"{r['id']} -[STANCE_{r['stance'].upper()}]-> {r['n']} posts", "chunk_ids": list(r["samples"]), "template": "stance_counts"} for r in held]
+                rows = [("entity_posts", r["post_id"], r["rel"], r["dst"], [r["post_id"]], None) for r in templates.entity_posts(self.posts, self.edges, analysis.ids, where, 60).collect()]
+                rows += [("co_mentions", r["seed"], lexicon.CO_PREDICATES[r["rel"]], r["dst"], list(r["samples"]), r["n"]) for r in templates.co_mentions(self.posts, self.edges, analysis.ids, where, 60).collect()]
+                rows += [("stance_counts", r["id"], f"STANCE_{r['stance'].upper()}", None, list(r["samples"]), r["n"]) for r in templates.stance_counts(self.posts, self.edges, analysis.ids, where).collect()]
+                facts += self._named(rows)
                 out.templates += ["entity_posts", "co_mentions", "stance_counts"]
             elif tests and analysis.query_type != "aggregation":
-                facts += [{"text": r["post_id"], "chunk_ids": [r["post_id"]], "template": "filtered_posts"} for r in templates.filtered_posts(self.posts, where, 8).collect()]
+                found = [r["post_id"] for r in templates.filtered_posts(self.posts, where, 8).collect()]
+                names = self._names(found)
+                facts += [{"text": names[p], "chunk_ids": [p], "template": "filtered_posts"} for p in found]
                 out.templates.append("filtered_posts")
+        facts = self._in_order(question, facts)
         order = list(dict.fromkeys(c for f in facts for c in f["chunk_ids"]))[: s.candidate_pool]
         spark = self.posts.sparkSession
         linked = spark.createDataFrame([(c, i) for i, c in enumerate(order, 1)], "chunk_id string, rank int")

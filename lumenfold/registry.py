@@ -457,7 +457,20 @@ c AS (SELECT len(regexp_extract_all(t, '[\\x{0900}-\\x{097F}]')) AS dev, len(reg
 SELECT CASE WHEN dev = 0 AND latin = 0 THEN 'unknown' WHEN dev > latin THEN 'hi' ELSE 'en' END AS language, count(*) AS n FROM c GROUP BY 1""")
 def lang_counts(spark, sf_dir):
     mixed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.expr("repeat('क', CAST(n_chars DIV 2 AS INT))"))).when(F.col("doc_id") % 5 == 1, "1234 ...").otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").groupBy(text.detect_language(mixed).alias("language")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").groupBy(text.script_language(mixed).alias("language")).agg(F.count("*").alias("n"))
+
+
+def _votes() -> str:
+    quoted = lambda ws: ", ".join(f"'{w}'" for w in ws)
+    return ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({quoted(ws)}))), 'o': {-i}, 'l': '{kind}'}}" for i, (kind, ws) in enumerate(text.STOP_WORDS.items()))
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang, text AS t, list_filter(regexp_split_to_array(lower(text), '[\\p{{P}}\\p{{S}}\\p{{Z}}\\s]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT lang, CASE WHEN regexp_matches(t, '[A-Za-z]') THEN list_max([{_votes()}]).l ELSE 'unknown' END AS language FROM t)
+SELECT lang, language, count(*) AS n FROM v GROUP BY ALL""")
+def lang_votes(spark, sf_dir):
+    """Documents by the language they are labelled with and the one that their words show."""
+    return table(spark, sf_dir, "documents").groupBy("lang", text.detect_language(F.col("text")).alias("language")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH a AS (SELECT o_orderkey, 'Order total is ' || o_orderkey || ' units in all [C' || (o_orderkey % 4 + 1) || ', G' || (o_orderkey % 3 + 1) || ']. It was placed by a customer that nobody cited here.' AS answer FROM orders),
