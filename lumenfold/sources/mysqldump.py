@@ -1,10 +1,10 @@
 """Rows of a MySQL dump as a Spark data source.
 
 ``spark.read.format("mysqldump").option("path", p).option("tables", "a,b").load()`` gives table, row (column -> text, null
-for NULL) and seq. A file is one task: only a pass from its start knows which signs stand inside quotes. It is mapped, not
-loaded, and rows leave one by one, so memory is bounded by a row. Statements of other tables are passed over without
-keeping a value. Numbers keep their text; casts belong to the reader of the rows. ``read_dump`` reads through Spark's own file reader,
-from any store, and deals one file over many tasks.
+for NULL) and seq (the row's place among all rows of its file). There a file is one task, mapped and not loaded; rows leave
+one by one, so memory is bounded by a row. ``read_dump`` reads through Spark's own file reader, from any store, and deals one
+file over many tasks. Statements of other tables are passed over without keeping a value. Numbers keep their text; casts
+belong to the reader of the rows.
 """
 
 from __future__ import annotations
@@ -60,20 +60,28 @@ def statement_rows(data: bytes, at: int) -> Iterator[tuple[list[str | None] | No
         yield row, at
 
 
-def parse(data, tables: set[str] | None = None) -> Iterator[tuple[str, dict[str, str | None]]]:
-    """(table, row) for every row of the INSERT statements in bytes or a mapped file."""
-    at = 0
+def numbered_rows(data, tables: set[str] | None = None) -> Iterator[tuple[int, str, dict[str, str | None]]]:
+    """(place among all rows, table, row) for the rows of the INSERT statements in bytes or a mapped file."""
+    at, seq = 0, -1
     while head := HEAD.search(data, at):
         table = head[1].decode()
         columns = [c.strip().strip("`") for c in head[2].decode("utf-8", "replace").split(",")]
         at = head.end()
         for row, behind in statement_rows(data, at):
             at = behind
-            if row is None or (tables is not None and table not in tables):
+            if row is None:
+                continue
+            seq += 1
+            if tables is not None and table not in tables:
                 continue
             if len(row) != len(columns):
                 raise DumpError(f"{table}: {len(row)} values for {len(columns)} columns")
-            yield table, dict(zip(columns, row, strict=True))
+            yield seq, table, dict(zip(columns, row, strict=True))
+
+
+def parse(data, tables: set[str] | None = None) -> Iterator[tuple[str, dict[str, str | None]]]:
+    """(table, row) for every row of the INSERT statements in bytes or a mapped file."""
+    return ((table, row) for _, table, row in numbered_rows(data, tables))
 
 
 # ---------- one file over many tasks ----------
@@ -302,7 +310,7 @@ def register(spark: SparkSession) -> None:
             if not os.path.getsize(part.path):
                 return
             with open(part.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-                for seq, (table, row) in enumerate(parse(data, set(self.tables.split(",")) if self.tables else None)):
+                for seq, table, row in numbered_rows(data, set(self.tables.split(",")) if self.tables else None):
                     yield table, row, seq
 
     class MysqlDump(DataSource):
