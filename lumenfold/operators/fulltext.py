@@ -39,6 +39,15 @@ def bm25(rows: DataFrame, query: Sequence[str], id_col: str, text_col: str, limi
     return out.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """Adds ``terms`` (term, tf) to rows with sorted ``words``. Equal words stand side by side, so a row's work follows its
+    length, not the product of its words and its different words."""
+    heads = F.filter(F.transform("words", lambda w, i: F.when(~w.eqNullSafe(F.get("words", i - 1)), i)), lambda i: i.isNotNull())
+    ends = lambda k: F.coalesce(F.get("heads", k + 1), F.size("words"))
+    counted = F.transform("heads", lambda at, k: F.struct(F.get("words", at).alias("term"), (ends(k) - at).alias("tf")))
+    return rows.withColumn("heads", heads).withColumn("terms", counted).drop("heads")
+
+
 class StoredIndex:
     """An inverted index kept in a store's tables, by source of the texts.
 
@@ -51,9 +60,8 @@ class StoredIndex:
 
     def replace(self, rows: DataFrame, sources: DataFrame | None = None) -> None:
         """The index with ``rows`` (id, source, text) in place of all rows of their sources, and of ``sources`` (source)."""
-        split = rows.select(F.col("id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), search_words(F.coalesce("text", F.lit(""))).alias("words"))
-        counted = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.size(F.filter("words", lambda x: x == w)).alias("tf")))
-        fresh = written(split.select("id", "source", F.size("words").alias("length"), counted.alias("terms")), "index-texts")
+        split = rows.select(F.col("id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), F.sort_array(search_words(F.coalesce("text", F.lit("")))).alias("words"))
+        fresh = written(_term_counts(split).select("id", "source", F.size("words").alias("length"), "terms"), "index-texts")
         gone = fresh.select("source") if sources is None else fresh.select("source").union(sources.select(F.col("source").cast("string")))
         gone = written(gone.distinct(), "index-sources")
         with self.store.transaction():

@@ -1,6 +1,7 @@
 """The stored index against a direct BM25, and what it reads and writes."""
 
 import math
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -50,6 +51,17 @@ def test_scores_follow_every_update(spark, tmp_path):
     assert {r["id"] for r in near_best(index.search(["river"])).collect()} <= {"c", "f"}
 
 
+def test_a_long_text_takes_time_by_its_words(spark, tmp_path):
+    """60,000 different words, some twice: counted one against all others they took minutes."""
+    rows = [("long", "s1", " ".join(f"w{i}" for i in [*range(60_000), *range(100)])), ("short", "s1", "w7 w7 w7 other"), ("none", "s2", "")]
+    index = StoredIndex(Store(spark, f"file://{tmp_path}/s"), "t", 4)
+    began = time.monotonic()
+    index.replace(frame(spark, rows))
+    assert time.monotonic() - began < 60
+    for q in ("w7", "w59999 other", "w99 w100"):
+        assert scores(index, q) == direct(rows, q)
+
+
 def test_a_question_reads_its_buckets_and_an_update_writes_few(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     index = StoredIndex(store, "t", 64)
