@@ -144,3 +144,18 @@ def test_all_facets_from_one_plan(spark):
         assert [x[1:] for x in by(c)] == [tuple(x) for x in templates.facet_property(posts, edges, c, where, seeds, 3).collect()]
     alone = templates.facets(posts, edges, vertices, {}, [], F.lit(False)).collect()
     assert [(x["dim"], x["n"]) for x in alone] == [("total", 0)]
+
+
+def test_equal_facts_are_ranked_by_many_tasks(spark, monkeypatch):
+    """All facts have the same hops and confidence: no task may have to sort them all to number them."""
+    kept = {}
+    monkeypatch.setattr(fusion, "TASK_ROWS", 100)
+    monkeypatch.setattr(fusion, "written", lambda df, name, make=fusion.written: kept.setdefault(name, make(df, name)))
+    rows = [(f"s{i % 37}", "SUPPLIES", f"p{i}", 1, 0.5, [i], 0.25) for i in range(2000)]
+    facts = spark.createDataFrame(rows, "subject_id string, predicate string, object_id string, hops int, confidence double, chunk_ids array<int>, relevance double")
+    want = [(s, o, n) for n, (s, o) in enumerate(sorted((r[0], r[2]) for r in rows), 1)]
+    for rank in (fusion.rank_facts_unscored, fusion.rank_facts):
+        kept.clear()
+        assert [tuple(r) for r in rank(facts).orderBy("rank").select("subject_id", "object_id", "rank").collect()] == want
+        held = [r["n"] for r in kept["numbered"].groupBy((F.col("__at") / 2**33).cast("long")).agg(F.count("*").alias("n")).collect()]
+        assert len(held) > 10 and max(held) < 400
