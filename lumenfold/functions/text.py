@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,26 +28,21 @@ NAME_CHARS = 80
 _STRIP = " ,.;:-'\""
 
 
-def _normal_form(form: str):
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+def _changed(change: Callable[[str], str], text: Column, plain: Column) -> Column:
+    """``change`` of texts that are not plain ASCII, ``plain`` of the others: those never leave the JVM. A batch is changed in
+    slices, as Python's strings take up to four bytes a sign."""
 
-    return run
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        slices = (texts.slice(at, 64).to_pylist() for at in range(0, len(texts), 64))
+        return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if t is None else change(t) for t in part], pa.string()) for part in slices)])
 
-
-def _folded():
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold())
-
-    return run
+    return F.coalesce(run(F.when(F.octet_length(text) > F.length(text), text)), plain)
 
 
 def composed(text: Column, form: str = "NFC") -> Column:
-    """Unicode normal form. ASCII text is its own, but a Python stage is planned in either case: use it where text may be
-    anything."""
-    return _normal_form(form)(text)
+    """Unicode normal form. ASCII text is its own and stays where it is."""
+    return _changed(lambda t: unicodedata.normalize(form, t), text, text)
 
 
 def tidy(text: Column) -> Column:
@@ -70,7 +66,7 @@ def key_of_folded(text: Column) -> Column:
 
 
 def name_key(text: Column) -> Column:
-    return key_of_folded(_folded()(text))
+    return key_of_folded(_changed(lambda t: unicodedata.normalize("NFC", t).casefold(), text, F.lower(text)))
 
 
 def plain_key(name: str) -> str:
@@ -189,6 +185,11 @@ def plain_token_count(text: str) -> int:
     return len(_TOKEN.findall(text))
 
 
+def plain_token_starts(text: str) -> list[int]:
+    """Where each token of ``plain_token_count`` begins."""
+    return [m.start() for m in _TOKEN.finditer(text)]
+
+
 def fact_text(subject: Column, predicate: Column, object_: Column) -> Column:
     return F.concat(subject, F.lit(" -["), predicate, F.lit("]-> "), object_)
 
@@ -197,10 +198,16 @@ def fact_sentence(subject: Column, predicate: Column, object_: Column) -> Column
     return F.concat(subject, F.lit(" "), F.lower(F.replace(predicate, F.lit("_"), F.lit(" "))), F.lit(" "), object_)
 
 
+def _once(value: Column, make) -> Column:
+    """``make`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def script_language(text: Column) -> Column:
     """hi for mostly Devanagari, en for Latin letters, unknown without letters."""
-    dev, latin = F.regexp_count(text, F.lit("\\p{InDevanagari}")), F.regexp_count(text, F.lit("[A-Za-z]"))
-    return F.when((dev == 0) & (latin == 0), "unknown").when(dev > latin, "hi").otherwise("en")
+    without = lambda signs: F.length(text) - F.length(F.regexp_replace(text, signs, ""))  # noqa: E731  by runs: a match a sign is slow
+    named = lambda c: F.when((c["dev"] == 0) & (c["latin"] == 0), "unknown").when(c["dev"] > c["latin"], "hi").otherwise("en")
+    return _once(F.struct(without("\\p{InDevanagari}+").alias("dev"), without("[A-Za-z]+").alias("latin")), named)
 
 
 #: Frequent words that the other languages here lack.
@@ -223,5 +230,4 @@ def detect_language(text: Column) -> Column:
 
     every = [w for own in STOP_WORDS.values() for w in own]
     said = F.filter(words(text), lambda w: w.isin(*every))
-    script = script_language(text)
-    return F.when(script == "en", F.element_at(F.transform(F.array(said), voted), 1)).otherwise(script)
+    return _once(script_language(text), lambda script: F.when(script == "en", _once(said, voted)).otherwise(script))
