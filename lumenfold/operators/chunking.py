@@ -3,53 +3,69 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.dates import chunk_dates, date_spans
-from lumenfold.functions.text import chunk_id, detect_language, plain_token_count, token_count
+from lumenfold.functions.text import chunk_id, detect_language, plain_token_count, plain_token_starts, token_count
 
 #: Separators in the order they are tried; they stay at the end of the piece before (a bullet begins one).
 SEPARATORS = (r"\n\n", r"\n", r"।\s*", r"(?=[⏩•▪➤►])", r"\.\s", r"\?\s", r"!\s", r";\s", r",\s", r"\s", "")
 
 
-def _cut(text: str, separator: str) -> list[str]:
-    if not separator:
-        return list(text)
-    ends = [m.end() for m in re.finditer(separator, text)]
-    edges = [0, *(e for e in ends if 0 < e < len(text)), len(text)]
-    return [text[a:b] for a, b in zip(edges, edges[1:], strict=False) if a < b]
+_PATTERNS = [re.compile(s) for s in SEPARATORS]
 
 
-def _pieces(text: str, level: int, most: int, count: Callable[[str], int]) -> Iterator[str]:
-    """The text in pieces of at most ``most`` tokens, by the first separator that does, each further one inside."""
-    if count(text) <= most or level >= len(SEPARATORS):
-        yield text
+def _cut(text: str, a: int, b: int, level: int) -> Iterator[tuple[int, int]]:
+    ends = [m.end() for m in _PATTERNS[level].finditer(text, a, b)]
+    edges = [a, *(e for e in ends if a < e < b), b]
+    return ((lo, hi) for lo, hi in pairwise(edges) if lo < hi)
+
+
+def _pieces(text: str, a: int, b: int, level: int, most: int, between: Callable[[int, int], int], count: Callable[[str], int]) -> Iterator[tuple[int, int, int]]:
+    """text[a:b] in pieces of at most ``most`` tokens, by the first separator that does, each further one inside: their
+    places and tokens. ``between`` gives the tokens between places that no token stands over."""
+    n = between(a, b)
+    if n <= most:
+        yield a, b, n
         return
-    while level < len(SEPARATORS) - 1 and not re.search(SEPARATORS[level], text):
+    while level < len(SEPARATORS) - 1 and not _PATTERNS[level].search(text, a, b):
         level += 1
-    for part in _cut(text, SEPARATORS[level]):
-        yield from _pieces(part, level + 1, most, count)
+    if not SEPARATORS[level]:  # signs, which may lie inside a token
+        yield from ((i, i + 1, count(text[i])) for i in range(a, b))
+        return
+    for lo, hi in _cut(text, a, b, level):
+        yield from _pieces(text, lo, hi, level + 1, most, between, count)
 
 
 def split_text(text: str, most: int = 512, overlap: int = 50, count: Callable[[str], int] = plain_token_count) -> list[str]:
-    """Chunks of at most ``most`` tokens; each begins with the last pieces, up to ``overlap`` tokens, of the one before."""
+    """Chunks of at most ``most`` tokens; each begins with the last pieces, up to ``overlap`` tokens, of the one before.
+
+    Separators end or begin tokens, so with the own count a text's tokens are found once and counted by their places."""
+    if count is plain_token_count:
+        starts = plain_token_starts(text)
+        between = lambda a, b: bisect_left(starts, b) - bisect_left(starts, a)
+    else:
+        between = lambda a, b: count(text[a:b])
     out: list[str] = []
-    held: list[tuple[str, int]] = []
+    held: deque[tuple[int, int, int]] = deque()
     total = 0
-    for piece in _pieces(text, 0, most, count):
-        n = count(piece)
+    for piece in _pieces(text, 0, len(text), 0, most, between, count):
+        n = piece[2]
         if held and total + n > most:
-            out.append("".join(p for p, _ in held).strip())
+            out.append(text[held[0][0] : held[-1][1]].strip())
             while held and (total > overlap or total + n > most):
-                total -= held.pop(0)[1]
-        held.append((piece, n))
+                total -= held.popleft()[2]
+        held.append(piece)
         total += n
     if held:
-        out.append("".join(p for p, _ in held).strip())
+        out.append(text[held[0][0] : held[-1][1]].strip())
     return [c for c in out if c]
 
 
