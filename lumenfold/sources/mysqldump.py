@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ SCHEMA = "table string, row map<string,string>, seq long"
 HEAD = re.compile(rb"INSERT INTO `(\w+)` \(([^)]*)\) VALUES\s*", re.DOTALL)
 ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
 
-_QUOTED = rb"'(?:[^'\\]|\\.|'')*'"
+_QUOTED = rb"'[^'\\]*(?:(?:\\.|'')[^'\\]*)*'"
 _VALUE = re.compile(rb"\s*(?:(" + _QUOTED + rb")|([^,()';]*))\s*([,)])", re.DOTALL)
 _OPEN = re.compile(rb"[\s,]*(?:(\()|(;))")
 _UNESCAPE = re.compile(r"\\(.)|''", re.DOTALL)
@@ -34,7 +35,8 @@ class DumpError(ValueError):
 
 
 def _unquoted(raw: bytes) -> str:
-    return _UNESCAPE.sub(lambda m: "'" if m[1] is None else ESCAPES.get(m[1], m[1]), raw[1:-1].decode("utf-8", "replace"))
+    text = raw[1:-1].decode("utf-8", "replace")
+    return _UNESCAPE.sub(lambda m: "'" if m[1] is None else ESCAPES.get(m[1], m[1]), text) if "\\" in text or "''" in text else text
 
 
 def statement_rows(data: bytes, at: int) -> Iterator[tuple[list[str | None] | None, int]]:
@@ -179,19 +181,27 @@ def block_starts(lines: DataFrame) -> DataFrame:
             lexers = {s: Lexer(s, keep=False) for s in range(4)}
             broken: set[int] = set()
             same = {s: (s, 0) for s in range(4)}  # the lexer that stands for each start, and how many rows it lacks
+            running, lines_ = [0, 1, 2, 3], 0
 
             def take(line):
-                for s in sorted({at for at, _ in same.values()} - broken):
+                nonlocal running, lines_
+                for s in running:
                     try:
                         for _ in lexers[s].feed(line):
                             pass
                     except DumpError:
                         broken.add(s)
+                        running = [r for r in running if r != s]
+                lines_ += 1
+                if len(running) < 2 or lines_ & lines_ - 1 and lines_ % 64:
+                    return ()
+                # whether lexers have met: asked now and then, as it costs more than a line does
                 leads: dict[tuple, int] = {}
                 for s, (at, lack) in same.items():
                     x = lexers[at]
                     lead = leads.setdefault((x.state, str(x.head), at in broken), at)
                     same[s] = (lead, lack + x.rows - lexers[lead].rows)
+                running = sorted({at for at, _ in same.values()} - broken)
                 return ()
 
             take.result = lambda: [(s, lexers[at].state, lexers[at].rows + lack, lexers[at].head, at in broken) for s, (at, lack) in same.items()]
@@ -225,7 +235,8 @@ def block_starts(lines: DataFrame) -> DataFrame:
 
 def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, batch_rows: int = 2000) -> DataFrame:
     """The dump's rows: table, row, seq (the row's place in its file, of all its rows). A file is dealt over many tasks by
-    lines; two passes read it, one for how each task's share begins (``block_starts``), one for the rows. A row over the edge
+    lines; three passes read it, one for how each task's share begins (``block_starts``), one for the rows inside of shares, one
+    for the pieces of rows over their edges. A row over the edge
     of two shares or more is put together from its pieces. Rows of other tables are passed over without keeping a value.
     Memory is bounded by ``batch_rows`` rows and by the longest line; the head of a statement has to stand on one line."""
     wanted = set(tables) if tables else None
@@ -234,7 +245,8 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, b
     # one row a share of a file: bounded by the file's bytes over spark.sql.files.maxPartitionBytes
     known = {(r["file"], r["block"]): (r["state"], (r["head"]["table"], r["head"]["columns"]) if r["head"] else None, r["rows"]) for r in starts.toLocalIterator()}
 
-    def rows(batches):
+    def rows(batches, edges):
+        """The rows inside of shares, or (``edges``) the pieces of those over their edges: no row is parsed for these."""
         import pyarrow as pa
 
         schema = pa.schema([("table", pa.string()), ("row", pa.map_(pa.string(), pa.string())), ("seq", pa.int64()), ("file", pa.string()), ("block", pa.int64()), ("piece", pa.binary()), ("columns", pa.list_(pa.string()))])
@@ -254,7 +266,7 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, b
                 nonlocal cut
                 for at, raw in lexer.feed(line):
                     seq = before + lexer.rows - 1
-                    if wanted is None or at[0] in wanted:
+                    if edges == cut and (wanted is None or at[0] in wanted):
                         yield (at[0], None, seq, *now, raw, at[1]) if cut else (at[0], list(_row(*at, raw).items()), seq, *now, None, None)
                     cut = False
 
@@ -262,7 +274,7 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, b
             return take
 
         def end(now, take):
-            if take.lexer.state in (ROW, QUOTED) and take.lexer.head and (wanted is None or take.lexer.head[0] in wanted):
+            if edges and take.lexer.state in (ROW, QUOTED) and take.lexer.head and (wanted is None or take.lexer.head[0] in wanted):
                 yield (take.lexer.head[0], None, take.seq(), *now, bytes(take.lexer.held), take.lexer.head[1])
 
         for found in _map_blocks(batches, begin, end):
@@ -271,8 +283,9 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, b
                 yield passed()
         yield passed()
 
-    read = lines.mapInArrow(rows, f"{SCHEMA}, file string, block long, piece binary, columns array<string>")
-    pieces = read.filter("piece IS NOT NULL").groupBy("file", "seq").agg(F.first("table").alias("table"), F.first("columns").alias("columns"), F.sort_array(F.collect_list(F.struct("block", "piece"))).alias("pieces"))
+    schema_ = f"{SCHEMA}, file string, block long, piece binary, columns array<string>"
+    inside, over = (lines.mapInArrow(partial(rows, edges=edges), schema_) for edges in (False, True))
+    pieces = over.groupBy("file", "seq").agg(F.first("table").alias("table"), F.first("columns").alias("columns"), F.sort_array(F.collect_list(F.struct("block", "piece"))).alias("pieces"))
 
     def joined(batches):
         import pyarrow as pa
@@ -283,7 +296,7 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.map_(pa.string(), pa.string())), batch.column(3)], ["table", "row", "seq"])
 
     edges = pieces.select("table", "columns", "pieces", "seq").mapInArrow(joined, SCHEMA)
-    return read.filter("piece IS NULL").select("table", "row", "seq").unionByName(edges)
+    return inside.select("table", "row", "seq").unionByName(edges)
 
 
 def register(spark: SparkSession) -> None:
