@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages (overlapping windows of words) are TF-IDF vectors over the benchmark's terms, with document frequencies counted
-over the whole corpus. A randomised SVD of sampled corpus passages and all items, computed in parallel parts, gives one
-latent space for all items; every passage of every document is projected into it and compared with the items by cosine.
+over the whole corpus. A randomised SVD of all passages of the corpus and of all items, computed in parallel parts, gives
+one latent space for all items; every passage of every document is projected into it and compared with the items by cosine.
 Candidates that hold enough of an item's words are confirmed by the longest common subsequence of words and by a check of
 the item's answer, its last sentence.
 """
@@ -15,12 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lumenfold.llm.common import resident, text_groups, written
+from lumenfold.llm.common import resident, trim, written
 
 _EDGES = b".,;:!?\"'()[]{}<>|*#-_"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -62,93 +64,130 @@ def word_hashes(text: str | None) -> list[int]:
     return [xxhash.xxh3_64_intdigest(w) for w in words_of(text)]
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_HEADS = np.asarray([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)  # the first n bytes of eight
+
+
+def _buckets_of(words: pa.Array) -> np.ndarray:
+    """A hash bucket of each word, eight bytes a step; -1 for empty ones."""
+    edge = np.frombuffer(words.buffers()[1], dtype="<i4")[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[edge[0] : edge[-1]]
+    data = np.append(data, np.zeros(8, dtype=np.uint8))
+    blocks = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+    at, left = edge[:-1] - edge[0], np.diff(edge)
+    hashes, some, of = left.astype(np.uint64), left > 0, None
+    while len(at):
+        h = ((hashes if of is None else hashes[of]) ^ blocks[at] & _HEADS[np.minimum(left, 8)]) * _MIX
+        h ^= h >> np.uint64(32)
+        if of is None:
+            hashes = h
+        else:
+            hashes[of] = h
+        longer = np.flatnonzero(left > 8)
+        of = longer if of is None else of[longer]
+        at, left = at[longer] + 8, left[longer] - 8
+    return np.where(some, (hashes * _MIX >> np.uint64(46)).astype(np.int64), -1)
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash buckets of all words of some texts (-1: punctuation alone), and how many words each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words, counts = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.equal(words, "")  # before and after spaces at a text's edges
+    if pc.any(empty).as_py():
+        gone = np.repeat(np.arange(len(counts)), counts)[empty.to_numpy(zero_copy_only=False)]
+        words, counts = words.filter(pc.invert(empty)), counts - np.bincount(gone, minlength=len(counts))
+    return _buckets_of(pc.ascii_trim(words, characters=_EDGES.decode())), counts
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of a slice hold ``most`` bytes or are a single row."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+        ends, lo = np.cumsum(size), 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + most, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+    trim()
+
+
 class Terms:
     """The benchmark's terms as numbers 0 .. n - 1, of at most ``_BUCKETS`` hash buckets, so that what tasks hold is bounded."""
 
-    def __init__(self, buckets: np.ndarray, memo: int = 500_000):
+    def __init__(self, buckets: np.ndarray):
         self.buckets = np.sort(buckets)
-        self.number = np.full(_BUCKETS, -1, dtype=np.int32)
+        self.number = np.full(_BUCKETS + 1, -1, dtype=np.int32)  # the last one: no word
         self.number[self.buckets] = np.arange(len(buckets), dtype=np.int32)
-        self.raw: dict[bytes, int] = {}  # words as they stand in texts, a bounded memo
-        self.memo = memo
 
     def __len__(self) -> int:
         return len(self.buckets)
 
-    def of_hashes(self, hashes: list[int]) -> np.ndarray:
-        return self.number[np.asarray(hashes, dtype=np.uint64).astype(np.int64) & (_BUCKETS - 1)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers of all words of some texts, -1 for words that no item has, and how many words each text has. A word
+        of punctuation alone is one that no item has."""
+        buckets, counts = _split(texts)
+        return self.number[buckets], counts
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Term numbers of a text's words, -1 for words that no item has; a word of punctuation alone is one of those."""
-        words = (text or "").encode().lower().split()
-        found = list(map(self.raw.get, words))
-        if None in found:
-            if len(self.raw) > self.memo:
-                self.raw.clear()
-            for i, k in enumerate(found):
-                if k is None:
-                    word = words[i].strip(_EDGES)
-                    found[i] = self.raw[words[i]] = int(self.number[xxhash.xxh3_64_intdigest(word) & (_BUCKETS - 1)]) if word else -1
-        return np.asarray(found, dtype=np.int32)
+    def of_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Term numbers of each text's words, without words that have none."""
+        codes, counts = self.encode(pa.array(texts, pa.string()))
+        return [c[c >= 0] for c in np.split(codes, np.cumsum(counts)[:-1])] if texts else []
 
 
 def terms_of(texts: DataFrame) -> Terms:
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = {h & (_BUCKETS - 1) for t in batch.column(0).to_pylist() for h in word_hashes(t)}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["bucket"])
+        for batch in _slices(batches):
+            found = np.unique(_split(batch.column(0))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(found[found >= 0], pa.int32())], ["bucket"])
 
     rows = texts.select("text").mapInArrow(buckets, "bucket int").distinct().collect()  # _BUCKETS rows at most
     return Terms(np.asarray([r["bucket"] for r in rows], dtype=np.int64))
 
 
 def _terms(buckets: np.ndarray) -> Terms:
-    """One per worker process, with its memo."""
+    """One per worker process."""
     return resident(("terms", buckets.tobytes()), lambda: Terms(buckets))
 
 
 @dataclass
 class Items:
-    """One block of benchmark items: their ids, and the hashes of their words and of their answers' words."""
+    """One block of benchmark items: their ids and texts, and the hashes of their words and of their answers' words."""
 
     ids: list
+    texts: list[str]
     words: list[list[int]]
     answers: list[list[int]]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Items:
-        return cls([i for i, _ in rows], [word_hashes(t) for _, t in rows], [word_hashes(answer_of(t)) for _, t in rows])
+        return cls([i for i, _ in rows], [t for _, t in rows], [word_hashes(t) for _, t in rows], [word_hashes(answer_of(t)) for _, t in rows])
 
 
-def _chunks(coded: list[np.ndarray], step: int, counts_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of several texts: the distinct terms that count of each chunk and their chunk, each chunk's text, and if the next
+def _chunks(codes: np.ndarray, counts: np.ndarray, step: int, weighs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts: the distinct terms that weigh of each chunk and their chunk, each chunk's text, and if the next
     chunk is of the same text. A word that a chunk repeats counts once: it would outweigh all others."""
-    counts = np.asarray([max(1, -(-len(c) // step)) for c in coded])
-    base = np.cumsum(counts) - counts
-    owner = np.repeat(np.arange(len(coded)), counts)
-    flat = np.concatenate(coded)
-    place = np.concatenate([b + np.arange(len(c)) // step for b, c in zip(base, coded, strict=True)])
-    at = np.append(counts_, False)[flat]  # -1: a word without a term
-    place, flat = np.divmod(np.unique(place[at] * len(counts_) + flat[at]), len(counts_))
+    chunks, starts = np.maximum(1, -(-counts // step)), np.cumsum(counts) - counts
+    base = np.cumsum(chunks) - chunks
+    owner = np.repeat(np.arange(len(counts)), chunks)
+    at = np.flatnonzero(np.append(weighs, False)[codes])  # -1: a word without a term
+    text = np.searchsorted(starts, at, side="right") - 1
+    place, flat = np.divmod(np.unique((base[text] + (at - starts[text]) // step) * len(weighs) + codes[at]), len(weighs))
     return flat, place, owner, np.append(owner[1:] == owner[:-1], False)
 
 
-def _summed(flat: np.ndarray, place: np.ndarray, n: int, table: np.ndarray, by_term: bool = False, most: int = 60_000) -> np.ndarray:
-    """Sums of the terms' rows by chunk, or of the chunks' rows by term; what is summed by comes in order."""
-    out = np.zeros((n, table.shape[1]), dtype=np.float32)
-    if by_term:
-        flat, place = place, flat
-    for lo in range(0, len(flat), most):
-        p = place[lo : lo + most]
-        starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-        out[p[starts]] += np.add.reduceat(table[flat[lo : lo + most]], starts, axis=0)
+def _summed(rows: np.ndarray, by: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+    """For each row of ``table``: sums of its values at ``rows``, by ``by``."""
+    out = np.empty((len(table), n), dtype=np.float32)
+    for line, values in zip(out, table, strict=True):
+        line[:] = np.bincount(by, values.take(rows), n)
     return out
 
 
 def _windows(chunks: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
-    """Each chunk with the next one of its text."""
+    """Each chunk (along the last axis) with the next one of its text."""
     out = chunks.copy()
-    out[:-1][goes_on[:-1]] += chunks[1:][goes_on[:-1]]
+    out[..., :-1] += chunks[..., 1:] * goes_on[:-1]
     return out
 
 
@@ -158,11 +197,11 @@ def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = _terms(buckets), np.zeros(size + 1, dtype=np.int64)
-        for rows in text_groups(batches):
-            for r in rows:
-                c = np.unique(own.encode(r["text"]))
-                seen[c[c >= 0]] += 1
-            seen[size] += len(rows)
+        for rows in _slices(batches):
+            codes, counts = own.encode(rows.column("text"))
+            at = np.repeat(np.arange(len(counts)) * size, counts) + codes
+            seen[:size] += np.bincount(np.unique(at[codes >= 0]) % size, minlength=size)
+            seen[size] += len(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int32()), pa.array(seen[seen > 0])], ["term", "n"])
 
     out = np.zeros(size + 1, dtype=np.int64)
@@ -179,8 +218,8 @@ def term_weights(texts: DataFrame, terms: Terms, frequency: np.ndarray, n_docs:
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _terms(buckets)
-        for batch in batches:
-            coded = [own.of_hashes(word_hashes(t)) for t in batch.column(0).to_pylist()]
+        for batch in _slices(batches):
+            coded = own.of_texts(batch.column(0).to_pylist())
             found = sorted({int(k) for c in coded if (~stop[c]).sum() < least for k in c})
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], ["term"])
 
@@ -189,36 +228,40 @@ def term_weights(texts: DataFrame, terms: Terms, frequency: np.ndarray, n_docs:
     return np.where(stop, 0.0, idf)
 
 
-def latent_space(sample: DataFrame, terms: Terms, idf: np.ndarray, rank: int, step: int, extra: int = 10, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the TF-IDF passages of ``sample`` (text, part) by a randomised range
-    finder with one power step. Each part of the sample returns one terms x rank matrix; their sum is all that is gathered."""
+def latent_space(texts: DataFrame, terms: Terms, idf: np.ndarray, rank: int, step: int, extra: int = 10, seed: int = 11, slab: int = 64) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the TF-IDF passages of all ``texts`` (text, weight: how often its passages
+    count) by a randomised range finder with one power step: two passes. Each task sums its passages up to one terms x rank
+    matrix; slabs of these are added up in tasks, and one matrix is gathered."""
     d, buckets = len(idf), terms.buckets
     width = min(d, rank + extra)
 
-    def gram(coded: list[np.ndarray], basis: np.ndarray) -> np.ndarray:
-        """A' A basis for the passages of some texts, over their words alone."""
-        flat, place, owner, goes_on = _chunks(coded, step, idf > 0)
-        weight = idf[flat].astype(np.float32)
-        projected = _windows(_summed(flat, place, len(owner), (basis * idf[:, None]).astype(np.float32)), goes_on)
-        squares = _windows(np.bincount(place, weight**2, len(owner))[:, None].astype(np.float32), goes_on)
-        projected /= np.where(squares > 0, squares, 1)  # both factors of A are normalised
-        back = projected.copy()  # a chunk's words stand in its own window and in the one before
-        back[1:][goes_on[:-1]] += projected[:-1][goes_on[:-1]]
-        order = np.argsort(flat, kind="stable")
-        out = _summed(flat[order], place[order], d, back, by_term=True)
-        return out * idf[:, None]
-
     def applied(basis: np.ndarray) -> np.ndarray:
-        def work(table: pa.Table) -> pa.Table:
-            own, total = _terms(buckets), np.zeros((d, basis.shape[1]))
-            texts = table["text"].to_pylist()
-            for lo in range(0, len(texts), 200):
-                total += gram([own.encode(t) for t in texts[lo : lo + 200]], basis)
-            return pa.Table.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["y"])
-
-        total = np.zeros((d, basis.shape[1]))
-        for r in sample.groupBy("part").applyInArrow(work, "y binary").toLocalIterator():
-            total += np.frombuffer(r["y"], dtype="<f4").reshape(d, -1)
+        """A' A basis for all passages, over their words alone."""
+        table = (basis * idf[:, None]).T.astype(np.float32)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, lines, total = _terms(buckets), table.astype(np.float64), np.zeros((width, d))
+            for rows in _slices(batches):
+                flat, place, owner, goes_on = _chunks(*own.encode(rows.column("text")), step, idf > 0)
+                squares = _windows(np.bincount(place, idf[flat] ** 2, len(owner)), goes_on)
+                back = _windows(_summed(flat, place, len(owner), lines), goes_on)
+                back *= rows.column("weight").to_numpy(zero_copy_only=False)[owner] / np.where(squares > 0, squares, 1)  # both factors of A are normalised
+                back[:, 1:] += back[:, :-1] * goes_on[:-1]  # a chunk's words stand in its own window and in the one before
+                used, at = np.unique(flat, return_inverse=True)
+                total[:, used] += _summed(place, at, len(used), back)
+            total = (total * idf).T.astype("<f4")
+            part, held = TaskContext.get().partitionId(), [k for k in range(0, d, slab) if total[k : k + slab].any()]
+            cols = [pa.array(held, pa.int32()), pa.array([part] * len(held), pa.int32()), pa.array([total[k : k + slab].tobytes() for k in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["slab", "part", "y"])
+
+        def add(held: pa.Table) -> pa.Table:
+            held = held.sort_by("part")  # sums of one table come out alike each time
+            y = sum(np.frombuffer(x.as_py(), dtype="<f4").astype(np.float64) for x in held["y"])
+            return pa.Table.from_arrays([held["slab"][:1].cast(pa.int32()), pa.array([y.astype("<f4").tobytes()], pa.binary())], ["slab", "y"])
+
+        total = np.zeros((d, width))
+        for r in texts.mapInArrow(work, "slab int, part int, y binary").groupBy("slab").applyInArrow(add, "slab int, y binary").toLocalIterator():
+            total[r["slab"] : r["slab"] + slab] = np.frombuffer(r["y"], dtype="<f4").reshape(-1, width)
         return total
 
     start = np.random.default_rng(seed).standard_normal((d, width))
@@ -237,9 +280,9 @@ def contaminated(
 
     Null and empty texts, items without words, and an empty table or benchmark give no rows; repeated items and rows give
     one row each; null ids stay null; of passages with equal shares the higher cosine is given. Very long texts are searched
-    whole, very long items by their passages. The space is fitted on a hash sample of the different texts, those of about
-    ``fit_documents`` documents, and all items; counts and search cover every word of every document. ``cosine`` is what a passage full of an item must
-    reach; shorter items need less, by the root of their share of a passage, and so do items of which the space keeps less,
+    whole, very long items by their passages. Counts, the fit of the space and the search cover every word of every document
+    and item; in the fit items weigh as much as they do beside ``fit_documents`` documents, so that a larger corpus doesn't
+    push them out of the space. ``cosine`` is what a passage full of an item must reach; shorter items need less, by the root of their share of a passage, and so do items of which the space keeps less,
     by the share of their length it keeps. Items are searched for in blocks of ``block_chars``, which bounds what the driver
     and each task hold: terms, weights and space are those of all items. The share of its length that the space keeps of an
     item is held against the median of its block, so the cut into blocks can shift thresholds a little.
@@ -253,12 +296,9 @@ def contaminated(
         return none.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
     frequency, n_docs = document_frequencies(picked, terms)
     idf = term_weights(items, terms, frequency, n_docs, max_df)
-    near = F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, fit_documents / max(1, n_docs)))
-    parts = F.pmod(F.xxhash64("text"), F.lit(12))
-    # of equal texts one: a text that fills half of the corpus is one row of the sample, summed up before it is moved
-    fitted = picked.filter(F.col("text").isNotNull() & near).select("text").union(items.select("text")).distinct()
-    sample = fitted.select("text", parts.alias("part"))
-    space = latent_space(sample, terms, idf, rank, step)
+    weight = max(1.0, n_docs / fit_documents)
+    fitted = picked.select("text", F.lit(1.0).alias("weight")).union(items.select("text", F.lit(weight)))
+    space = latent_space(fitted, terms, idf, rank, step)
 
     out, block, size = None, [], 0
     for r in items.orderBy("item", "text").toLocalIterator():
@@ -277,7 +317,7 @@ def contaminated(
 def _search(picked: DataFrame, items: Items, item_type, terms: Terms, idf: np.ndarray, space: np.ndarray, step: int, cosine: float, share: float, answer_share: float) -> DataFrame:
     table, buckets = (space * idf[:, None]).astype(np.float32), terms.buckets  # a term's weighted place in the space
     # long items are compared by their passages too
-    coded = [terms.of_hashes(w) for w in items.words]
+    coded = terms.of_texts(items.texts)
     pieces = [(k, c[at : at + 2 * step]) for k, c in enumerate(coded) for at in range(0, max(1, len(c) - step), step)]
     of_piece = np.asarray([k for k, _ in pieces])
     goal = np.stack([table[np.unique(c)].sum(0) for _, c in pieces])
@@ -310,36 +350,39 @@ def _search(picked: DataFrame, items: Items, item_type, terms: Terms, idf: np.nd
         return got, common_subsequence(answer_masks[k], len(items.answers[k]), around) / len(items.answers[k])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _terms(buckets)
+        own, lines = _terms(buckets), table.T.astype(np.float64)
         rows_at_once = max(256, 8_000_000 // len(pieces))
-        for rows in text_groups(batches, 1_500_000):
-            texts = [own.encode(r["text"]) for r in rows]
-            flat, place, owner, goes_on = _chunks(texts, step, idf > 0)
-            windows = _windows(_summed(flat, place, len(owner), table), goes_on)
-            norms = np.linalg.norm(windows, axis=1, keepdims=True)
+        for rows in _slices(batches):
+            texts = rows.column("text")
+            flat, place, owner, goes_on = _chunks(*own.encode(texts), step, idf > 0)
+            windows = _windows(_summed(flat, place, len(owner), lines), goes_on)
+            norms = np.linalg.norm(windows, axis=0)
             windows /= np.where(norms > 0, norms, 1)
             first = np.searchsorted(owner, np.arange(len(rows)))
             held = _padded(flat % _BITS, place, goes_on, step, _BITS)
+            # a passage with fewer terms than any piece asks for can't share enough with one
+            live = np.flatnonzero((held < _BITS).sum(1) >= enough.min())
             exact: dict[int, list[int]] = {}
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for lo in range(0, len(windows), rows_at_once):
-                like = windows[lo : lo + rows_at_once] @ goal
+            for lo in range(0, len(live), rows_at_once):
+                some = live[lo : lo + rows_at_once]
+                like = windows[:, some].T @ goal
                 at, piece = np.nonzero(like >= least)
                 for cut in range(0, len(at), 100_000):
                     a, p = at[cut : cut + 100_000], piece[cut : cut + 100_000]
-                    t = held[lo + a]
+                    t = held[some[a]]
                     shared = (has[p[:, None], t >> 3] >> (t & 7).astype(np.uint8) & 1).sum(1)
                     ok = shared >= enough[p]
-                    for w, q, x in zip(a[ok].tolist(), p[ok].tolist(), like[a[ok], p[ok]].tolist(), strict=True):
-                        doc, k = int(owner[lo + w]), int(of_piece[q])
+                    for w, q, x in zip(some[a[ok]].tolist(), p[ok].tolist(), like[a[ok], p[ok]].tolist(), strict=True):
+                        doc, k = int(owner[w]), int(of_piece[q])
                         if doc not in exact:
-                            exact[doc] = _placed_hashes(rows[doc]["text"])
-                        got, answer = confirm(exact[doc], k, lo + w - int(first[doc]))
+                            exact[doc] = _placed_hashes(texts[doc].as_py())
+                        got, answer = confirm(exact[doc], k, w - int(first[doc]))
                         if got >= share and answer >= answer_share:
                             new = (got, answer, round(x, 4))
                             best[doc, k] = max(best.get((doc, k), new), new)
             keys = sorted(best)
-            cols = [pa.array([rows[d]["id"] for d, _ in keys], id_kind), pa.array([items.ids[k] for _, k in keys], item_kind)]
+            cols = [rows.column("id").take(pa.array([d for d, _ in keys], pa.int64())).cast(id_kind), pa.array([items.ids[k] for _, k in keys], item_kind)]
             cols += [pa.array([best[key][j] for key in keys], pa.float64()) for j in (2, 0, 1)]
             yield pa.RecordBatch.from_arrays(cols, ["id", "item", "cosine", "lcs_share", "answer_share"])
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -535,6 +536,46 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench, block_chars=200).collect()} == got
 
 
+def test_words_of_texts_have_the_terms_of_the_benchmark(spark):
+    from lumenfold.llm.decontaminate import Terms, _buckets_of, words_of
+
+    texts = [" Ab, (cd)\n\tÜber-x. ", None, "", " \x0b", "-- ab " + "long" * 9 + "! \x1cab longlong", "longlonglong", "日本 ab"]
+    known = ["ab", "Über-x", "long" * 9, "longlong", "日本"]
+    terms = Terms(_buckets_of(pa.array(known)))
+    codes, counts = terms.encode(pa.array(["pad ab", *texts]).slice(1))
+    number = {w.encode(): int(terms.number[_buckets_of(pa.array([w]))[0]]) for w in known}
+    assert set(number.values()) == set(range(5)) and counts.tolist() == [len((t or "").encode().split()) for t in texts]
+    assert codes[codes >= 0].tolist() == [number[w] for t in texts for w in words_of(t) if w in number]
+
+
+def test_the_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    from lumenfold.llm import decontaminate
+
+    words, r, step = [f"w{i}" for i in range(12)], random.Random(5), 4
+    texts = [" ".join(r.choices(words, range(1, 13), k=r.randrange(1, 30))) for _ in range(80)] + [None, ""]
+    items, fit, seen = [(0, " ".join(words[:7])), (1, " ".join(words[5:]))], decontaminate.latent_space, {}
+
+    def spied(fitted, terms, idf, *args, **options):
+        seen.update(terms=terms, idf=idf, space=fit(fitted, terms, idf, *args, **options))
+        return seen["space"]
+
+    monkeypatch.setattr(decontaminate, "latent_space", spied)
+    docs = table(spark, texts, list(range(len(texts)))).repartition(5)
+    decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), rank=3, step=step, max_df=1.0, fit_documents=10)
+    gram = np.zeros((12, 12))
+    for text, weight in [(t, 1.0) for t in texts] + [(t, len(texts) / 10) for _, t in items]:
+        coded = (text or "").split()
+        chunks = [np.zeros(12) for _ in range(0, max(1, len(coded)), step)]
+        for i, w in enumerate(coded):
+            k = seen["terms"].of_texts([w])[0]
+            chunks[i // step][k] = seen["idf"][k]
+        for a, b in zip(chunks, [*chunks[1:], np.zeros(12)], strict=True):
+            if length := (a @ a + b @ b):
+                gram += weight * np.outer(a + b, a + b) / length
+    best = np.linalg.eigh(gram)[1][:, -3:]
+    assert np.allclose(seen["space"] @ seen["space"].T, best @ best.T, atol=1e-3)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_common_subsequence(seed):
     from lumenfold.llm.decontaminate import common_subsequence, masks_of
