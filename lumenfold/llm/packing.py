@@ -60,6 +60,9 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.by_chunk = splits_by_chunk(path)
+        self.token_bytes = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=np.int64)
+        for token, k in self.library.get_vocab(with_added_tokens=False).items():
+            self.token_bytes[k] = len(token)  # a byte-level token has one sign a byte
         self.held: dict[str, bytes] = {}
         self.cache_entries = cache_entries
 
@@ -69,6 +72,27 @@ class ChunkEncoder:
             out += [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
         return out
 
+    def _encode_chunks(self, chunks: list[str], at_once: int = 4096) -> list[bytes]:
+        """Ids of single chunks. Those that begin with a space before another sign stay chunks when they follow each other:
+        many are one text for the library, and the bytes of its tokens tell where each ends."""
+        spaced = [c[0] == " " and c[1:2].strip() != "" for c in chunks]
+        rows = [c for c, s in zip(chunks, spaced, strict=True) if s]
+        found: list[bytes] = []
+        for lo in range(0, len(rows), at_once):
+            block = rows[lo : lo + at_once]
+            text = "".join(block)
+            (ids,) = self._encode([text])
+            ends = np.cumsum(self.token_bytes[np.frombuffer(ids, dtype="<u4")])
+            wanted = np.cumsum([len(c.encode()) for c in block])
+            cuts = np.searchsorted(ends, wanted)
+            if any(s in text for s in self.special) or len(ends) != cuts[-1] + 1 or (ends[cuts] != wanted).any():
+                found += self._encode(block)
+                continue
+            edges = [0, *(4 * (cuts + 1)).tolist()]
+            found += [ids[a:b] for a, b in zip(edges, edges[1:])]
+        together, alone = iter(found), iter(self._encode([c for c, s in zip(chunks, spaced, strict=True) if not s]))
+        return [next(together if s else alone) for s in spaced]
+
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         end = np.asarray([end_id], dtype="<u4").tobytes()
         held = self.held
@@ -79,7 +103,7 @@ class ChunkEncoder:
             held.clear()
             held.update(used)
         new = list(own.difference(held))
-        held.update(zip(new, self._encode(new), strict=True))
+        held.update(zip(new, self._encode_chunks(new), strict=True))
         whole = iter(self._encode([t for t, c in zip(texts, split, strict=True) if c is None]))
         out = [np.frombuffer((next(whole) if c is None else b"".join(map(held.__getitem__, c))) + end, dtype="<u4") for c in split]
         for c in new:

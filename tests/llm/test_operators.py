@@ -191,6 +191,22 @@ def test_chunk_ids_are_the_library_s(encoder):
     assert [x.tolist() for x in encoder.encode(texts, 1)] == want
 
 
+def test_new_chunks_are_encoded_together(encoder, monkeypatch):
+    r, sent = random.Random(3), []
+    chunks = list({r.choice([" ", " ", " ", "", "\n"]) + "".join(r.choices("abcdeéßÿœ", k=r.randrange(1, 12))) for _ in range(3000)}) + [" 12", " --", "  ", " ", "\n\n", " <", "'s", " '", " s"]
+    want = [np.asarray(x.ids, dtype="<u4").tobytes() for x in encoder.library.encode_batch(chunks, add_special_tokens=False)]
+    plain = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: sent.extend(texts) or plain(texts))
+    for at_once in (1, 7, 4096):
+        assert encoder._encode_chunks(chunks, at_once) == want
+    sent.clear()
+    encoder.held.clear()
+    encoder.encode(["".join(c for c in chunks if c[0] == " " and c[1:].isalpha())], 1)
+    assert len(sent) < 10  # one text for all, not one a chunk
+    monkeypatch.setattr(encoder, "token_bytes", np.ones_like(encoder.token_bytes))  # a file whose tokens' bytes aren't known
+    assert encoder._encode_chunks(chunks) == want
+
+
 def test_packing_round_trip(spark, encoder):
     from lumenfold.llm.packing import pack_documents
 
