@@ -271,6 +271,37 @@ def latent_space(texts: DataFrame, terms: Terms, idf: np.ndarray, rank: int, ste
     return (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
+def _table(space: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Each term's weighted place in the space."""
+    return (space * idf[:, None]).astype(np.float32)
+
+
+def _passages(coded: list[np.ndarray], table: np.ndarray, idf: np.ndarray, step: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Passages of items, as long items are compared by theirs: each one's item, its distinct terms, its direction in the
+    space (a column), and the share of its length that the space keeps."""
+    found = [(k, np.unique(c[at : at + 2 * step])) for k, c in enumerate(coded) for at in range(0, max(1, len(c) - step), step)]
+    pieces = [c for _, c in found]
+    places = np.stack([table[c].sum(0) for c in pieces])
+    norm = np.linalg.norm(places, axis=1, keepdims=True)
+    whole = np.sqrt([(idf[c] ** 2).sum() for c in pieces])
+    kept = np.clip(norm[:, 0] / np.where(whole > 0, whole, 1), 0.05, 1)
+    return np.asarray([k for k, _ in found]), pieces, (places / np.where(norm > 0, norm, 1)).T.copy(), kept
+
+
+def usual_share(texts: DataFrame, terms: Terms, idf: np.ndarray, space: np.ndarray, step: int) -> float:
+    """The median share of its length that the space keeps of a passage, over all passages of all items; to five digits, so
+    that the values counted for it are bounded."""
+    table, buckets = _table(space, idf), terms.buckets
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _terms(buckets)
+        for batch in _slices(batches):
+            if coded := [c for c in own.of_texts(batch.column(0).to_pylist()) if len(c)]:
+                yield pa.RecordBatch.from_arrays([pa.array(_passages(coded, table, idf, step)[3].astype(np.float64))], ["kept"])
+
+    return texts.select("text").mapInArrow(shares, "kept double").agg(F.median(F.round("kept", 5))).first()[0]
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 96, step: int = 24, cosine: float = 0.6, share: float = 0.6,
     answer_share: float = 0.5, fit_documents: int = 8000, block_chars: int = 4_000_000, max_df: float = 0.05,
@@ -283,9 +314,9 @@ def contaminated(
     whole, very long items by their passages. Counts, the fit of the space and the search cover every word of every document
     and item; in the fit items weigh as much as they do beside ``fit_documents`` documents, so that a larger corpus doesn't
     push them out of the space. ``cosine`` is what a passage full of an item must reach; shorter items need less, by the root of their share of a passage, and so do items of which the space keeps less,
-    by the share of their length it keeps. Items are searched for in blocks of ``block_chars``, which bounds what the driver
-    and each task hold: terms, weights and space are those of all items. The share of its length that the space keeps of an
-    item is held against the median of its block, so the cut into blocks can shift thresholds a little.
+    by the share of their length it keeps, held against the median over all items. Items are searched for in blocks of
+    ``block_chars``, which bounds what the driver and each task hold: terms, weights, space and thresholds are those of all
+    items, so the blocks don't change which items are found.
     """
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL").distinct()
@@ -299,42 +330,35 @@ def contaminated(
     weight = max(1.0, n_docs / fit_documents)
     fitted = picked.select("text", F.lit(1.0).alias("weight")).union(items.select("text", F.lit(weight)))
     space = latent_space(fitted, terms, idf, rank, step)
+    usual = usual_share(items, terms, idf, space, step)
 
     out, block, size = None, [], 0
     for r in items.orderBy("item", "text").toLocalIterator():
         if size > block_chars:  # one block is held at a time
-            found = written(_search(picked, Items.of(block), item_type, terms, idf, space, step, cosine, share, answer_share), "leaks")
+            found = written(_search(picked, Items.of(block), item_type, terms, idf, space, usual, step, cosine, share, answer_share), "leaks")
             out, block, size = found if out is None else out.union(found), [], 0
         if words_of(r["text"]):
             block.append((r["item"], r["text"]))
             size += len(r["text"])
     if block:
-        found = _search(picked, Items.of(block), item_type, terms, idf, space, step, cosine, share, answer_share)
+        found = _search(picked, Items.of(block), item_type, terms, idf, space, usual, step, cosine, share, answer_share)
         out = found if out is None else out.union(found)
     return (none if out is None else out).withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
 
-def _search(picked: DataFrame, items: Items, item_type, terms: Terms, idf: np.ndarray, space: np.ndarray, step: int, cosine: float, share: float, answer_share: float) -> DataFrame:
-    table, buckets = (space * idf[:, None]).astype(np.float32), terms.buckets  # a term's weighted place in the space
-    # long items are compared by their passages too
-    coded = terms.of_texts(items.texts)
-    pieces = [(k, c[at : at + 2 * step]) for k, c in enumerate(coded) for at in range(0, max(1, len(c) - step), step)]
-    of_piece = np.asarray([k for k, _ in pieces])
-    goal = np.stack([table[np.unique(c)].sum(0) for _, c in pieces])
-    norm = np.linalg.norm(goal, axis=1, keepdims=True)
-    goal = (goal / np.where(norm > 0, norm, 1)).T.copy()
+def _search(picked: DataFrame, items: Items, item_type, terms: Terms, idf: np.ndarray, space: np.ndarray, usual: float, step: int, cosine: float, share: float, answer_share: float) -> DataFrame:
+    table, buckets = _table(space, idf), terms.buckets
+    of_piece, pieces, goal, kept = _passages(terms.of_texts(items.texts), table, idf, step)
     # a passage that holds all of a short item has mostly other terms: its cosine falls with the root of their share
-    least = cosine * np.sqrt([min(1.0, len(np.unique(c)) / (2 * step)) for _, c in pieces])
-    whole = np.sqrt([(idf[np.unique(c)] ** 2).sum() for _, c in pieces])
-    kept = np.clip(norm[:, 0] / np.where(whole > 0, whole, 1), 0.05, 1)
-    least = (least * np.minimum(1, kept / max(np.median(kept), 1e-9))).astype(np.float32)
+    least = cosine * np.sqrt([min(1.0, len(c) / (2 * step)) for c in pieces])
+    least = (least * np.minimum(1, kept / max(usual, 1e-9))).astype(np.float32)
     # terms of the pieces, as 4096 bits each, and how many of a passage's terms have to be among them: half of what the
     # confirmation asks for
     has = np.zeros((len(pieces), _BITS // 8 + 1), dtype=np.uint8)
-    for p, (_, c) in enumerate(pieces):
+    for p, c in enumerate(pieces):
         c = c[idf[c] > 0] % _BITS
         np.bitwise_or.at(has[p], c >> 3, (1 << (c & 7)).astype(np.uint8))
-    enough = np.asarray([max(1, int(share * (idf[np.unique(c)] > 0).sum() / 2)) for _, c in pieces])
+    enough = np.asarray([max(1, int(share * (idf[c] > 0).sum() / 2)) for c in pieces])
     masks = [masks_of(w) for w in items.words]
     answer_masks = [masks_of(w) for w in items.answers]
     id_kind, item_kind = to_arrow_type(picked.schema["id"].dataType), to_arrow_type(item_type)

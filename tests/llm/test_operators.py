@@ -592,6 +592,19 @@ def test_the_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
     assert np.allclose(seen["space"] @ seen["space"].T, best @ best.T, atol=1e-3)
 
 
+@pytest.mark.parametrize("block_chars", [1, 100_000])
+def test_thresholds_are_those_of_all_items_whatever_the_blocks(spark, block_chars):
+    from lumenfold.llm.decontaminate import contaminated
+
+    topics, rare, r = [[f"t{i}x{j}" for j in range(24)] for i in range(3)], [f"r{j}" for j in range(48)], random.Random(7)
+    about = [" ".join(r.choices(t, k=60)) for t in topics for _ in range(30)]
+    mixed = [" ".join(w for x in rare for w in (x, r.choice(t))) for t in topics]  # three directions keep little of the rare words
+    docs = table(spark, about + mixed, [*range(90), 100, 101, 102])
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate([*topics, rare])], "item_id long, text string")
+    found = contaminated(docs, bench, rank=3, max_df=1.0, block_chars=block_chars).filter("item_id = 3").collect()
+    assert {r["doc_id"] for r in found} == {100, 101, 102}
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_common_subsequence(seed):
     from lumenfold.llm.decontaminate import common_subsequence, masks_of
